@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import op5_embedding_near_dedup
 from .minhash_dedup import op8_minhash_near_dedup
 
 QUERIES = {
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
