@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .embedding_dedup import op5_embedding_near_dedup
 from .minhash_dedup import op8_minhash_near_dedup
+from .quality import op2_quality_classifier
 
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
