@@ -5,10 +5,14 @@ from __future__ import annotations
 from .embedding_dedup import op5_embedding_near_dedup
 from .minhash_dedup import op8_minhash_near_dedup
 from .quality import op2_quality_classifier
+from .sharding import op6_sharding
+from .token_files import op3_token_files
 
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_token_files": op3_token_files,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op6_sharding": op6_sharding,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
