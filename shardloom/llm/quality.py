@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_written, groups_by, table, written
+from .common import mix64, scratch_path, table, written
 
 BOS, EOS = "\x02", "\x03"
-BATCH = 8_000_000  # characters whose distinct n-grams are looked up together
+BATCH = 32_000_000  # bytes of text whose distinct n-grams are looked up together
+FEW = 2_000_000  # trusted ids that may be broadcast (16 MB of longs); more are joined by shuffle
 PIECE = 2_000_000  # longer texts are cut, with overlap, into pieces of so many characters
 DENSE = 1 << 24
 
@@ -71,18 +71,6 @@ def _batched(texts: list, order: int) -> Iterator[tuple[list[str], list[int]]]:
         yield held, of
 
 
-def count_grams(texts: DataFrame, order: int) -> DataFrame:
-    """gram, n: the n-grams of all rows of a one-column DataFrame with their counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for parts, _ in _batched(batch.column(0).to_pylist(), order):
-                known, code, _ = grams(parts, order)
-                yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(np.bincount(code))], ["gram", "n"])
-
-    return texts.mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
 def _cut(c: Column | str, start: int, length: int) -> Column:
     return F.substring(c, start, length)
 
@@ -140,44 +128,81 @@ def score_grams(known: DataFrame, model: DataFrame, floor: float, order: int) ->
     return wide.select("gram", F.log(p).cast("float").alias("logp"))
 
 
-def perplexities(docs: DataFrame, model: DataFrame, floor: float, order: int) -> DataFrame:
-    """docs (rid, text) to rid, n (characters and the end), logp (sum), bounded-memory batches.
+def _whole_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Rows (rid, text, known) in batches of about BATCH characters, each with a key of its content."""
+    held, chars = [], 0
+
+    def keyed() -> tuple[int, pa.Table]:
+        t = pa.concat_tables(held)
+        rid = t.column("rid").to_numpy().view(np.uint64)
+        order = mix64(rid + np.arange(len(rid), dtype=np.uint64))
+        return int(np.bitwise_xor.reduce(mix64(order)).view(np.int64)), t
+
+    for batch in batches:
+        for i in range(0, batch.num_rows, 2_000):
+            part = batch.slice(i, 2_000)
+            held.append(pa.Table.from_batches([part]))
+            chars += part.column(1).nbytes
+            if chars >= BATCH:
+                yield keyed()
+                held, chars = [], 0
+    if held:
+        yield keyed()
+
 
-    Documents go to batches of about BATCH characters by hash. The distinct n-grams of a batch
-    are joined with their scores, and each batch meets its own scores; nothing is broadcast.
+def batch_grams(docs: DataFrame, order: int) -> DataFrame:
+    """batch, gram, n: the distinct n-grams of each batch of rows; n counts them in its known rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, t in _whole_batches(batches):
+            trusted = np.array(t.column("known").to_pylist(), np.int64)
+            found: dict[str, int] = {}
+            for parts, of in _batched(t.column("text").to_pylist(), order):
+                gram, code, owner = grams(parts, order)
+                n = np.bincount(code, trusted[np.array(of)[owner]]).astype(np.int64).tolist()
+                for g, k in zip(gram, n, strict=True):
+                    found[g] = found.get(g, 0) + k
+            known = list(found)
+            for i in range(0, len(known), 100_000):
+                some = known[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(some), pa.int64()), pa.array(some, pa.string()), pa.array([found[g] for g in some], pa.int64())], ["batch", "gram", "n"])
+
+    return docs.mapInArrow(run, "batch long, gram string, n long")
+
+
+def perplexities(docs: DataFrame, answers: DataFrame, order: int) -> DataFrame:
+    """docs (rid, text, known) and answers (batch, gram, logp) to rid, n (characters and the end), logp (sum).
+
+    The answers lie in the shared folder, split by batch; the task that scans a batch reads its
+    own. So the texts are never shuffled, and no task holds more than one batch's n-grams.
     """
     spark = docs.sparkSession
-    chars = docs.agg(F.sum(F.length("text")).alias("c")).first()["c"] or 0
-    n = max(1, math.ceil(chars / BATCH))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = docs.select(F.pmod("rid", F.lit(n)).cast("int").alias("batch"), "rid", "text").repartition(parts, "batch").sortWithinPartitions("batch")
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def one(t: pa.Table) -> pa.RecordBatch:
-            found: set[str] = set()
-            for parts, _ in _batched(t.column("text").to_pylist(), order):
-                found.update(grams(parts, order)[0])
-            return pa.RecordBatch.from_arrays([pa.array([t.column("batch")[0].as_py()] * len(found), pa.int32()), pa.array(list(found), pa.string())], ["batch", "gram"])
-
-        yield from groups_by("batch", one)(batches)
-
-    need = written(dealt.mapInArrow(distinct, "batch int, gram string"), "grams")
-    scores = written(score_grams(need.select("gram").distinct(), model, floor, order), "scores")
-    answers = need.join(scores, "gram").select("batch", "gram", "logp")
-
-    def total(left: pa.Table, right: pa.Table) -> pa.Table:
-        score = dict(zip(right.column("gram").to_pylist(), right.column("logp").to_pylist(), strict=True))
-        rid, texts = left.column("rid"), left.column("text").to_pylist()
-        logp, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        for parts, of in _batched(texts, order):
-            known, code, owner = grams(parts, order)
-            value = np.array([score[g] for g in known])
-            row = np.array(of)[owner]
-            logp += np.bincount(row, value[code], len(texts))
-            n += np.bincount(row, minlength=len(texts))
-        return pa.table({"rid": rid, "n": n, "logp": logp})
-
-    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(total, "rid long, n long, logp double")
+    uri = scratch_path(spark, "answers")
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shard = F.pmod("batch", F.lit(shards)).cast("int")
+    answers.withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions("batch").write.partitionBy("shard").option("compression", "zstd").parquet(uri)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as pafs
+        from pyarrow import parquet
+
+        fs, root = pafs.FileSystem.from_uri(uri)
+        for key, t in _whole_batches(batches):
+            found = parquet.read_table(f"{root}/shard={key % shards}", filesystem=fs, filters=[("batch", "=", key)], columns=["gram", "logp"], partitioning=None)
+            score = dict(zip(found.column("gram").to_pylist(), found.column("logp").to_pylist(), strict=True))
+            texts = t.column("text").to_pylist()
+            logp, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+            for parts, of in _batched(texts, order):
+                gram, code, owner = grams(parts, order)
+                if not score:
+                    raise RuntimeError("the partitions of the input changed between two passes; write it to a table first")
+                value = np.array([score[g] for g in gram])
+                row = np.array(of)[owner]
+                logp += np.bincount(row, value[code], len(texts))
+                n += np.bincount(row, minlength=len(texts))
+            yield pa.RecordBatch.from_arrays([t.column("rid").combine_chunks(), pa.array(n), pa.array(logp)], ["rid", "n", "logp"])
+
+    return docs.mapInArrow(total, "rid long, n long, logp double")
 
 
 def judged(docs: DataFrame, labels: DataFrame, *, order: int = 5, high: float = 0.99, low: float = 0.01, slack: float = 0.1, sure: float = 3.0, seed: int = 11) -> DataFrame:
@@ -197,21 +222,24 @@ def judged(docs: DataFrame, labels: DataFrame, *, order: int = 5, high: float =
     null perplexity and bounds.
     """
     cols = docs.columns
-    row = docs.withColumn("rid", F.xxhash64("doc_id", F.md5(F.coalesce("text", F.lit("")))))
-    trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").distinct()
-    good = docs.join(trusted, "doc_id", "left_semi").where("trim(text) <> ''").select("text")
-    counts = written(count_grams(good, order), "counts")
-    if counts.isEmpty():
+    row = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
+    trusted = written(labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id", F.lit(True).alias("known")).distinct(), "trusted")
+    few = trusted.count() <= FEW
+    text = row.where("trim(text) <> ''").join(F.broadcast(trusted) if few else trusted, "doc_id", "left").select("rid", "text", F.coalesce("known", F.lit(False)).alias("known"))
+    if not few:
+        text = written(text, "texts")  # a scan has the same partitions in each pass
+    need = written(batch_grams(text, order), "grams")
+    counts = written(need.groupBy("gram").agg(F.sum("n").alias("n")), "counts")
+    model, floor = kneser_ney(counts.where("n > 0"), order)
+    if floor == 1.0:
         nothing = F.lit(None).cast("double")
         kept = F.coalesce(F.trim("text") != "", F.lit(False))
         return docs.select(*cols, F.lit(0).cast("long").alias("n_tokens"), nothing.alias("perplexity"), nothing.alias("low_bound"), nothing.alias("high_bound"), kept.alias("kept"))
-    model, floor = kneser_ney(counts, order)
-    model = written(model, "model")
-    text = row.where("trim(text) <> ''").select("rid", "text")
-    score = written(perplexities(text, model, floor, order).groupBy("rid").agg(F.max("n").alias("n"), F.max("logp").alias("logp")), "perplexity")
+    scores = written(score_grams(counts.select("gram"), written(model, "model"), floor, order), "scores")
+    answers = need.select("batch", "gram").join(scores, "gram")
+    score = written(perplexities(text, answers, order).groupBy("rid").agg(F.max("n").alias("n"), F.max("logp").alias("logp")), "perplexity")
     base = row.select("rid", "doc_id", F.coalesce("lang", F.lit("")).alias("of")).join(score, "rid").withColumn("h", -F.col("logp") / F.col("n"))
-    known = trusted.withColumn("known", F.lit(True))
-    base = base.join(known, "doc_id", "left")
+    base = base.join(F.broadcast(trusted) if few else trusted, "doc_id", "left")
     own, other = F.when(F.col("known"), F.col("h")), F.when(F.col("known").isNull(), F.col("h"))
     stats = F.struct(F.percentile_approx(own, F.array(F.lit(low), F.lit(high), F.lit(0.5)), 10_000).alias("q"), F.percentile_approx(other, 0.5, 10_000).alias("mid"))
     every = base.agg(stats.alias("s")).first()["s"]  # four numbers
