@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import Forest, components, drop_written, groups_by, table, written
 
 SAMPLE = 20_000  # vectors that fit the cells; every vector is assigned and compared
-CELL, CELLS_MOST = 2_000, 512
-BLOCK, BLOCK_MOST, BLOCKS = 128, 2_048, 12
+CELL, CELLS_MOST = 2_000, 512  # vectors of one label for each cell
+BLOCK, BLOCK_MOST, BLOCKS = 1_024, 4_096, 12
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -30,8 +30,11 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> n
     return c
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    x = np.stack([np.asarray(v, np.float64) for v in column.to_pylist()])
+def _unit(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of equal length, scaled to unit length in double precision."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -120,12 +123,13 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.98) -> DataFrame
     valid = vectors.where(sound)
     same = written(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")).select("vec_id", "label", "n", "embedding"), "vectors")
     members = written(valid.join(same.select(F.col("vec_id").alias("rep"), "label", F.col("embedding")), ["label", "embedding"]).select("vec_id", "rep"), "members")
-    size = {r["dim"]: r["m"] for r in same.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("m")).collect()}
+    of_label = same.groupBy(F.size("embedding").alias("dim"), "label").agg(F.count("*").alias("m"))
+    size = {r["dim"]: r["m"] for r in of_label.groupBy("dim").agg(F.max("m").alias("m")).collect()}
     parts = []
     for dim, m in sorted(size.items()):
         of_dim = same.where(F.size("embedding") == dim)
         sample = of_dim.select("embedding", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(SAMPLE).select("embedding").toArrow()
-        x = _unit(sample.column(0).combine_chunks() if sample.num_rows else sample.column(0))
+        x = _unit(sample.column(0))
         c = spherical_kmeans(x, max(1, min(CELLS_MOST, len(x), math.ceil(m / CELL))))
         parts.append(of_dim.mapInArrow(_assign(c, threshold), "vec_id long, label " + same.schema["label"].dataType.simpleString() + ", n long, embedding " + same.schema["embedding"].dataType.simpleString() + ", cell int, home boolean").withColumn("dim", F.lit(dim)))
     if not parts:
