@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .chat import OP4_SQL, op4_chat_formatting
+from .decontaminate import op10_benchmark_decontamination
 from .embedding_dedup import op5_embedding_near_dedup
 from .minhash_dedup import op8_minhash_near_dedup
 from .quality import op2_quality_classifier
@@ -11,9 +13,13 @@ from .token_files import op3_token_files
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_token_files": op3_token_files,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_sharding": op6_sharding,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op4_chat_formatting": OP4_SQL,
+}
