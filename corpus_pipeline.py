@@ -1,11 +1,24 @@
-"""Corpus preparation from raw documents to token files."""
+"""Corpus preparation: from raw documents to token files, in five stages.
+
+Each stage takes all that the one before kept and returns the columns of documents; the last
+returns what the token files say of each document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardloom.llm.common import table, written
+from shardloom.llm.common import scratch_path, table, written
+from shardloom.llm.decontaminate import decontaminated
 from shardloom.llm.minhash_dedup import deduplicated
+from shardloom.llm.mixing import mixed
+from shardloom.llm.quality import judged
+from shardloom.llm.token_files import default_tokenizer, read_tokens, write_tokens
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return judged(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,14 +26,38 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return deduplicated(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Small sources repeat, up to four times; every document occurs at least once."""
+    return mixed(docs, max_repeat=4.0).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files in ascending doc_id order; one row a document, as read back."""
+    uri = scratch_path(spark, "pipeline-tokens")
+    write_tokens(docs, uri, tokenizer=default_tokenizer())
+    return read_tokens(spark, uri)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mix", mix),
+    ("tokens", tokens),
+]
 
+#: Signatures, models and tokenizers are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents table; each is written and read again."""
+    """Apply the stages to the documents table; each is written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
