@@ -75,13 +75,14 @@ def _cut(c: Column | str, start: int, length: int) -> Column:
     return F.substring(c, start, length)
 
 
-def kneser_ney(counts: DataFrame, order: int) -> tuple[DataFrame, float]:
-    """The model as a table (key, value), and the log probability of an unseen character.
+def kneser_ney(counts: DataFrame, order: int) -> tuple[dict[int, tuple[DataFrame, DataFrame]], float]:
+    """For each order m two tables, and the probability of an unseen character.
 
     counts: (gram, n) of the highest order. Lower orders count distinct left extensions. The
     discounts D1, D2, D3+ of each order follow from its counts of counts (Chen and Goodman
-    1998), a few numbers that the driver collects. Keys: "p" + gram has the discounted share of
-    the gram, "g" + context the mass that its context leaves to the next lower order.
+    1998), a few numbers that the driver collects. The tables: (gram, share), the discounted
+    share of the gram after its context, and (context, left), the mass that a context leaves to
+    the next lower order.
     """
     orders = {order: counts.select("gram", F.col("n").alias("a"))}
     for m in range(order - 1, 0, -1):
@@ -92,7 +93,7 @@ def kneser_ney(counts: DataFrame, order: int) -> tuple[DataFrame, float]:
         row = x.agg(F.lit(m).alias("m"), *[F.sum((F.col("a") == i).cast("long")).alias(f"n{i}") for i in range(1, 5)], F.count("*").alias("rows"))
         stats = row if stats is None else stats.union(row)
     of = {r["m"]: r for r in stats.collect()}
-    model = None
+    model = {}
     for m, x in orders.items():
         r = of[m]
         n = [(r[f"n{i}"] or 0) for i in range(1, 5)]
@@ -100,32 +101,32 @@ def kneser_ney(counts: DataFrame, order: int) -> tuple[DataFrame, float]:
         d = [min(i, max(0.05, i - (i + 1) * y * n[i] / n[i - 1])) if n[i - 1] else i / 2 for i in (1, 2, 3)]
         discount = F.when(F.col("a") == 1, d[0]).when(F.col("a") == 2, d[1]).otherwise(d[2])
         context = _cut("gram", 1, m - 1)
-        total = x.groupBy(context.alias("context")).agg(F.sum("a").alias("s"), F.sum(discount).alias("left"))
-        p = x.withColumn("context", context).join(total.select("context", "s"), "context")
-        p = p.select(F.concat(F.lit("p"), "gram").alias("key"), ((F.col("a") - discount) / F.col("s")).alias("value"))
-        g = total.select(F.concat(F.lit("g"), "context").alias("key"), (F.col("left") / F.col("s")).alias("value"))
-        part = p.union(g)
-        model = part if model is None else model.union(part)
+        total = x.groupBy(context.alias("context")).agg(F.sum("a").alias("s"), F.sum(discount).alias("d"))
+        share = x.withColumn("context", context).join(total.select("context", "s"), "context").select("gram", ((F.col("a") - discount) / F.col("s")).alias("share"))
+        model[m] = share, total.select("context", (F.col("d") / F.col("s")).alias("left"))
     return model, 1.0 / (1 + of[1]["rows"])
 
 
-def score_grams(known: DataFrame, model: DataFrame, floor: float, order: int) -> DataFrame:
+def score_grams(known: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], floor: float, order: int) -> DataFrame:
     """gram, logp: the interpolated log probability of the last character of each gram.
 
-    Each gram asks for the counts of all its orders; requests and model meet in one join
-    sharded by key, and the answers of a gram meet again in one sum.
+    From single characters up, the distinct suffixes of each length join their counts, their
+    contexts and the scores of the next shorter suffixes, sharded by these keys. A key meets at
+    most one row for each character of the alphabet, so none is hot.
     """
-    asks = []
-    for m in range(1, order + 1):
-        at = order - m + 1
-        asks += [F.struct(F.lit(2 * m).alias("slot"), F.concat(F.lit("p"), _cut("gram", at, m)).alias("key")), F.struct(F.lit(2 * m + 1).alias("slot"), F.concat(F.lit("g"), _cut("gram", at, m - 1)).alias("key"))]
-    asked = known.select("gram", F.explode(F.array(*asks)).alias("ask")).select("gram", "ask.slot", "ask.key")
-    met = asked.join(model, "key")
-    wide = met.groupBy("gram").agg(*[F.max(F.when(F.col("slot") == s, F.col("value"))).alias(f"s{s}") for s in range(2, 2 * order + 2)])
-    p: Column = F.lit(floor)
+    suffix = {order: known.select("gram")}
+    for m in range(order - 1, 0, -1):
+        suffix[m] = suffix[m + 1].select(_cut("gram", 2, m).alias("gram")).distinct()
+    lower = None
     for m in range(1, order + 1):
-        p = F.coalesce(F.col(f"s{2 * m}"), F.lit(0.0)) + F.coalesce(F.col(f"s{2 * m + 1}"), F.lit(1.0)) * p
-    return wide.select("gram", F.log(p).cast("float").alias("logp"))
+        share, left = model[m]
+        x = suffix[m].join(share, "gram", "left").withColumn("context", _cut("gram", 1, m - 1)).join(left, "context", "left")
+        below = F.lit(floor)
+        if lower is not None:
+            x = x.withColumn("shorter", _cut("gram", 2, m - 1)).join(lower.select(F.col("gram").alias("shorter"), F.col("p").alias("q")), "shorter")
+            below = F.col("q")
+        lower = written(x.select("gram", (F.coalesce("share", F.lit(0.0)) + F.coalesce("left", F.lit(1.0)) * below).alias("p")), f"suffix{m}")
+    return lower.select("gram", F.log("p").cast("float").alias("logp"))
 
 
 def _whole_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -235,7 +236,7 @@ def judged(docs: DataFrame, labels: DataFrame, *, order: int = 5, high: float =
         nothing = F.lit(None).cast("double")
         kept = F.coalesce(F.trim("text") != "", F.lit(False))
         return docs.select(*cols, F.lit(0).cast("long").alias("n_tokens"), nothing.alias("perplexity"), nothing.alias("low_bound"), nothing.alias("high_bound"), kept.alias("kept"))
-    scores = written(score_grams(counts.select("gram"), written(model, "model"), floor, order), "scores")
+    scores = written(score_grams(counts, model, floor, order), "scores")
     answers = need.select("batch", "gram").join(scores, "gram")
     score = written(perplexities(text, answers, order).groupBy("rid").agg(F.max("n").alias("n"), F.max("logp").alias("logp")), "perplexity")
     base = row.select("rid", "doc_id", F.coalesce("lang", F.lit("")).alias("of")).join(score, "rid").withColumn("h", -F.col("logp") / F.col("n"))
