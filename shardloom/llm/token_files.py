@@ -42,46 +42,67 @@ class Encoder:
         added = told.get("added_tokens") or []
         self.cuts = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space", True) and pre.get("use_regex", True) and not told.get("normalizer") and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or " " in a["content"] for a in added)
         self.size = self.lib.get_vocab_size(with_added_tokens=True)
+        self.opens = np.zeros(self.size, np.bool_)
+        if self.cuts:
+            self.opens[[i for x, i in self.lib.get_vocab().items() if x.startswith("\u0120")]] = True  # the byte-level sign of a space
         self.clear()
 
     def clear(self) -> None:
         self.known: tuple[dict[str, int], dict[str, int]] = ({}, {})
         self.start, self.length, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
 
-    def _learn(self, missing: list[tuple[int, str]]) -> None:
-        found = self.lib.encode_batch_fast([" " * k + p for k, p in missing], add_special_tokens=False)
+    def _keep(self, k: int, pieces: list[str], flat: np.ndarray, length: np.ndarray) -> None:
         n = len(self.known[0]) + len(self.known[1])
-        while n + len(missing) > len(self.start):
+        while n + len(pieces) > len(self.start):
             self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-        for i, ((k, p), e) in enumerate(zip(missing, found, strict=True), n):
-            ids = e.ids
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[i], self.length[i] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[k][p] = i
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.start[n : n + len(pieces)] = self.used + np.cumsum(length) - length
+        self.length[n : n + len(pieces)] = length
+        self.used += len(flat)
+        self.known[k].update(zip(pieces, range(n, n + len(pieces)), strict=True))
+
+    def _learn(self, k: int, pieces: list[str]) -> None:
+        """Encode new pieces; k: 1 if a space goes before each.
+
+        Pieces that start and end with other than white space are joined by their spaces and
+        encoded together; their first tokens are those that start with the space's sign.
+        """
+        plain = [p for p in pieces if k and p and " " not in p and not p[0].isspace() and not p[-1].isspace()]
+        if plain:
+            found = self.lib.encode_batch_fast([" " + " ".join(plain[i : i + 500]) for i in range(0, len(plain), 500)], add_special_tokens=False)
+            flat = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+            first = np.flatnonzero(self.opens[flat])
+            if len(first) != len(plain):
+                raise RuntimeError("tokens and pieces do not match")
+            self._keep(k, plain, flat, np.diff(np.append(first, len(flat))))
+            known = self.known[k]
+            pieces = [p for p in pieces if p not in known]
+        if pieces:
+            ids = [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast([" " * k + p for p in pieces], add_special_tokens=False)]
+            self._keep(k, pieces, np.concatenate(ids), np.array([len(x) for x in ids], np.int64))
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         texts = [t or "" for t in texts]
         if not self.cuts:
             return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-        if self.used > 16_000_000:
+        if self.used > 6_000_000:
             self.clear()
         first, rest = self.known
-        parts = [(SAFE.split(t) if TWO_SPACES.search(t) else t.split(" ")) for t in texts]
-        need: dict[tuple[int, str], None] = {}
-        for p in parts:
-            if p[0] not in first:
-                need[0, p[0]] = None
-            for x in p[1:]:
-                if x not in rest:
-                    need[1, x] = None
-        if need:
-            self._learn(list(need))
+        heads, tails = [], []
+        for t in texts:
+            head, *tail = SAFE.split(t) if TWO_SPACES.search(t) else t.split(" ")
+            heads.append(head)
+            tails.append(tail)
+        if need := set(heads).difference(first):
+            self._learn(0, list(need))
+        if need := set().union(*tails).difference(rest):
+            self._learn(1, list(need))
         out = []
-        for p in parts:
-            at = np.array([first[p[0]], *[rest[x] for x in p[1:]]], np.int64)
+        for head, tail in zip(heads, tails, strict=True):
+            at = np.fromiter(map(rest.__getitem__, tail), np.int64, len(tail))
+            at = np.concatenate([[first[head]], at])
             length = self.length[at]
             total = int(length.sum())
             where = np.repeat(self.start[at] - (np.cumsum(length) - length), length) + np.arange(total)
@@ -89,6 +110,16 @@ class Encoder:
         return out
 
 
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so that its pieces serve later tasks as well."""
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_shardloom_encoders", {})
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
+
+
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
@@ -133,7 +164,7 @@ def write_tokens(docs: DataFrame, uri: str, *, tokenizer: str, end_id: int = 0,
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _store(uri)
-        part, code = TaskContext.get().partitionId(), Encoder(tokenizer)
+        part, code = TaskContext.get().partitionId(), encoder(tokenizer)
         ids, lengths, end = [], [], np.array([end_id], np.uint32)
 
         def tokens(out) -> None:
