@@ -198,28 +198,33 @@ class Engine:
         self.load(name, rows)
         return CommandResult(f"INSERT 0 {n}", n)
 
-    def _rewrite(self, name: str, change) -> None:
-        """Copy on write: publish the changed table, unless another writer was first."""
+    def _rewrite(self, name: str, change, hit: Column, route: RoutePlan | None) -> None:
+        """Copy on write of the directories that hold hit rows, unless another writer was first."""
         full = table_name(name)
         seen = self.storage.revision(full)
-        self.storage.replace(change(self.storage.read(full)), full, seen)
-
-    def update(self, name: str, changes: dict[str, Column], where: Column) -> CommandResult:
+        now = self.storage.read(full)
+        if route is not None and route.vshard is not None:
+            touched = [(route.shard, route.vshard // BUCKET)]
+        else:  # a directory is one of at most 16 of each shard
+            touched = [tuple(r) for r in now.where(hit).select(SHARD, BUCKET_DIR).distinct().collect()]
+        self.storage.rewrite(lambda df: change(df), full, touched, seen)
+
+    def update(self, name: str, changes: dict[str, Column], where: Column, route: RoutePlan | None = None) -> CommandResult:
         full = table_name(name)
         spec = self.registry.sharded(full)
         if spec and set(changes) & set(spec.key):
             raise UnsafeRouting("an update does not change the shard key")
         hit = F.coalesce(where, F.lit(False))
-        n = self.table(full).where(hit).count()
+        n = self.table(full, route).where(hit).count()
         if n:
-            self._rewrite(full, lambda df: df.withColumns({c: F.when(hit, v.cast(df.schema[c].dataType)).otherwise(F.col(c)) for c, v in changes.items()}))
+            self._rewrite(full, lambda df: df.withColumns({c: F.when(hit, v.cast(df.schema[c].dataType)).otherwise(F.col(c)) for c, v in changes.items()}), hit, route)
         return CommandResult(f"UPDATE {n}", n)
 
-    def delete(self, name: str, where: Column) -> CommandResult:
+    def delete(self, name: str, where: Column, route: RoutePlan | None = None) -> CommandResult:
         hit = F.coalesce(where, F.lit(False))
-        n = self.table(name).where(hit).count()
+        n = self.table(name, route).where(hit).count()
         if n:
-            self._rewrite(name, lambda df: df.where(~hit))
+            self._rewrite(name, lambda df: df.where(~hit), hit, route)
         return CommandResult(f"DELETE {n}", n)
 
     def merge(self, name: str, source: DataFrame, on: list[str]) -> CommandResult:
@@ -255,18 +260,25 @@ class Engine:
             spec = self.registry.sharded(route.table)
             cast = [F.col(c).cast(target.schema[c].dataType).alias(c) if c in columns else F.lit(None).cast(target.schema[c].dataType).alias(c) for c in target.columns if c in columns or not (spec and spec.generated and c == spec.key[0])]
             return self.insert(route.table, rows.select(*cast))
-        plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-        bound = lambda text: self._bind(text, args)
+        plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(self._bind(sql, args))
         if route.write == "update":
-            changes = {plan.assignments().apply(i).key().sql().strip("`"): F.expr(bound(plan.assignments().apply(i).value().sql())) for i in range(plan.assignments().size())}
-            condition = F.expr(bound(plan.condition().get().sql())) if plan.condition().isDefined() else F.lit(True)
-            return self.update(route.table, changes, condition)
-        return self.delete(route.table, F.expr(bound(plan.condition().sql())))
+            changes = {plan.assignments().apply(i).key().sql().strip("`"): F.expr(plan.assignments().apply(i).value().sql()) for i in range(plan.assignments().size())}
+            condition = F.expr(plan.condition().get().sql()) if plan.condition().isDefined() else F.lit(True)
+            return self.update(route.table, changes, condition, route)
+        return self.delete(route.table, F.expr(plan.condition().sql()), route)
 
     @staticmethod
-    def _bind(text: str, args) -> str:
+    def _bind(sql: str, args) -> str:
+        """Named parameters as literals; quoted text stays."""
+        if not isinstance(args, dict):
+            return sql
+
         def one(m: re.Match) -> str:
+            if m[1] is None:
+                return m[0]
             v = args[m[1]]
-            return "null" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+            if v is None or isinstance(v, (bool, int, float)):
+                return "null" if v is None else str(v).lower()
+            return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-        return re.sub(r"namedparameter\((\w+)\)", one, text) if isinstance(args, dict) else text
+        return re.sub(r"'(?:''|[^'])*'|(?<![:\w]):(\w+)", one, sql)

@@ -60,21 +60,33 @@ class ShardedStorage:
 
     def append(self, df: DataFrame, table: str) -> None:
         new = self.stage(df, table)
-        self.store.update(self._kind(table), lambda now: {"schema": new["schema"], "versions": [*(now or {"versions": []})["versions"], new["version"]]})
-
-    def replace(self, df: DataFrame, table: str, seen: int | None = None) -> None:
-        """Publish df as the whole table; seen: the revision it was computed from."""
-        new = self.stage(df, table)
-        content = {"schema": new["schema"], "versions": [new["version"]]}
-        if seen is None:
-            self.store.update(self._kind(table), lambda _: content)
-        else:
-            self.store.publish(self._kind(table), seen + 1, content)
+        self.store.update(self._kind(table), lambda now: self._with(now, new))
+
+    @staticmethod
+    def _with(now: dict | None, new: dict) -> dict:
+        return {"schema": new["schema"], "versions": [*(now or {"versions": []})["versions"], {"version": new["version"], "hidden": []}]}
+
+    def rewrite(self, change, table: str, touched: list[tuple[str, int]], seen: int) -> None:
+        """Copy on write of some directories: their changed rows in a new version, the old ones hidden.
+
+        seen: the revision that the change is computed from; Conflict if another came meanwhile.
+        """
+        if not touched:
+            return
+        inside = F.lit(False)
+        for shard, bucket in touched:
+            inside = inside | ((F.col(SHARD) == shard) & (F.col(BUCKET_DIR) == bucket))
+        now = self.store.read(self._kind(table), seen)
+        new = self.stage(change(self.read(table).where(inside)), table)
+        hide = [list(t) for t in touched]
+        old = [v | {"hidden": v["hidden"] + [h for h in hide if h not in v["hidden"]]} for v in now["versions"]]
+        self.store.publish(self._kind(table), seen + 1, self._with({"versions": old}, new))
 
     def publish_all(self, staged: dict[str, list[dict]]) -> None:
-        """Append staged files of several tables; one revision of each, all staged before the first."""
+        """Append staged files of several tables; all are staged before the first is published."""
         for table, news in staged.items():
-            self.store.update(self._kind(table), lambda now, news=news: {"schema": news[0]["schema"], "versions": [*(now or {"versions": []})["versions"], *[n["version"] for n in news]]})
+            for new in news:
+                self.store.update(self._kind(table), lambda now, new=new: self._with(now, new))
 
     def revision(self, table: str) -> int:
         return self.store.latest(self._kind(table))[0]
@@ -94,6 +106,8 @@ class ShardedStorage:
             return self.spark.createDataFrame([], schema)
         out = None
         for v in now["versions"]:
-            part = self.spark.read.schema(schema).parquet(f"{root}/{v}")
+            part = self.spark.read.schema(schema).parquet(f"{root}/{v['version']}")
+            for shard, bucket in v["hidden"]:
+                part = part.where(~((F.col(SHARD) == shard) & (F.col(BUCKET_DIR) == bucket)))
             out = part if out is None else out.union(part)
         return out

@@ -105,7 +105,6 @@ class Topology:
 
     def validate_transition(self, new: Topology) -> None:
         """new may follow this one."""
-        new.validate()
         if new.revision != self.revision + 1 or new.updated <= self.updated:
             raise ValueError("revision and time go on by one step")
         for name, s in new.shards.items():
@@ -116,6 +115,7 @@ class Topology:
                 raise ValueError(f"shard {name!r} can't go from {before.state} to {s.state}")
         if gone := [n for n in self.shards if n not in new.shards]:
             raise ValueError(f"shards {gone} vanished; they stay as removed")
+        new.validate()
 
     def with_shard(self, shard: Shard, now: float) -> Topology:
         return replace(self, shards=self.shards | {shard.name: shard}, revision=self.revision + 1, updated=now)
