@@ -297,6 +297,15 @@ text("exists_correlated", "select o_orderkey from orders o where exists (select
 text("correlated_scalar", "select c_custkey, (select max(o_totalprice) from orders where o_custkey = c_custkey) as top from customer where c_custkey < 200")
 text("derived_table", "select band, count(*) as n from (select case when l_quantity < 10 then 'low' else 'high' end as band from lineitem) t group by band")
 
+# --- PostgreSQL spellings ---------------------------------------------------------------------
+
+text("dialect_fetch_first", "select o_orderkey from orders order by o_orderkey fetch first 7 rows only", "select o_orderkey from orders order by o_orderkey limit 7")
+text("dialect_regex", "select n_nationkey from nation where n_name ~ '[13]$' and n_name !~* '^xx' and n_name ~* 'n'", "select n_nationkey from nation where regexp_matches(n_name, '[13]$') and not regexp_matches(n_name, '^xx', 'i') and regexp_matches(n_name, 'n', 'i')")
+text("dialect_string_agg", "select n_regionkey, string_agg(n_name, ', ' order by n_name desc) as names from nation group by n_regionkey")
+text("dialect_any_array", "select n_nationkey from nation where n_regionkey = any (array(1, 3))", "select n_nationkey from nation where n_regionkey in (1, 3)")
+text("dialect_json", "select event_id, cast(props ->> 'k' as int) as k from events where props -> 'k' is not null", "select event_id, cast(props ->> 'k' as int) as k from events where props -> 'k' is not null", "select event_id, cast(props ->> 'k' as int) as k from events where (props -> 'k') is not null")
+text("dialect_casts", "select o_orderkey::string as k, '12'::int + 1 as n from orders where o_orderdate::date < '1995-01-01'::date", "select o_orderkey::varchar as k, '12'::int + 1 as n from orders where o_orderdate::date < '1995-01-01'::date")
+
 # --- scalar functions -----------------------------------------------------------------------
 
 text("fn_string", "select n_nationkey, upper(n_name) as u, lower(n_name) as l, substr(n_name, 2, 3) as s, cast(position('A' in n_name) as int) as p, split_part(n_name, '_', 2) as sp, trim('  x ') || '|' as t, lpad(n_name, 12, '*') as lp, concat_ws('-', n_name, cast(n_nationkey as string)) as c, replace(n_name, 'N', 'n') as r, cast(length(n_name) as int) as len, reverse(n_name) as rev, regexp_replace(n_name, '[0-9]+', '#') as rx from nation", "select n_nationkey, upper(n_name) as u, lower(n_name) as l, substr(n_name, 2, 3) as s, cast(position('A' in n_name) as int) as p, split_part(n_name, '_', 2) as sp, trim('  x ') || '|' as t, lpad(n_name, 12, '*') as lp, concat_ws('-', n_name, cast(n_nationkey as varchar)) as c, replace(n_name, 'N', 'n') as r, cast(length(n_name) as int) as len, reverse(n_name) as rev, regexp_replace(n_name, '[0-9]+', '#', 'g') as rx from nation")
@@ -519,6 +528,43 @@ def dml_merge_unsharded(spark, sf_dir):
     return e.table("nation")
 
 
+@query("select n, t from (select count(*) as n, 'a' as t from nation union all select count(*), 'b' from region)")
+def dml_atomic_batch(spark, sf_dir):
+    """Two tables written together; a batch that fails leaves neither changed."""
+    from .engine import Engine
+
+    e = Engine(spark, folder(spark, "batch"), shards=["shard1", "shard2"])
+    e.register("a", ["k"], ["bigint"])
+    e.register("b", ["k"], ["bigint"])
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    with e.batch() as both:
+        both.insert("a", nation.selectExpr("cast(n_nationkey as bigint) as k"))
+        both.insert("b", region.selectExpr("cast(r_regionkey as bigint) as k"))
+    try:
+        with e.batch() as both:
+            both.insert("a", nation.selectExpr("cast(n_nationkey + 100 as bigint) as k"))
+            both.insert("b", region.selectExpr("cast(null as bigint) as k"))
+    except Exception:  # noqa: BLE001, S110  the null key refuses the whole batch
+        pass
+    count = lambda t: e.table(t).agg(F.count("*").alias("n")).withColumn("t", F.lit(t))
+    return count("a").union(count("b"))
+
+
+@query("select o_orderkey, o_orderstatus from orders where o_orderstatus = 'F'")
+def copy_query_out(spark, sf_dir):
+    """COPY (query) TO runs the query once, globally; COPY FROM routes its rows into a new table."""
+    from .engine import Engine
+
+    e = engine(spark, sf_dir)
+    path = folder(spark, "copy-query")
+    e.copy(f"copy (select o_orderkey, o_orderstatus from orders where o_orderstatus = 'F') to '{path}' with (format csv, header true)")
+    new = Engine(spark, folder(spark, "copied"), shards=["shard1", "shard2"])
+    new.register("f_orders", ["o_orderkey"], ["bigint"])
+    new.load("f_orders", e.sql("select o_orderkey, o_orderstatus from orders where false"))
+    new.copy(f"copy f_orders (o_orderkey, o_orderstatus) from '{path}/part-*' with (format csv, header true)")
+    return new.table("f_orders")
+
+
 @query("select o_orderstatus, count(*) as n from orders group by o_orderstatus")
 def create_table_as(spark, sf_dir):
     """CTAS into the sharded layout, read back."""

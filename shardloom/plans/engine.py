@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import time
 import uuid
@@ -9,12 +10,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.hashing import literal_vshard
+from ..sources.copy_format import copy_in, copy_out, plan_copy
 from ..sources.registry import Registry, table_name
 from ..sources.storage import BUCKET, BUCKET_DIR, PLACEMENT, SHARD, SLOT, ShardedStorage, placed
 from ..sources.store import IdAllocator, ManifestStore
 from ..sources.topology import Topology, bootstrap
+from .dialect import parse_copy, to_spark
 from .routing import Planner, RoutePlan, UnsafeRouting
 
 SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true"}
@@ -40,6 +44,42 @@ class Prepared:
         return self.engine.sql(self.sql, args)
 
 
+class Batch:
+    """Staged inserts; leaving the block publishes all of them by one compare-and-swap."""
+
+    def __init__(self, engine: Engine) -> None:
+        self.engine, self.staged, self.plain = engine, [], []
+
+    def __enter__(self) -> Batch:
+        return self
+
+    def insert(self, name: str, df: DataFrame) -> None:
+        e, full = self.engine, table_name(name)
+        spec = e.registry.sharded(full)
+        if spec is None:
+            self.plain.append((full, df))
+            return
+        if spec.generated and spec.key[0] not in df.columns:
+            columns = df.columns
+            df = e.ids.numbered(df, full, spec.key[0], *columns)
+        known = e.storage._content(full)
+        if known:  # the stored order of columns
+            names = [f["name"] for f in json.loads(known["schema"])["fields"] if f["name"] not in PLACEMENT]
+            df = df.select(*names) if set(names) == set(df.columns) else df
+        self.staged.append((full, e.storage.stage(placed(df, full, e.registry, e.topology), full)))
+
+    def __exit__(self, kind, value, trace) -> None:
+        if kind is not None:
+            return
+        e = self.engine
+        if self.staged:
+            e.storage.publish(self.staged)
+        for full, df in self.plain:
+            path = f"{e.folder}/{full}"
+            df.write.mode("append").parquet(path)
+            e.attached[full] = e.spark.read.parquet(path)
+
+
 class Engine:
     """Tables by name, with PostgreSQL's view of sharding.
 
@@ -63,6 +103,7 @@ class Engine:
             topology = Topology.from_json(saved) if saved else bootstrap(registry, shards or ["shard1", "shard2"], time.time())
         self.registry, self.topology = registry, topology
         self.attached: dict[str, DataFrame] = {}
+        self.temporary: dict[str, tuple] = {}
         self._plan()
 
     def _plan(self) -> None:
@@ -93,20 +134,60 @@ class Engine:
         """Back a table by a DataFrame instead of the layout."""
         self.attached[table_name(name)] = df
 
-    def load(self, name: str, df: DataFrame) -> int:
+    def load(self, name: str, df: DataFrame) -> None:
         """Append rows; each is placed by its key, all of them become visible at once."""
+        with self.batch() as b:
+            b.insert(name, df)
+
+    def batch(self) -> Batch:
+        """Inserts into any tables that become visible together, or not at all."""
+        return Batch(self)
+
+    def session(self) -> Engine:
+        """The same tables with settings and temporary tables of its own."""
+        return Engine(self.spark.newSession(), self.folder, self.registry, self.topology)._with(self.attached)
+
+    def _with(self, attached: dict[str, DataFrame]) -> Engine:
+        self.attached = dict(attached)
+        return self
+
+    def create_temporary(self, name: str, df: DataFrame) -> None:
+        """A table that this engine alone sees; it hides a durable one until it is discarded."""
         full = table_name(name)
-        spec = self.registry.sharded(full)
-        if spec is None:
-            path = f"{self.folder}/{full}"
-            df.write.mode("append").parquet(path)
-            self.attached[full] = self.spark.read.parquet(path)
-            return df.count()
-        if spec.generated and spec.key[0] not in df.columns:
-            order = df.columns
-            df = self.ids.numbered(df, full, spec.key[0], *order)
-        self.storage.append(placed(df, full, self.registry, self.topology), full)
-        return self.table(full).count()
+        self.temporary.setdefault(full, (self.attached.get(full), self.registry))
+        self.registry = self.registry.with_unsharded(full)
+        self.attached[full] = df
+        self._plan()
+
+    def discard_temporary(self) -> None:
+        for full, (before, registry) in reversed(self.temporary.items()):
+            self.attached.pop(full)
+            if before is not None:
+                self.attached[full] = before
+            self.registry = registry
+        self.temporary.clear()
+        self._plan()
+
+    def copy(self, sql: str, stream: str | None = None) -> CommandResult:
+        """COPY as text. FROM reads files at the path (or stream), TO writes them there.
+
+        Rows into a sharded table are routed one by one and become visible together.
+        """
+        c = parse_copy(sql)
+        place = c["place"] or stream
+        if place is None:
+            raise ValueError("name the files of the COPY stream")
+        if not c["incoming"]:
+            df = self.sql(c["query"]) if c["query"] else self.table(c["table"])
+            plan = plan_copy(c["table"] or "query", c["columns"] or df.columns, False, c["options"], self.registry)
+            n = copy_out(df, place, plan)
+            return CommandResult(f"COPY {n}", n)
+        target = self.table(c["table"])
+        spec = self.registry.sharded(c["table"])
+        plan = plan_copy(c["table"], c["columns"] or ([] if spec else target.columns), True, c["options"], self.registry)
+        rows = copy_in(self.spark, place, plan, StructType([target.schema[k] for k in plan.columns]))
+        rows = rows.select(*[F.col(k) if k in plan.columns else F.lit(None).cast(target.schema[k].dataType).alias(k) for k in target.columns])
+        return CommandResult(f"COPY {self.insert(c['table'], rows).rows}", rows.count())
 
     # --- reading
 
@@ -151,7 +232,8 @@ class Engine:
         return df.where(F.col(spec.key[0]).isin(values)).drop(*PLACEMENT)
 
     def sql(self, sql: str, args: dict | list | None = None, *, strict: bool = False) -> DataFrame:
-        """Run a query over the logical tables."""
+        """Run a query over the logical tables; some PostgreSQL spellings are rewritten."""
+        sql = to_spark(sql)
         route = self.planner.analyze(sql, args)
         if strict and route.kind == "global":
             raise UnsafeRouting(route.reason)

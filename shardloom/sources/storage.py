@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.hashing import modulo_owner, vshard
 from .registry import Registry, table_name
-from .store import ManifestStore
+from .store import Conflict, ManifestStore
 from .topology import Topology
 
 BUCKET = 4_096  # slots of one directory
@@ -37,18 +39,22 @@ def placed(df: DataFrame, table: str, registry: Registry, topology: Topology) ->
 
 
 class ShardedStorage:
-    """Tables below one folder. A manifest lists the live version of each partition directory.
+    """Tables below one folder. One manifest lists, for all tables, the live version folders.
 
-    Writers fill new version folders and publish them by one compare-and-swap, so that a
-    multi-shard write is seen whole or not at all, and a failed one leaves only unlisted files.
+    Writers fill new version folders and publish them by one compare-and-swap of the manifest, so
+    that a write to several shards or tables is seen whole or not at all; a failed one leaves only
+    unlisted files, and there is no state in doubt.
     """
 
+    KIND = "tables"
+
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
         self.store = ManifestStore(spark, f"{self.folder}/_catalog")
 
-    def _kind(self, table: str) -> str:
-        return f"table-{table_name(table)}"
+    def _content(self, table: str) -> dict | None:
+        _, now = self.store.latest(self.KIND)
+        return (now or {}).get(table_name(table))
 
     def stage(self, df: DataFrame, table: str) -> dict:
         """Write rows that have placement columns into new files; nothing is visible yet."""
@@ -58,56 +64,68 @@ class ShardedStorage:
         parts.write.partitionBy(SHARD, BUCKET_DIR).parquet(path)
         return {"version": version, "schema": df.schema.json()}
 
-    def append(self, df: DataFrame, table: str) -> None:
-        new = self.stage(df, table)
-        self.store.update(self._kind(table), lambda now: self._with(now, new))
+    def publish(self, staged: list[tuple[str, dict]]) -> None:
+        """Append staged files of any tables in one revision; a shape that differs is an error."""
+
+        def change(now: dict | None) -> dict:
+            now = dict(now or {})
+            for table, new in staged:
+                full = table_name(table)
+                old = now.get(full, {"schema": new["schema"], "versions": [], "revision": 0})
+                if _shape(old["schema"]) != _shape(new["schema"]):
+                    raise ValueError(f"42804: rows for {full} have another shape")
+                now[full] = {"schema": old["schema"], "versions": [*old["versions"], {"version": new["version"], "hidden": []}], "revision": old["revision"] + 1}
+            return now
 
-    @staticmethod
-    def _with(now: dict | None, new: dict) -> dict:
-        return {"schema": new["schema"], "versions": [*(now or {"versions": []})["versions"], {"version": new["version"], "hidden": []}]}
+        self.store.update(self.KIND, change)
+
+    def append(self, df: DataFrame, table: str) -> None:
+        self.publish([(table, self.stage(df, table))])
 
     def rewrite(self, change, table: str, touched: list[tuple[str, int]], seen: int) -> None:
         """Copy on write of some directories: their changed rows in a new version, the old ones hidden.
 
-        seen: the revision that the change is computed from; Conflict if another came meanwhile.
+        seen: the table's revision that the change is computed from; Conflict if another came.
         """
         if not touched:
             return
+        full = table_name(table)
         inside = F.lit(False)
         for shard, bucket in touched:
             inside = inside | ((F.col(SHARD) == shard) & (F.col(BUCKET_DIR) == bucket))
-        now = self.store.read(self._kind(table), seen)
-        new = self.stage(change(self.read(table).where(inside)), table)
+        new = self.stage(change(self.read(full).where(inside)), full)
         hide = [list(t) for t in touched]
-        old = [v | {"hidden": v["hidden"] + [h for h in hide if h not in v["hidden"]]} for v in now["versions"]]
-        self.store.publish(self._kind(table), seen + 1, self._with({"versions": old}, new))
 
-    def publish_all(self, staged: dict[str, list[dict]]) -> None:
-        """Append staged files of several tables; all are staged before the first is published."""
-        for table, news in staged.items():
-            for new in news:
-                self.store.update(self._kind(table), lambda now, new=new: self._with(now, new))
+        def swap(now: dict) -> dict:
+            old = now[full]
+            if old["revision"] != seen:
+                raise Conflict(f"{full} was changed meanwhile")
+            versions = [v | {"hidden": v["hidden"] + [h for h in hide if h not in v["hidden"]]} for v in old["versions"]]
+            return now | {full: {"schema": old["schema"], "versions": [*versions, {"version": new["version"], "hidden": []}], "revision": seen + 1}}
+
+        self.store.update(self.KIND, swap)
 
     def revision(self, table: str) -> int:
-        return self.store.latest(self._kind(table))[0]
+        return (self._content(table) or {"revision": 0})["revision"]
+
+    def drop(self, table: str) -> None:
+        """The table leaves the manifest; its files are unlisted."""
+        self.store.update(self.KIND, lambda now: {k: v for k, v in (now or {}).items() if k != table_name(table)})
 
     def read(self, table: str) -> DataFrame:
         """The live rows with their placement columns; filters on them prune directories."""
-        from pyspark.sql.types import StructType
-
-        _, now = self.store.latest(self._kind(table))
+        now = self._content(table)
         if now is None:
             raise LookupError(f"42P01: no table {table_name(table)}")
-        import json
-
         schema = StructType.fromJson(json.loads(now["schema"]))
-        root = f"{self.folder}/{table_name(table)}"
-        if not now["versions"]:
-            return self.spark.createDataFrame([], schema)
         out = None
         for v in now["versions"]:
-            part = self.spark.read.schema(schema).parquet(f"{root}/{v['version']}")
+            part = self.spark.read.schema(schema).parquet(f"{self.folder}/{table_name(table)}/{v['version']}")
             for shard, bucket in v["hidden"]:
                 part = part.where(~((F.col(SHARD) == shard) & (F.col(BUCKET_DIR) == bucket)))
             out = part if out is None else out.union(part)
-        return out
+        return out if out is not None else self.spark.createDataFrame([], schema)
+
+
+def _shape(schema: str) -> list[tuple]:
+    return [(f["name"], json.dumps(f["type"])) for f in json.loads(schema)["fields"]]

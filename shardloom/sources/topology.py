@@ -43,6 +43,13 @@ class Distribution:
         at = {n: i for i, n in enumerate(order)}
         return cls(order, array("H", [at[o] for o in modulo_owners(list(order))]))
 
+    @classmethod
+    def of_owners(cls, owners: list[str]) -> Distribution:
+        """From a list of each slot's owner, as an older catalog keeps it."""
+        names = tuple(sorted(set(owners)))
+        at = {n: i for i, n in enumerate(names)}
+        return cls(names, array("H", [at[o] for o in owners]))
+
     def owner(self, slot: int) -> str:
         return self.owners[self.slots[slot]]
 

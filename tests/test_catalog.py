@@ -58,6 +58,9 @@ def test_manifests_swap_once(spark, tmp_path):
         store.publish("x", 1, {"a": 2})
     assert store.update("x", lambda now: now) == (1, {"a": 1})
     assert store.update("x", lambda now: now | {"b": 2})[0] == 2
+    (tmp_path / "c/x/3.json").write_text('{"a"')  # its writer died
+    assert store.latest("x") == (3, {"a": 1, "b": 2})
+    assert store.update("x", lambda now: now | {"c": 3}) == (4, {"a": 1, "b": 2, "c": 3})
 
 
 def test_ids_are_unique_across_writers(spark, tmp_path):
