@@ -303,7 +303,7 @@ text("dialect_fetch_first", "select o_orderkey from orders order by o_orderkey f
 text("dialect_regex", "select n_nationkey from nation where n_name ~ '[13]$' and n_name !~* '^xx' and n_name ~* 'n'", "select n_nationkey from nation where regexp_matches(n_name, '[13]$') and not regexp_matches(n_name, '^xx', 'i') and regexp_matches(n_name, 'n', 'i')")
 text("dialect_string_agg", "select n_regionkey, string_agg(n_name, ', ' order by n_name desc) as names from nation group by n_regionkey")
 text("dialect_any_array", "select n_nationkey from nation where n_regionkey = any (array(1, 3))", "select n_nationkey from nation where n_regionkey in (1, 3)")
-text("dialect_json", "select event_id, cast(props ->> 'k' as int) as k from events where props -> 'k' is not null", "select event_id, cast(props ->> 'k' as int) as k from events where props -> 'k' is not null", "select event_id, cast(props ->> 'k' as int) as k from events where (props -> 'k') is not null")
+text("dialect_json", "select event_id, cast(props ->> 'k' as int) as k from events where props -> 'k' is not null", "select event_id, cast(props ->> 'k' as int) as k from events where (props -> 'k') is not null")
 text("dialect_casts", "select o_orderkey::string as k, '12'::int + 1 as n from orders where o_orderdate::date < '1995-01-01'::date", "select o_orderkey::varchar as k, '12'::int + 1 as n from orders where o_orderdate::date < '1995-01-01'::date")
 
 # --- scalar functions -----------------------------------------------------------------------
