@@ -67,6 +67,7 @@ class Batch:
             names = [f["name"] for f in json.loads(known["schema"])["fields"] if f["name"] not in PLACEMENT]
             df = df.select(*names) if set(names) == set(df.columns) else df
         self.staged.append((full, e.storage.stage(placed(df, full, e.registry, e.topology), full)))
+        e.ids.close()
 
     def __exit__(self, kind, value, trace) -> None:
         if kind is not None:
