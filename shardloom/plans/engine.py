@@ -10,9 +10,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
+from ..functions.canonical import spark_type
 from ..functions.hashing import literal_vshard
+from ..operators.ddl import FeatureNotSupported, check_ddl, normalize_ddl, parse_create, shard_key_comment, statements
 from ..sources.copy_format import copy_in, copy_out, plan_copy
 from ..sources.registry import Registry, table_name
 from ..sources.storage import BUCKET, BUCKET_DIR, PLACEMENT, SHARD, SLOT, ShardedStorage, placed
@@ -56,17 +58,17 @@ class Batch:
     def insert(self, name: str, df: DataFrame) -> None:
         e, full = self.engine, table_name(name)
         spec = e.registry.sharded(full)
-        if spec is None:
+        if full in e.attached:
             self.plain.append((full, df))
             return
-        if spec.generated and spec.key[0] not in df.columns:
+        if spec and spec.generated and spec.key[0] not in df.columns:
             columns = df.columns
             df = e.ids.numbered(df, full, spec.key[0], *columns)
         known = e.storage._content(full)
         if known:  # the stored order of columns
             names = [f["name"] for f in json.loads(known["schema"])["fields"] if f["name"] not in PLACEMENT]
             df = df.select(*names) if set(names) == set(df.columns) else df
-        self.staged.append((full, e.storage.stage(placed(df, full, e.registry, e.topology), full)))
+        self.staged.append((full, e.storage.stage(placed(df, full, e.registry, e.topology) if spec else df, full)))
         e.ids.close()
 
     def __exit__(self, kind, value, trace) -> None:
@@ -75,10 +77,11 @@ class Batch:
         e = self.engine
         if self.staged:
             e.storage.publish(self.staged)
-        for full, df in self.plain:
-            path = f"{e.folder}/{full}"
-            df.write.mode("append").parquet(path)
-            e.attached[full] = e.spark.read.parquet(path)
+        for full, df in self.plain:  # tables that are backed from outside: this engine alone sees the rows
+            now = e.attached[full]
+            path = f"{e.folder}/{full}-{uuid.uuid4().hex}"
+            df.select(*now.columns).write.parquet(path)
+            e.attached[full] = now.union(e.spark.read.schema(now.schema).parquet(path))
 
 
 class Engine:
@@ -193,7 +196,7 @@ class Engine:
     # --- reading
 
     def placed_table(self, name: str) -> DataFrame:
-        """With _shard, _vb and _vshard."""
+        """With _shard, _vb and _vshard, if it is sharded."""
         full = table_name(name)
         if full in self.attached:
             df = self.attached[full]
@@ -274,6 +277,74 @@ class Engine:
         plan = self._run(sql, args, route)._jdf.queryExecution().toString()
         return f"{head}\n{plan}"
 
+    # --- schema
+
+    def ddl(self, sql: str) -> CommandResult:
+        """CREATE, DROP and TRUNCATE TABLE, ADD COLUMN and the shard-key comment.
+
+        A batch is checked as a whole before anything happens, and the catalogs are published once
+        at its end. Serial and identity columns become generated BIGINT keys. A new table is
+        unsharded until comments on its columns name the key, in the order of the comments.
+        """
+        check_ddl(sql)
+        known = self.catalog.latest("definitions")[1] or {}
+        for s in statements(normalize_ddl(sql).sql):
+            if created := parse_create(s):
+                full = table_name(created[0])
+                if full in known:
+                    raise ValueError(f"42P07: {full} exists")
+                known = known | {full: {"columns": [list(c) for c in created[1]], "key": []}}
+                self.register_unsharded(full)
+                self._empty(full, known[full])
+            elif m := re.match(r"(?is)^drop\s+table\s+(if\s+exists\s+)?([\w.\"]+)", s):
+                full = table_name(m[2])
+                if full not in known and not m[1]:
+                    raise LookupError(f"42P01: no table {full}")
+                known = {k: v for k, v in known.items() if k != full}
+                self._forget(full)
+            elif m := re.match(r"(?is)^truncate\s+(?:table\s+)?([\w.\"]+)", s):
+                full = table_name(m[1])
+                self.storage.drop(full)
+                self._empty(full, known[full])
+            elif m := re.match(r"(?is)^alter\s+table\s+([\w.\"]+)\s+add\s+(?:column\s+)?(.+)$", s):
+                full = table_name(m[1])
+                _, (column,) = parse_create(f"create table x ({m[2]})")
+                rows = self.table(full).withColumn(column[0], F.lit(None).cast(spark_type(column[1])))
+                known = known | {full: known[full] | {"columns": [*known[full]["columns"], list(column)]}}
+                self._replace(full, rows)
+            elif key := shard_key_comment(s):
+                full = table_name(key[0])
+                spec = known[full] | {"key": [*known[full]["key"], key[1]]}
+                kinds = {c: (kind, identity) for c, kind, identity in spec["columns"]}
+                rows = self.table(full)
+                self.register(full, spec["key"], [kinds[k][0] for k in spec["key"]], generated=len(spec["key"]) == 1 and kinds[spec["key"][0]][1])
+                known = known | {full: spec}
+                self._replace(full, rows)
+            else:
+                raise FeatureNotSupported(f"this schema change: {s[:40]}")
+        self.catalog.update("definitions", lambda _: known)
+        self.save()
+        return CommandResult(" ".join(statements(sql)[0].upper().split()[:2]), 0)
+
+    def _empty(self, full: str, definition: dict) -> None:
+        schema = StructType([StructField(c, spark_type(kind)) for c, kind, _ in definition["columns"]])
+        self._replace(full, self.spark.createDataFrame([], schema))
+
+    def _replace(self, full: str, rows: DataFrame) -> None:
+        """Publish rows as the whole table; it is stored from now on."""
+        self.storage.replace(placed(rows, full, self.registry, self.topology) if full in self.registry.tables else rows, full)
+        self.attached.pop(full, None)
+
+    def _forget(self, full: str) -> None:
+        from dataclasses import replace
+
+        self.attached.pop(full, None)
+        self.storage.drop(full)
+        self.registry = self.registry.without(full)
+        tables = {k: v for k, v in self.topology.tables.items() if k != full}
+        self.topology = replace(self.topology, tables=tables, schema_fingerprint=self.registry.fingerprint(), revision=self.topology.revision + 1, updated=time.time())
+        self._plan()
+
     # --- writing
 
     def insert(self, name: str, rows: DataFrame) -> CommandResult:
@@ -317,13 +388,10 @@ class Engine:
             raise UnsafeRouting("MERGE on a sharded table")
         if source.groupBy(*on).count().where("count > 1").limit(1).count():
             raise ValueError("21000: MERGE would change a row twice")
-        now = self.attached[full]
+        now = self.table(full)
         rest = now.join(source, on, "left_anti")
-        merged = rest.select(*now.columns).union(source.select(*now.columns))
-        path = f"{self.folder}/{full}-{uuid.uuid4().hex}"
-        merged.write.parquet(path)
-        self.attached[full] = self.spark.read.parquet(path)
         n = source.count()
+        self._replace(full, rest.select(*now.columns).union(source.select(*now.columns)))
         return CommandResult(f"MERGE {n}", n)
 
     def execute(self, sql: str, args: dict | list | None = None, *, strict: bool = True) -> CommandResult:
@@ -335,7 +403,10 @@ class Engine:
             raise UnsafeRouting(route.reason)
         if route.write == "insert":
             m = re.match(r"(?is)\s*insert\s+into\s+([\w.\"]+)\s*(?:\(([^)]*)\))?\s*(.*)$", sql)
-            rows = self.spark.sql(m[3] if m[3].lower().startswith(("select", "with")) else f"select * from {m[3]}", args) if args else self.spark.sql(m[3] if m[3].lower().startswith(("select", "with")) else f"select * from {m[3]}")
+            if m[3].lower().startswith(("select", "with")):
+                rows = self.sql(m[3], args)
+            else:
+                rows = self.spark.sql(f"select * from {m[3]}", args) if args else self.spark.sql(f"select * from {m[3]}")
             columns = [c.strip().strip('"') for c in m[2].split(",")] if m[2] else None
             target = self.table(route.table)
             columns = columns or target.columns

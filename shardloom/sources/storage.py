@@ -57,11 +57,14 @@ class ShardedStorage:
         return (now or {}).get(table_name(table))
 
     def stage(self, df: DataFrame, table: str) -> dict:
-        """Write rows that have placement columns into new files; nothing is visible yet."""
+        """Write rows into new files, by their placement if they have one; nothing is visible yet."""
         version = uuid.uuid4().hex
         path = f"{self.folder}/{table_name(table)}/{version}"
-        parts = df.repartition(SHARD, BUCKET_DIR).sortWithinPartitions(SHARD, BUCKET_DIR, SLOT)
-        parts.write.partitionBy(SHARD, BUCKET_DIR).parquet(path)
+        if SHARD in df.columns:
+            parts = df.repartition(SHARD, BUCKET_DIR).sortWithinPartitions(SHARD, BUCKET_DIR, SLOT)
+            parts.write.partitionBy(SHARD, BUCKET_DIR).parquet(path)
+        else:
+            df.write.parquet(path)
         return {"version": version, "schema": df.schema.json()}
 
     def publish(self, staged: list[tuple[str, dict]]) -> None:
@@ -79,8 +82,15 @@ class ShardedStorage:
 
         self.store.update(self.KIND, change)
 
-    def append(self, df: DataFrame, table: str) -> None:
-        self.publish([(table, self.stage(df, table))])
+    def replace(self, df: DataFrame, table: str) -> None:
+        """Publish df as the whole table, whatever its shape was."""
+        full, new = table_name(table), self.stage(df, table)
+
+        def change(now: dict | None) -> dict:
+            before = (now or {}).get(full, {"revision": 0})["revision"]
+            return (now or {}) | {full: {"schema": new["schema"], "versions": [{"version": new["version"], "hidden": []}], "revision": before + 1}}
+
+        self.store.update(self.KIND, change)
 
     def rewrite(self, change, table: str, touched: list[tuple[str, int]], seen: int) -> None:
         """Copy on write of some directories: their changed rows in a new version, the old ones hidden.

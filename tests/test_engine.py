@@ -155,3 +155,27 @@ def test_moved_slots_follow_the_distribution(spark, tmp_path):
     d = e.topology.distribution("public.t").moved(list(range(1, 65536, 2)), "s2")
     t = replace(e.topology, distributions={"default": d})
     assert {r["_shard"] for r in placed(spark.range(50), "t", e.registry, t).collect()} == {"s2"}
+
+
+def test_ddl(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/d", shards=["s1", "s2"])
+    e.ddl("create table widgets (id serial primary key, name text not null, price numeric(18,2)); comment on column widgets.id is 'app.shard_key'")
+    assert e.registry.sharded("widgets").generated and e.table("widgets").count() == 0
+    e.load("widgets", spark.createDataFrame([("a", 1), ("b", 2)], "name string, price int").selectExpr("name", "cast(price as decimal(18,2)) as price"))
+    assert {(r["id"], r["name"]) for r in e.sql("select id, name from widgets").collect()} == {(1, "a"), (2, "b")}
+    e.ddl("alter table widgets add column note text")
+    assert e.table("widgets").columns == ["id", "name", "price", "note"] and e.sql("select name from widgets where id = 2", strict=True).first()["name"] == "b"
+    e.ddl("create table dims (k int, v text)")
+    e.execute("insert into dims (k, v) values (1, 'x')")
+    assert e.execute("insert into dims (k, v) select k + 1, v from dims").rows == 1 and e.table("dims").count() == 2
+    with pytest.raises(ValueError, match="42P07"):
+        e.ddl("create table dims (k int)")
+    with pytest.raises(Exception, match="0A000"):
+        e.ddl("create table other (k int); create database x")
+    assert "public.other" not in e.registry.unsharded
+    e.ddl("truncate widgets")
+    assert e.table("widgets").count() == 0
+    e.ddl("drop table widgets")
+    assert e.registry.sharded("widgets") is None
+    again = Engine(spark, f"file://{tmp_path}/d")
+    assert again.registry == e.registry and again.table("dims").count() == 2
