@@ -6,6 +6,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import accumulate
 
 import numpy as np
@@ -15,13 +16,36 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, table
+from .common import release, scratch_path, table
 
 NO_ID = -(2**63)  # stands for a null doc_id in the files
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 TWO_SPACES = re.compile(r"\s\s")
 
 
+@dataclass(frozen=True)
+class Facts:
+    """What the driver reads off a tokenizers file once, so that workers need not."""
+
+    cuts: bool  # texts may be cut before single spaces
+    size: int
+    opens: bytes  # a bit for each id: its token starts with the byte-level sign of a space
+
+    @classmethod
+    def of(cls, path: str) -> Facts:
+        from tokenizers import Tokenizer
+
+        lib = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        pre, added = told.get("pre_tokenizer") or {}, told.get("added_tokens") or []
+        cuts = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space", True) and pre.get("use_regex", True) and not told.get("normalizer") and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or " " in a["content"] for a in added)
+        size = lib.get_vocab_size(with_added_tokens=True)
+        opens = np.zeros(size, np.bool_)
+        opens[[i for x, i in lib.get_vocab().items() if x.startswith("\u0120")]] = True
+        return cls(bool(cuts), size, np.packbits(opens).tobytes())
+
+
 class Encoder:
     """Whole texts to token ids with a tokenizers file.
 
@@ -30,31 +54,39 @@ class Encoder:
     spaces; pieces recur, and each is encoded by the library once. Other files get whole texts.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, facts: Facts | None = None, hold: int = 1_500_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        told = json.loads(self.lib.to_str())
-        pre = told.get("pre_tokenizer") or {}
-        added = told.get("added_tokens") or []
-        self.cuts = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space", True) and pre.get("use_regex", True) and not told.get("normalizer") and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or " " in a["content"] for a in added)
-        self.size = self.lib.get_vocab_size(with_added_tokens=True)
-        self.opens = np.zeros(self.size, np.bool_)
-        if self.cuts:
-            self.opens[[i for x, i in self.lib.get_vocab().items() if x.startswith("\u0120")]] = True  # the byte-level sign of a space
+        facts, self.hold = facts or Facts.of(path), hold  # ids of known pieces, some 50 MB a million
+        self.cuts, self.size = facts.cuts, facts.size
+        self.opens = np.unpackbits(np.frombuffer(facts.opens, np.uint8)).astype(np.bool_)
         self.clear()
 
     def clear(self) -> None:
         self.known: tuple[dict[str, int], dict[str, int]] = ({}, {})
-        self.start, self.length, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
+        self.start, self.length, self.hits = (np.zeros(1 << 16, np.int64) for _ in range(3))
+        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+
+    def trim(self, least: int = 3) -> None:
+        """Forget the pieces that came less than least times since the last trim."""
+        old, start, length, flat, hits = self.known, self.start, self.length, self.flat, self.hits
+        self.clear()
+        for k in (0, 1):
+            kept = [(p, i) for p, i in old[k].items() if hits[i] >= least]
+            if kept:
+                at = np.array([i for _, i in kept])
+                n = length[at]
+                where = np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                self._keep(k, [p for p, _ in kept], flat[where], n)
 
     def _keep(self, k: int, pieces: list[str], flat: np.ndarray, length: np.ndarray) -> None:
         n = len(self.known[0]) + len(self.known[1])
         while n + len(pieces) > len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
+            self.start, self.length, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.hits))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.flat[self.used : self.used + len(flat)] = flat
@@ -87,8 +119,8 @@ class Encoder:
         texts = [t or "" for t in texts]
         if not self.cuts:
             return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-        if self.used > 6_000_000:
-            self.clear()
+        if self.used > self.hold:
+            self.trim()
         first, rest = self.known
         heads, tails = [], []
         for t in texts:
@@ -99,24 +131,30 @@ class Encoder:
             self._learn(0, list(need))
         if need := set().union(*tails).difference(rest):
             self._learn(1, list(need))
-        out = []
+        out, ats = [], []
         for head, tail in zip(heads, tails, strict=True):
             at = np.fromiter(map(rest.__getitem__, tail), np.int64, len(tail))
             at = np.concatenate([[first[head]], at])
+            ats.append(at)
             length = self.length[at]
             total = int(length.sum())
             where = np.repeat(self.start[at] - (np.cumsum(length) - length), length) + np.arange(total)
             out.append(self.flat[where])
+        if ats:
+            count = np.bincount(np.concatenate(ats))
+            self.hits[: len(count)] += count
         return out
 
 
-def encoder(path: str) -> Encoder:
-    """One for each worker process, so that its pieces serve later tasks as well."""
+def encoder(path: str, facts: Facts, warm: bool) -> Encoder:
+    """If warm, one for each worker process, whose frequent pieces serve later tasks as well."""
+    if not warm:
+        return Encoder(path, facts)
     import tokenizers
 
     held = tokenizers.__dict__.setdefault("_shardloom_encoders", {})
     if path not in held:
-        held[path] = Encoder(path)
+        held[path] = Encoder(path, facts, 6_000_000)
     return held[path]
 
 
@@ -144,7 +182,7 @@ def _mapped(fs: pafs.FileSystem, path: str, kind: str) -> np.ndarray:
         return np.frombuffer(f.read_buffer(), kind)
 
 
-def write_tokens(docs: DataFrame, uri: str, *, tokenizer: str, end_id: int = 0, parts: int | None = None) -> dict:
+def write_tokens(docs: DataFrame, uri: str, *, tokenizer: str, end_id: int = 0, parts: int | None = None, warm: bool = True) -> dict:
     """Encode every whole text (null: empty), append end_id, and write in ascending doc_id order.
 
     docs needs doc_id (integer) and text. The folder uri, which all executors share, gets
@@ -154,30 +192,34 @@ def write_tokens(docs: DataFrame, uri: str, *, tokenizer: str, end_id: int = 0,
     - index.json: dtype, parts, and for each part its documents, ids and base.
     Parts follow each other in doc_id order; equal doc_ids are ordered by a hash of the text, a
     null doc_id comes first. Bases are prefix sums of the parts' sizes (one row a part reaches
-    the driver). Returns the index.
+    the driver). warm keeps the encoder of a worker from task to task (faster; some 300 MB each).
+    Returns the index.
     """
     spark = docs.sparkSession
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    kind = "<u2" if Encoder(tokenizer).size <= 1 << 16 else "<u4"
+    facts = Facts.of(tokenizer)
+    kind = "<u2" if facts.size <= 1 << 16 else "<u4"
     fs, root = _store(uri)
     fs.create_dir(root, recursive=True)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _store(uri)
-        part, code = TaskContext.get().partitionId(), encoder(tokenizer)
+        part, code = TaskContext.get().partitionId(), encoder(tokenizer, facts, warm)
         ids, lengths, end = [], [], np.array([end_id], np.uint32)
 
         def tokens(out) -> None:
             for batch in batches:
                 ids.append(batch.column(0).fill_null(NO_ID).to_numpy())
-                texts = batch.column(1).to_pylist()
-                for i in range(0, len(texts), 256):
-                    found = code(texts[i : i + 256])
+                for i in range(0, batch.num_rows, 256):
+                    found = code(batch.column(1).slice(i, 256).to_pylist())
                     lengths.append(np.array([len(x) + 1 for x in found], np.uint64))
                     out.write(np.concatenate([y for x in found for y in (x, end)]).astype(kind).tobytes())
 
         name = f"{root}/%s-{part:05d}.bin"
         _put(fs, name % "tokens", tokens)
+        if not warm:
+            code = None
+            release()
         ids, lengths = np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros(0, np.uint64), *lengths])
         _put(fs, name % "docs", lambda out: out.write(ids.astype("<i8").tobytes()))
         _put(fs, name % "lengths", lambda out: out.write(lengths.astype("<u8").tobytes()))
