@@ -24,15 +24,15 @@ class Template:
 
     roles: dict[str, tuple[str, str, bool]] = field(default_factory=lambda: {"system": ("<<SYS>>\n", "\n<</SYS>>\n", False), "user": ("<s>[INST] ", " [/INST]", False), "assistant": (" ", " </s>", True)})
     other: tuple[str, str, str] = ("[ROLE]", "[=]", "[/ROLE]")
-    controls: tuple[str, ...] = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[=]", "[/ROLE]", "<|", "|>")
+    controls: tuple[str, ...] = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[=]", "[/ROLE]", "<|")
     #: state -> role -> next state; a role that has no entry breaks the order of turns
     turns: dict[str, dict[str, str]] = field(default_factory=lambda: {"start": {"system": "system", "user": "user"}, "system": {"user": "user"}, "user": {"assistant": "assistant"}, "assistant": {"user": "user"}})
     ends: tuple[str, ...] = ("assistant",)
 
     def escape(self, text: str) -> str:
         """A backslash is doubled; a control string gets backslash, point behind its first character."""
-        marks = re.compile("|".join(re.escape(c) for c in sorted(self.controls, key=len, reverse=True)))
-        return marks.sub(lambda m: m[0][0] + "\\." + m[0][1:], text.replace("\\", "\\\\"))
+        starts = re.compile(f"(?={'|'.join(re.escape(c) for c in self.controls)}).", re.S)  # overlapping ones too
+        return starts.sub(lambda m: m[0] + "\\.", text.replace("\\", "\\\\"))
 
     @staticmethod
     def unescape(text: str) -> str:
@@ -165,7 +165,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PLAIN = r"replace(coalesce(text, ''), '\', '\\')"
-_ESCAPED_CHARS = f"(length({_PLAIN}) + 2 * len(regexp_extract_all({_PLAIN}, '<<SYS>>|<</SYS>>|\\[/ROLE\\]|\\[/INST\\]|\\[ROLE\\]|\\[INST\\]|</s>|\\[=\\]|<s>|<\\||\\|>')))"
+_ESCAPED_CHARS = f"(length({_PLAIN}) + 2 * len(regexp_extract_all({_PLAIN}, '<<SYS>>|<</SYS>>|\\[/ROLE\\]|\\[/INST\\]|\\[ROLE\\]|\\[INST\\]|</s>|\\[=\\]|<s>|<\\|')))"
 OP4_SQL = f"""
 with rows as (
   select conv_id, turn, role, text from conversations
