@@ -10,7 +10,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import drop_since, scratch_mark, table, written
 
 SHINGLE = 5
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit and width
@@ -103,7 +103,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8) -
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **parameters: float) -> DataFrame:
     """docs without the rows whose text holds a benchmark item (see matches)."""
+    mark = scratch_mark()
     gone = written(matches(docs, benchmark, **parameters).select("rid").distinct(), "leaks")
+    drop_since(docs.sparkSession, mark, gone)
     rid = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return docs.withColumn("__rid", rid).join(_small(gone.withColumnRenamed("rid", "__rid"), gone.count()), "__rid", "left_anti").select(*docs.columns)
 
@@ -111,3 +113,20 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, **parameters: float) -
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "start", "words", F.round("similarity", 6).alias("similarity"))
+
+
+_SHINGLES = "list_transform(range(1, greatest(1, len(w) - 3)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4])"
+_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+OP10_SQL = f"""
+with d as (select doc_id, len(w) as n, {_SHINGLES} as sh from (select distinct doc_id, text, {_WORDS} as w from documents)),
+i as (select item_id, len(w) as words, {_SHINGLES} as sh from (select item_id, {_WORDS} as w from benchmark) where len(w) >= 5),
+needle as (select distinct words, unnest(sh) as h, generate_subscripts(sh, 1) - 1 as off from i),
+hay as (select doc_id, n, sh, unnest(sh) as h, generate_subscripts(sh, 1) - 1 as pos from d),
+win as (select distinct doc_id, words, greatest(0, least(pos - off, n - words)) as start, sh from hay join needle using (h)),
+cut as (select doc_id, words, start, sh[start + 1 : start + words - 4] as ws from win),
+pair as (select doc_id, item_id, start, words, len(ws) as a, len(sh) as b,
+  list_sum(list_transform(list_distinct(sh), lambda x: least(len(list_filter(ws, lambda y: y = x)), len(list_filter(sh, lambda z: z = x))))) as c
+  from cut join i using (words) where len(list_intersect(ws, sh)) > 0),
+best as (select *, c / (a + b - c) as sim, row_number() over (partition by doc_id, item_id order by c / (a + b - c) desc, start) as k from pair where c / (a + b - c) >= 0.8)
+select doc_id, item_id, cast(start as int) as start, cast(words as int) as words, round(sim, 6) as similarity from best where k = 1
+"""

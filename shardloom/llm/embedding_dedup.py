@@ -160,3 +160,17 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.98) -> DataFrame
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e as (
+  select a.vec_id as p, b.vec_id as q from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.98),
+r(p, q) as (select vec_id, vec_id from v union select r.p, e.q from r join e on r.q = e.p),
+m as (select p, min(q) as c from r group by p)
+select t.vec_id, (select count(*) from e where e.p = t.vec_id) as n_links, coalesce(m.c, t.vec_id) as component_id, t.vec_id = coalesce(m.c, t.vec_id) as kept
+from embeddings t left join m on m.p = t.vec_id
+"""

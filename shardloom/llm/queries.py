@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from .chat import OP4_SQL, op4_chat_formatting
-from .decontaminate import op10_benchmark_decontamination
-from .embedding_dedup import op5_embedding_near_dedup
+from .decontaminate import OP10_SQL, op10_benchmark_decontamination
+from .embedding_dedup import OP5_SQL, op5_embedding_near_dedup
 from .html_text import op9_html_extraction
-from .minhash_dedup import op8_minhash_near_dedup
+from .minhash_dedup import OP8_SQL, op8_minhash_near_dedup
 from .mixing import op7_mixing
 from .quality import op2_quality_classifier
 from .sharding import op6_sharding
@@ -29,4 +29,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_url_filter": OP1_SQL,
     "op4_chat_formatting": OP4_SQL,
+    "op5_embedding_near_dedup": OP5_SQL,
+    "op8_minhash_near_dedup": OP8_SQL,
+    "op10_benchmark_decontamination": OP10_SQL,
 }
