@@ -64,7 +64,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     uri = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(uri)
+    df.write.parquet(uri)
     return spark.read.schema(df.schema).parquet(uri)
 
 
@@ -76,6 +76,33 @@ def drop_written(df: DataFrame) -> None:
             _delete(spark, folder)
 
 
+def scratch_mark() -> int:
+    """The scratch so far, for drop_since()."""
+    return len(_scratch)
+
+
+def drop_since(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Remove the scratch made since the mark but for the tables that later plans read."""
+    names = {f.rpartition("/")[0].rpartition("/shardloom-")[2] for df in keep for f in df.inputFiles()}
+    for at, uri in _scratch[mark:]:
+        if at is spark and uri.rpartition("/shardloom-")[2] not in names:
+            _delete(spark, uri)
+    _scratch[mark:] = [x for x in _scratch[mark:] if x[1].rpartition("/shardloom-")[2] in names or x[0] is not spark]
+
+
+def release() -> None:
+    """Give a worker's freed memory back: workers stay for later tasks of other operators."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def groups_by(key: str, pick: Callable[[pa.RecordBatch | pa.Table], object]) -> Callable[[Iterator[pa.RecordBatch]], Iterator]:
     """From a key-sorted batch stream, yield pick(table) for each run of equal keys."""
 

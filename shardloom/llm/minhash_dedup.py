@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, components, drop_written, groups_by, mix64, table, written
+from .common import Forest, components, drop_since, groups_by, mix64, release, scratch_mark, table, written
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -33,7 +33,7 @@ class Shingler:
 
     def words(self, text: str | None) -> np.ndarray:
         known = self.known
-        if len(known) > 1_000_000:
+        if len(known) > 250_000:
             known.clear()
         out = []
         for x in WORDS.findall((text or "").translate(LOWER)):
@@ -69,7 +69,7 @@ def signatures(docs: DataFrame, shingle: int, k: int, seed: int) -> DataFrame:
         s = Shingler(shingle)
         for batch in batches:
             seq, n, sig, at = [], [], [], [0]
-            for text in batch.column(1).to_pylist():
+            for text in (t for i in range(0, batch.num_rows, 500) for t in batch.column(1).slice(i, 500).to_pylist()):
                 h = s.words(text)
                 x = s.of_words(h)
                 n.append(len(x))
@@ -83,6 +83,8 @@ def signatures(docs: DataFrame, shingle: int, k: int, seed: int) -> DataFrame:
             flat = pa.array(np.concatenate(sig).view(np.int64) if sig else np.array([], np.int64))
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seq, pa.binary()), pa.array(n, pa.int64()), lists], ["doc_id", "seq", "n_shingles", "sig"])
+        del s
+        release()
 
     return docs.mapInArrow(run, "doc_id long, seq binary, n_shingles long, sig array<long>")
 
@@ -95,6 +97,8 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             sets = [s.of_words(s.words(t)).tobytes() for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["doc_id", "class", "nb", "set"])
+        del s
+        release()
 
     return docs.mapInArrow(run, "doc_id long, class long, nb int, set binary")
 
@@ -164,13 +168,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, k:
 
     Equal word sequences are one node throughout (copies are never compared with each other).
     Rows without words link with nothing and form their own component. A null doc_id links with
-    nothing: component_id null, kept true. Rows that repeat a doc_id share its component.
+    nothing: component_id null, kept true. Rows that repeat a doc_id are judged each by its text.
     """
-    spark = docs.sparkSession
+    spark, mark = docs.sparkSession, scratch_mark()
     t = match_threshold(percent / 100, k)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prep = written(signatures(docs, shingle, k, seed), "minhash")
-    slim = prep.select("doc_id", "seq", "n_shingles")
+    slim = written(prep.select("doc_id", "seq", "n_shingles"), "sizes")
     reps = written(slim.where("seq is not null and doc_id is not null").groupBy("seq").agg(F.min("doc_id").alias("doc_id")), "reps")
     posts = prep.join(reps, ["seq", "doc_id"]).select("doc_id", F.posexplode("sig").alias("pos", "low")).select("doc_id", F.xxhash64("pos", "low").alias("post"))
     shared = posts.groupBy("post").agg(F.count("*").alias("df")).where("df > 1")
@@ -195,11 +199,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, k:
     placed = sets.withColumn("block", block).withColumn("with", F.explode(F.expr("sequence(0, nb - 1)")))
     placed = placed.select("doc_id", "set", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "class")
     placed = placed.withColumn("gid", F.xxhash64("class", "lo", "hi"))
-    links = placed.repartition("gid").sortWithinPartitions("gid").mapInArrow(_links(percent), "a long, b long")
+    links = written(placed.repartition("gid").sortWithinPartitions("gid").mapInArrow(_links(percent), "a long, b long"), "links")
     label = components(links)
     of_seq = written(reps.join(label, reps.doc_id == label.node, "left").select("seq", F.coalesce("component", "doc_id").alias("of_text")), "labels")
-    for old in (prep, posting, lists, classes, sizes, member, sets):
-        drop_written(old) if old is not prep else None
+    drop_since(spark, mark, slim, of_seq)
     found = slim.join(of_seq, "seq", "left").withColumn("component_id", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("of_text", "doc_id")))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
@@ -209,10 +212,31 @@ def deduplicated(docs: DataFrame, **parameters: int) -> DataFrame:
 
     Of rows that repeat a doc_id all stay or go; rows with a null doc_id stay.
     """
-    gone = near_duplicates(docs, **parameters).where("not kept").select("doc_id").distinct()
-    gone = written(gone, "gone")
+    mark = scratch_mark()
+    gone = written(near_duplicates(docs, **parameters).where("not kept").select("doc_id").distinct(), "gone")
+    drop_since(docs.sparkSession, mark, gone)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+OP8_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as g from d),
+t as (select doc_id, md5(array_to_string(list_sort(g), '|')) as k, len(g) as n, g from s),
+rep as (select k, min(doc_id) as doc_id, any_value(n) as n, any_value(g) as g from t where n > 0 group by k),
+u as (select doc_id, n, unnest(g) as x from rep),
+i as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c from u a join u b on a.x = b.x and a.doc_id < b.doc_id
+  and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by 1, 2),
+l as (select a, b from i where 100 * c >= 85 * (na + nb - c)),
+e as (select a as p, b as q from l union all select b, a from l),
+r(p, q) as (select doc_id, doc_id from rep union select r.p, e.q from r join e on r.q = e.p),
+m as (select p, min(q) as c from r group by p)
+select t.doc_id, cast(t.n as bigint) as n_shingles, coalesce(m.c, t.doc_id) as component_id, t.doc_id = coalesce(m.c, t.doc_id) as kept
+from t left join rep using (k) left join m on m.p = rep.doc_id
+"""

@@ -6,16 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, scratch_path, table, written
+from .common import drop_since, mix64, release, scratch_mark, scratch_path, table, written
 
 BOS, EOS = "\x02", "\x03"
-BATCH = 32_000_000  # bytes of text whose distinct n-grams are looked up together
+BATCH = 24_000_000  # bytes of text whose distinct n-grams are looked up together
 FEW = 2_000_000  # trusted ids that may be broadcast (16 MB of longs); more are joined by shuffle
-PIECE = 2_000_000  # longer texts are cut, with overlap, into pieces of so many characters
-DENSE = 1 << 24
+PIECE = 1_000_000  # longer texts are cut, with overlap, into pieces of so many characters
+SLICE = 2_000  # rows whose texts are Python strings at a time
+DENSE = 1 << 23
 
 
 def pieces(text: str | None, order: int) -> list[str]:
@@ -151,22 +152,30 @@ def _whole_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.
         yield keyed()
 
 
+def _summed(parts: list[pa.Table]) -> pa.Table:
+    out = pa.concat_tables(parts).group_by("gram").aggregate([("n", "sum")])
+    return out.rename_columns(["gram" if c == "gram" else "n" for c in out.column_names])
+
+
 def batch_grams(docs: DataFrame, order: int) -> DataFrame:
     """batch, gram, n: the distinct n-grams of each batch of rows; n counts them in its known rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, t in _whole_batches(batches):
-            trusted = np.array(t.column("known").to_pylist(), np.int64)
-            found: dict[str, int] = {}
-            for parts, of in _batched(t.column("text").to_pylist(), order):
-                gram, code, owner = grams(parts, order)
-                n = np.bincount(code, trusted[np.array(of)[owner]]).astype(np.int64).tolist()
-                for g, k in zip(gram, n, strict=True):
-                    found[g] = found.get(g, 0) + k
-            known = list(found)
-            for i in range(0, len(known), 100_000):
-                some = known[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(some), pa.int64()), pa.array(some, pa.string()), pa.array([found[g] for g in some], pa.int64())], ["batch", "gram", "n"])
+            held = []
+            for first in range(0, t.num_rows, SLICE):
+                part = t.slice(first, SLICE)
+                trusted = part.column("known").to_numpy(zero_copy_only=False).astype(np.int64)
+                for parts, of in _batched(part.column("text").to_pylist(), order):
+                    gram, code, owner = grams(parts, order)
+                    n = np.bincount(code, trusted[np.array(of)[owner]]).astype(np.int64)
+                    held.append(pa.table({"gram": pa.array(gram, pa.string()), "n": n}))
+                if len(held) > 8:
+                    held = [_summed(held)]
+            for found in _summed(held).to_batches(max_chunksize=100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(found.num_rows, key)), found.column("gram"), found.column("n")], ["batch", "gram", "n"])
+            del held, t
+            release()
 
     return docs.mapInArrow(run, "batch long, gram string, n long")
 
@@ -181,31 +190,46 @@ def perplexities(docs: DataFrame, answers: DataFrame, order: int) -> DataFrame:
     uri = scratch_path(spark, "answers")
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shard = F.pmod("batch", F.lit(shards)).cast("int")
-    answers.withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions("batch").write.partitionBy("shard").option("compression", "zstd").parquet(uri)
+    answers.withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions("batch").write.partitionBy("shard").parquet(uri)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import compute, parquet
         from pyarrow import fs as pafs
-        from pyarrow import parquet
 
         fs, root = pafs.FileSystem.from_uri(uri)
         for key, t in _whole_batches(batches):
             found = parquet.read_table(f"{root}/shard={key % shards}", filesystem=fs, filters=[("batch", "=", key)], columns=["gram", "logp"], partitioning=None)
-            score = dict(zip(found.column("gram").to_pylist(), found.column("logp").to_pylist(), strict=True))
-            texts = t.column("text").to_pylist()
-            logp, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            for parts, of in _batched(texts, order):
-                gram, code, owner = grams(parts, order)
-                if not score:
-                    raise RuntimeError("the partitions of the input changed between two passes; write it to a table first")
-                value = np.array([score[g] for g in gram])
-                row = np.array(of)[owner]
-                logp += np.bincount(row, value[code], len(texts))
-                n += np.bincount(row, minlength=len(texts))
+            known, score = found.column("gram").combine_chunks(), found.column("logp").to_numpy()
+            logp, n = np.zeros(t.num_rows), np.zeros(t.num_rows, np.int64)
+            for first in range(0, t.num_rows, SLICE):
+                texts = t.column("text").slice(first, SLICE).to_pylist()
+                for parts, of in _batched(texts, order):
+                    gram, code, owner = grams(parts, order)
+                    at = compute.index_in(pa.array(gram, pa.string()), value_set=known)
+                    if at.null_count:
+                        raise RuntimeError("the partitions of the input changed between two passes; write it to a table first")
+                    row = first + np.array(of)[owner]
+                    logp += np.bincount(row, score[at.to_numpy()][code], t.num_rows)
+                    n += np.bincount(row, minlength=t.num_rows)
             yield pa.RecordBatch.from_arrays([t.column("rid").combine_chunks(), pa.array(n), pa.array(logp)], ["rid", "n", "logp"])
+            del found, known, score, t
+            release()
 
     return docs.mapInArrow(total, "rid long, n long, logp double")
 
 
+def bounds_of(bars: DataFrame, low: float, high: float, *by: str) -> DataFrame:
+    """by, q (the low, high and middle quantile of known rows) and mid (the middle one of others).
+
+    bars: counts n of values b (thousandths). Exact for these values: cumulative counts over the
+    bars, so neither rows nor sketches gather in a task.
+    """
+    w = Window.partitionBy(*by, "known")
+    cum = bars.withColumns({"cum": F.sum("n").over(w.orderBy("b")), "all": F.sum("n").over(w)})
+    at = lambda p, known: F.min(F.when((F.col("known") == known) & (F.col("cum") >= p * F.col("all")), F.col("b"))) / 1000
+    return cum.groupBy(*by).agg(F.array(at(low, True), at(high, True), at(0.5, True)).alias("q"), at(0.5, False).alias("mid"))
+
+
 def judged(docs: DataFrame, labels: DataFrame, *, order: int = 5, high: float = 0.99, low: float = 0.01, slack: float = 0.1, sure: float = 3.0, seed: int = 11) -> DataFrame:
     """docs with n_tokens, perplexity, low_bound, high_bound, kept.
 
@@ -222,7 +246,7 @@ def judged(docs: DataFrame, labels: DataFrame, *, order: int = 5, high: float =
     language. Repeated rows are scored alike. Without trusted text everything else is kept, with
     null perplexity and bounds.
     """
-    cols = docs.columns
+    cols, spark, mark = docs.columns, docs.sparkSession, scratch_mark()
     row = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
     trusted = written(labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id", F.lit(True).alias("known")).distinct(), "trusted")
     few = trusted.count() <= FEW
@@ -239,12 +263,15 @@ def judged(docs: DataFrame, labels: DataFrame, *, order: int = 5, high: float =
     scores = written(score_grams(counts, model, floor, order), "scores")
     answers = need.select("batch", "gram").join(scores, "gram")
     score = written(perplexities(text, answers, order).groupBy("rid").agg(F.max("n").alias("n"), F.max("logp").alias("logp")), "perplexity")
+    drop_since(spark, mark, trusted, score)
     base = row.select("rid", "doc_id", F.coalesce("lang", F.lit("")).alias("of")).join(score, "rid").withColumn("h", -F.col("logp") / F.col("n"))
     base = base.join(F.broadcast(trusted) if few else trusted, "doc_id", "left")
-    own, other = F.when(F.col("known"), F.col("h")), F.when(F.col("known").isNull(), F.col("h"))
-    stats = F.struct(F.percentile_approx(own, F.array(F.lit(low), F.lit(high), F.lit(0.5)), 10_000).alias("q"), F.percentile_approx(other, 0.5, 10_000).alias("mid"))
-    every = base.agg(stats.alias("s")).first()["s"]  # four numbers
-    bounds = written(base.groupBy("of").agg(stats.alias("s")).select("of", "s.q", "s.mid"), "bounds")
+    mark = base.select("of", F.coalesce("known", F.lit(False)).alias("known"), F.round(F.col("h") * 1000).cast("long").alias("b"))
+    bars = written(mark.groupBy("of", "known", "b").agg(F.count("*").alias("n")), "bars")  # some thousands a language
+    every = bounds_of(bars.groupBy("known", "b").agg(F.sum("n").alias("n")), low, high).first()  # four numbers
+    if every is None or every["q"] is None:
+        every = {"q": [0.0, 0.0, 0.0]}
+    bounds = written(bounds_of(bars, low, high, "of"), "bounds")
     out = row.withColumn("of", F.coalesce("lang", F.lit(""))).join(score, "rid", "left").join(bounds, "of", "left")
     q = [F.coalesce(F.col("q")[i], F.lit(every["q"][i])) for i in range(3)]
     h, margin = -F.col("logp") / F.col("n"), sure * q[2] / F.sqrt("n")
