@@ -182,7 +182,26 @@ def _mapped(fs: pafs.FileSystem, path: str, kind: str) -> np.ndarray:
         return np.frombuffer(f.read_buffer(), kind)
 
 
-def write_tokens(docs: DataFrame, uri: str, *, tokenizer: str, end_id: int = 0, parts: int | None = None, warm: bool = True) -> dict:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal rows next to each other in a batch become one with their number."""
+    from pyarrow import compute
+
+    for batch in batches:
+        m = batch.num_rows
+        if not m:
+            continue
+        equal = np.ones(m - 1, np.bool_)
+        for c in batch.columns:
+            a, b = c.slice(1), c.slice(0, m - 1)
+            same = compute.fill_null(compute.equal(a, b), False).to_numpy(zero_copy_only=False)
+            equal &= same | (a.is_null().to_numpy(zero_copy_only=False) & b.is_null().to_numpy(zero_copy_only=False))
+        new = np.concatenate([[True], ~equal])
+        first = np.flatnonzero(new)
+        kept = batch.take(pa.array(first))
+        yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(np.diff(np.append(first, m)))], ["doc_id", "text", "n"])
+
+
+def write_tokens(docs: DataFrame, uri: str, *, tokenizer: str, end_id: int = 0, parts: int | None = None, warm: bool = True, runs: bool = False) -> dict:
     """Encode every whole text (null: empty), append end_id, and write in ascending doc_id order.
 
     docs needs doc_id (integer) and text. The folder uri, which all executors share, gets
@@ -192,7 +211,9 @@ def write_tokens(docs: DataFrame, uri: str, *, tokenizer: str, end_id: int = 0,
     - index.json: dtype, parts, and for each part its documents, ids and base.
     Parts follow each other in doc_id order; equal doc_ids are ordered by a hash of the text, a
     null doc_id comes first. Bases are prefix sums of the parts' sizes (one row a part reaches
-    the driver). warm keeps the encoder of a worker from task to task (faster; some 300 MB each).
+    the driver). runs: rows that repeat stand next to each other in the input (as a mixture's epochs
+    do); each run of equal rows is shuffled and encoded once and written as often as it occurs.
+    warm keeps the encoder of a worker from task to task (faster; some 300 MB each).
     Returns the index.
     """
     spark = docs.sparkSession
@@ -209,11 +230,13 @@ def write_tokens(docs: DataFrame, uri: str, *, tokenizer: str, end_id: int = 0,
 
         def tokens(out) -> None:
             for batch in batches:
-                ids.append(batch.column(0).fill_null(NO_ID).to_numpy())
+                times = batch.column(2).to_numpy()
+                ids.append(np.repeat(batch.column(0).fill_null(NO_ID).to_numpy(), times))
                 for i in range(0, batch.num_rows, 256):
                     found = code(batch.column(1).slice(i, 256).to_pylist())
-                    lengths.append(np.array([len(x) + 1 for x in found], np.uint64))
-                    out.write(np.concatenate([y for x in found for y in (x, end)]).astype(kind).tobytes())
+                    again = times[i : i + 256]
+                    lengths.append(np.repeat(np.array([len(x) + 1 for x in found], np.uint64), again))
+                    out.write(np.concatenate([y for x, n in zip(found, again, strict=True) for _ in range(n) for y in (x, end)]).astype(kind).tobytes())
 
         name = f"{root}/%s-{part:05d}.bin"
         _put(fs, name % "tokens", tokens)
@@ -227,6 +250,7 @@ def write_tokens(docs: DataFrame, uri: str, *, tokenizer: str, end_id: int = 0,
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tie = F.xxhash64("text")
+    rows = rows.mapInArrow(_runs, "doc_id long, text string, n long") if runs else rows.withColumn("n", F.lit(1).cast("long"))
     dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
     made = sorted(dealt.mapInArrow(encode, "part int, docs long, ids long").collect())
     base = [0, *accumulate(r["ids"] for r in made)]

@@ -64,6 +64,11 @@ def test_token_files_edges(spark, tmp_path, library):
     assert index["dtype"] == "<u2" and sum(p["ids"] for p in index["parts"]) == sum(g[2] for g in got)
     flat = np.concatenate([np.memmap(f"{tmp_path}/t/tokens-{p['part']:05d}.bin", "<u2", "r") for p in index["parts"] if p["ids"]])
     assert len(flat) == got[-1][0] + got[-1][2]
+    again = df.unionAll(df).unionAll(df.where("doc_id = 9")).sortWithinPartitions("doc_id", "text")
+    write_tokens(again, f"file://{tmp_path}/r", tokenizer=default_tokenizer(), parts=3, runs=True, warm=False)
+    runs = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in read_tokens(spark, f"file://{tmp_path}/r").collect())
+    more = sorted([*rows, *rows, rows[5]], key=lambda r: (r[0] is not None, r[0] or 0))
+    assert [(d, s, n, c) for s, d, n, c in runs] == expected(more, library)
     write_tokens(df.limit(0), f"file://{tmp_path}/e", tokenizer=default_tokenizer())
     assert read_tokens(spark, f"file://{tmp_path}/e").count() == 0
 
