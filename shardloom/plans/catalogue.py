@@ -205,6 +205,7 @@ text("join_sort_merge", "select /*+ merge(orders) */ count(*) as n, round(sum(o_
 text("join_left", "select c_custkey, count(o_orderkey) as orders from customer left join orders on c_custkey = o_custkey and o_orderstatus = 'O' group by c_custkey")
 text("join_right", "select c_custkey, count(o_orderkey) as orders from orders right join customer on c_custkey = o_custkey group by c_custkey")
 text("join_full", "select s_suppkey, p_partkey from (select s_suppkey from supplier where s_suppkey % 2 = 0) a full join (select p_partkey from part where p_partkey % 3 = 0 and p_partkey < 200) b on s_suppkey = p_partkey")
+text("join_full_whole", "select s_suppkey, p_partkey from supplier full join part on s_suppkey = p_partkey")
 text("join_semi", "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 100000)")
 text("join_anti", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
 text("join_not_in_null_aware", "select n_nationkey from nation where n_regionkey not in (select case when r_regionkey < 3 then r_regionkey end from region)")
@@ -295,6 +296,7 @@ text("scalar_subquery", "select o_orderkey from orders where o_totalprice > (sel
 text("in_subquery", "select count(*) as n from lineitem where l_partkey in (select p_partkey from part where p_size < 10)")
 text("exists_correlated", "select o_orderkey from orders o where exists (select 1 from lineitem l where l.l_orderkey = o.o_orderkey and l.l_quantity > 49)")
 text("correlated_scalar", "select c_custkey, (select max(o_totalprice) from orders where o_custkey = c_custkey) as top from customer where c_custkey < 200")
+text("correlated_scalar_whole", "select c_custkey, (select max(o_totalprice) from orders where o_custkey = c_custkey) as top from customer")
 text("derived_table", "select band, count(*) as n from (select case when l_quantity < 10 then 'low' else 'high' end as band from lineitem) t group by band")
 
 # --- PostgreSQL spellings ---------------------------------------------------------------------
