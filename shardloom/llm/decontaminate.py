@@ -59,6 +59,19 @@ def _variants(fp: str) -> Column:
     return F.concat(*out)
 
 
+def _need(similarity: float) -> Column:
+    """Positions that a window of n or words words must share with the item: c / (a + b - c) >= similarity."""
+    both = F.least("n", "words") + F.col("words") - 2 * (SHINGLE - 1)
+    return F.greatest(F.lit(1), F.ceil(both * F.lit(similarity / (1 + similarity)) - F.lit(1e-9))).cast("int")
+
+
+def _cover() -> Column:
+    """Starts that cover every window with need of the positions at: each position that begins one, or the last window."""
+    start = "greatest(0, least(x, n - words))"
+    inside = f"get(at, i + need - 1) <= {start} + words - {SHINGLE}"
+    return F.expr(f"array_distinct(filter(transform(at, (x, i) -> if({inside}, {start}, null)), x -> x is not null))")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8) -> DataFrame:
     """Which documents hold which benchmark items: doc_id, rid, item_id, start, words, similarity.
 
@@ -66,30 +79,37 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8) -
     have the size of the items, in words. Two texts are compared by the weighted Jaccard
     similarity of their five-word shingles, each weighing as often as it occurs.
 
-    1. A window at the similarity shares a shingle with the item, so only windows are
-       fingerprinted in which a shingle of the benchmark lies at its place in the item.
+    1. A window at the similarity has at least `need` positions whose shingle is in the item, in
+       any order. Windows that have so many are covered by those that begin at such a position
+       (or are the last of the text): moving the start on to the next such position loses none of
+       them. Besides these, windows are fingerprinted in which a shingle lies at its place in
+       the item.
     2. The fingerprints of windows and items of the same size meet in a multi-index: five
        blocks of 12 or 13 bits, each probed with all values up to three bits away. By the
        pigeonhole principle it finds every pair at a Hamming distance of up to RADIUS = 19.
     3. Pairs within the radius are verified exactly.
 
-    One row for each document and item, with the best window (the first of equals); a document
+    One row for each document and item, with the best window (of equals one in which a shingle
+    lies at its place, then the first); a document
     text (rid) that occurs in several rows with one doc_id counts once. Null and empty texts and
     items below five words match nothing; a text shorter than an item is one window.
     """
     items = with_shingles(benchmark.where("item_id is not null"), "text", F.col("item_id").cast("long").alias("item_id")).where(f"n >= {SHINGLE}")
     items = written(items.withColumn("fp", simhash("sh")).dropDuplicates(["item_id", "sh"]), "items")
-    needles = items.select("item_id", F.col("n").alias("words"), F.posexplode("sh").alias("off", "h")).select("h", "words", "off").distinct()
+    needles = items.select("item_id", F.col("n").alias("words"), F.posexplode("sh").alias("off", "h")).distinct()
     needles = written(needles, "needles")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     hay = with_shingles(rows, "text", "rid").select("rid", "n", F.posexplode("sh").alias("pos", "h"))
-    hits = hay.join(_small(needles, needles.count()), "h")
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("off"), F.col("n") - F.col("words")))
-    windows = written(hits.select("rid", "words", start.alias("start")).distinct(), "windows")
+    hits = hay.join(_small(needles, needles.count()), "h").groupBy("rid", "n", "item_id", "words").agg(F.sort_array(F.collect_set("pos")).alias("at"), F.collect_set(start).alias("placed"))
+    hits = written(hits.withColumn("need", _need(similarity)), "hits")
+    windows = hits.select("rid", "words", F.explode("placed").alias("start"), F.lit(True).alias("placed"))
+    windows = windows.union(hits.where("size(at) >= need").select("rid", "words", F.explode(_cover()).alias("start"), F.lit(False)))
+    windows = written(windows.groupBy("rid", "words", "start").agg(F.max("placed").alias("placed")), "windows")
     touched = written(windows.select("rid").distinct(), "touched")
     texts = rows.join(_small(touched, touched.count()), "rid").dropDuplicates(["rid"])
     cut = with_shingles(texts, "text", "rid", "doc_id").join(windows, "rid")
-    cut = cut.select("rid", "doc_id", "words", "start", F.expr(f"slice(sh, start + 1, words - {SHINGLE - 1})").alias("ws"))
+    cut = cut.select("rid", "doc_id", "words", "start", "placed", F.expr(f"slice(sh, start + 1, words - {SHINGLE - 1})").alias("ws"))
     cut = written(cut.withColumn("wfp", simhash("ws")), "cut")
     probes = items.select("item_id", F.col("n").alias("words"), "fp", F.explode(_variants("fp")).alias("v")).select("item_id", "words", "fp", "v.block", "v.value")
     places = cut.select("rid", "words", "start", "wfp", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), _block("wfp", i).alias("value")) for i in range(len(BLOCKS))])).alias("v")).select("rid", "words", "start", "wfp", "v.block", "v.value")
@@ -97,7 +117,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8) -
     both = pairs.join(cut, ["rid", "words", "start"]).join(items.select("item_id", F.col("sh").alias("is")), "item_id")
     common = F.expr("aggregate(array_distinct(is), 0, (s, x) -> s + least(size(filter(ws, y -> y = x)), size(filter(is, y -> y = x))))")
     scored = both.withColumn("common", common).withColumn("similarity", F.col("common") / (F.size("ws") + F.size("is") - F.col("common")))
-    best = scored.where(F.col("similarity") >= similarity).groupBy("doc_id", "rid", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("at"), "words")).alias("b"))
+    best = scored.where(F.col("similarity") >= similarity).groupBy("doc_id", "rid", "item_id").agg(F.max(F.struct("similarity", "placed", (-F.col("start")).alias("at"), "words")).alias("b"))
     return best.select("doc_id", "rid", "item_id", (-F.col("b.at")).alias("start"), "b.words", "b.similarity")
 
 

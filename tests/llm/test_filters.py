@@ -193,6 +193,24 @@ def test_decontamination_edges(spark):
     assert matches(d.limit(0), b).count() == matches(d, b.limit(0)).count() == 0
 
 
+def test_reordered_items_are_found(spark):
+    """Parts of an item in another order, inside other text: no window has a shared shingle at its place."""
+    import random
+
+    rnd = random.Random(11)
+    fill = lambda n: [f"f{rnd.randrange(10**6)}" for _ in range(n)]
+    a, b = fill(30), fill(30)
+    c, d, e = fill(45), fill(40), fill(35)
+    items = [(1, " ".join(a + b)), (2, " ".join(c + d + e))]
+    texts = [fill(80) + b + a + fill(80), b + a, fill(80) + b + a, fill(90) + e + d + c + fill(70), fill(80) + b[:24] + fill(1) + a + fill(80), fill(80) + b + fill(40) + a, b + a[:20]]
+    texts.append(fill(20) + texts[0] + texts[3] + a + b)
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in matches(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == brute.leaks(docs, items) and {(0, 1), (3, 2), (7, 1), (7, 2)} <= set(got)
+    assert got[0, 1]["start"] == 80 and abs(got[0, 1]["similarity"] - 52 / 60) < 1e-12 and got[7, 1]["similarity"] == 1.0
+
+
 def test_multi_index_finds_all_within_the_radius(spark):
     from pyspark.sql import functions as F
 
