@@ -16,7 +16,9 @@ from .common import table
 
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg|iframe|select|title|math|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    # empty: ends in "/>" that is not the end of an unquoted value
+    r"|<(?:svg|iframe)(?=[\s/])(?:\"[^\"]*\"|'[^']*'|[^>\"'=]|=\s*(?=[\"'])|=\s*[^\s>\"']+(?=[\s>]))*?/>"
+    r"|<(script|style|noscript|template|textarea|svg|iframe|select|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
     r"|<[!?/][^>]*>"
     r"|[^<]+|<",

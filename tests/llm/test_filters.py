@@ -156,6 +156,18 @@ def test_main_text_by_hand():
     assert main_text("a < b", Scorer()) == "a < b"
 
 
+def test_elements_that_look_raw_lose_no_text():
+    text = lambda body: main_text(f"<article>{body}<p>three</p></article>", Scorer())
+    for icon in ('<svg class="i"/>', "<svg/>", "<svg hidden />", '<svg title="a > b" class=i />', "<iframe src='x'/>", "<svg><title>No</title><path d='M0'/></svg>", "<svg class=i/>No</svg>"):
+        assert text(f"<p>One {icon} two</p>") == "One two\n\nthree", icon
+    for name in ("svg-icon", "object-viewer", "select-box", "title-bar", "math-field"):
+        assert text(f"<p>One <{name} a='b'>mid</{name}> two</p>") == "One mid two\n\nthree", name
+    assert text("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold</p>") == "Let x=2 hold\n\nthree"
+    assert text('<p>See <object data="a.pdf">the paper</object> here</p>') == "See the paper here\n\nthree"
+    assert text("<p>One <math/> two <object data='x'/> x</p>") == "One two x\n\nthree"
+    assert text("<p>One<script>var a = '<svg/>';</script> two <select><option>No</option></select></p>") == "One two\n\nthree"
+
+
 def test_extracted_edges(spark, sf_dir):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     got = extracted(df).collect()
