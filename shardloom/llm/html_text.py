@@ -35,6 +35,11 @@ MARKS = frozenset(
     "ad ads adv advert advertisement adverts adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer header login masthead menu modal nav navbar navigation newsletter notice outbrain pager pagination popup promo promoted promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar topbar warning widget widgets alert contentinfo complementary search disclaimer legal copyright".split()
 )
 REPLIES = frozenset("ad ads advert comment comments promo related replies reply respond sponsored".split())
+# "has-sidebar", "page-with-comments", "no-banner": what follows says what a layout has or lacks.
+HAVING = frozenset("has with without no not hide hides show shows".split())
+# Marked elements with more than this share of the page's words hold its text; of comments, with nearly all.
+BULK, BULK_REPLIES = 0.5, 0.9
+REPLY_WORDS = frozenset("comment comments commentlist replies reply respond disqus".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 #: Labelled pages: the main text stands between the two marks.
@@ -49,49 +54,115 @@ LABELLED = (
 )
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
-    """(kind, value, aside): words as text runs, tags by name; aside: inside a marked element."""
-    open_: list[tuple[str, bool]] = []
-    inside = articles = 0
+def marks(attributes: str) -> set[str]:
+    """The words of class, id and role values, each value's names up to a word of HAVING."""
+    out = set()
+    for a in NAMES.findall(attributes):
+        for name in "".join(a).lower().split():
+            for w in re.split(r"[^a-z0-9]+", name):
+                if w in HAVING:
+                    break
+                out.add(w)
+    return out
+
+
+class Wrapper:
+    """An element marked by its names, while the page is read: what it holds."""
+
+    def __init__(self, at: int, words: int, replies: bool) -> None:
+        self.at, self.words, self.replies = at, words, replies
+        self.main, self.articles = False, []
+
+
+def tokens(page: str) -> list[tuple[str, str, bool]]:
+    """(kind, value, aside): words as text runs, tags by name; aside: inside a marked element.
+
+    Names do not mark an element that holds main, the longest article or the bulk of the
+    page's words: it is a layout, whatever its name says.
+    """
+    found, wrappers, words, longest = walked(page, frozenset())
+    plain = frozenset(w.at for w in wrappers if w.main or longest in w.articles or w.words > (BULK_REPLIES if w.replies else BULK) * words)
+    return walked(page, plain)[0] if plain else found
+
+
+def walked(page: str, plain: frozenset[int]) -> tuple[list[tuple[str, str, bool]], list[Wrapper], int, int]:
+    """Tokens, if the names of the elements at plain do not count; the elements that names mark; words; the longest article (-1: none).
+
+    Words are those outside elements of ASIDE. Articles that names mark do not count.
+    """
+    found: list[tuple[str, str, bool]] = []
+    open_: list[tuple[str, bool, bool, Wrapper | None, int, int]] = []
+    wrappers: list[Wrapper] = []
+    inside = articles = named = words = 0
+    longest, most = -1, 0
+
+    def ended(part: list) -> None:
+        nonlocal inside, articles, named, longest, most
+        for name, aside, by_name, wrapper, at, before in part:
+            inside -= aside
+            articles -= name == "article"
+            named -= by_name
+            if wrapper:
+                wrapper.words = words - wrapper.words
+            if at >= 0 and (words - before > most or longest < 0):
+                longest, most = at, words - before
+
     for m in TOKEN.finditer(page):
         whole = m[0]
         name = m[3]
         if name is None:
             if m[1] is not None or (whole[0] == "<" and whole != "<"):
                 if whole in (BEGIN, END):
-                    yield "mark", whole, False
+                    found.append(("mark", whole, False))
                 elif m[1] is not None:
-                    yield "raw", m[1].lower(), inside > 0
+                    found.append(("raw", m[1].lower(), inside > 0))
                 continue
-            yield "text", whole, inside > 0
+            found.append(("text", whole, inside > 0))
+            if not named:
+                words += len(whole.split())
             continue
         name = name.lower()
         if m[2]:
-            yield "close", name, inside > 0
+            found.append(("close", name, inside > 0))
             for i in range(len(open_) - 1, -1, -1):
                 if open_[i][0] == name:
-                    for n, aside in open_[i:]:
-                        inside -= aside
-                        articles -= n == "article"
+                    ended(open_[i:])
                     del open_[i:]
                     break
             continue
         if name not in BLOCK and name not in ASIDE and name not in ("span", "section"):
-            yield "open", name, inside > 0
+            found.append(("open", name, inside > 0))
             continue
-        marked = name in ASIDE or (name == "header" and not articles)
+        by_name = marked = name in ASIDE or (name == "header" and not articles)
         if not marked and name not in ("body", "html", "main") and m[4]:
-            words = {w for a in NAMES.findall(m[4]) for w in re.split(r"[^a-z0-9]+", "".join(a).lower())}
+            own = marks(m[4])
             if articles:
-                words.discard("header")  # an article's own heading
-            marked = not (REPLIES if name == "article" else MARKS).isdisjoint(words)
+                own.discard("header")  # an article's own heading
+            marked = not (REPLIES if name == "article" else MARKS).isdisjoint(own)
         if name in VOID or m[4].endswith("/") or name in ("p", "li", "td", "tr", "th", "dt", "dd"):
             marked = False  # these are often left open
         else:
-            open_.append((name, marked))
+            wrapper, at = None, len(found)
+            if marked and not by_name:
+                wrapper = Wrapper(at, words, not REPLY_WORDS.isdisjoint(own))
+                if at in plain:
+                    marked = False
+                elif name != "article":
+                    wrappers.append(wrapper)
+            lone = name == "article" and not marked and not named
+            if not named and (name == "main" or lone):
+                for _, _, _, w, _, _ in open_:
+                    if w and name == "main":
+                        w.main = True
+                    elif w:
+                        w.articles.append(at)
+            open_.append((name, marked, by_name, wrapper, at if lone else -1, words))
             inside += marked
+            named += by_name
             articles += name == "article"
-        yield "open", name, inside > 0
+        found.append(("open", name, inside > 0))
+    ended(open_)
+    return found, wrappers, words, longest
 
 
 class Scorer:
@@ -147,7 +218,7 @@ def main_text(page: str | None, scorer: Scorer) -> str:
     """The main text: blocks of the best region without its marked elements, joined by blank lines."""
     if not page:
         return ""
-    found = list(tokens(page))
+    found = tokens(page)
     lone = [i for i, t in enumerate(found) if t[0] == "open" and t[1] == "article" and not t[2]]
     start, end = best_region([scorer.score(*t) for t in found])
     if lone:  # the region belongs to whole articles: extend it to the ends of those that it meets
@@ -193,7 +264,7 @@ def extracted(pages: DataFrame, labelled: tuple[str, ...] = LABELLED) -> DataFra
     elements positive, tags and words inside them negative, weights from the labelled pages); it
     is widened to the ends of the articles that it meets. Menus, headers, footers, sidebars,
     notices, adverts, forms, scripts, styles and comments inside the region are left out by
-    their elements. Character references are decoded, white space inside a block is one space,
+    their elements; a wrapper of main, the longest article or most words is none of these. Character references are decoded, white space inside a block is one space,
     blocks are joined by two line breaks; nothing is cut.
 
     pages needs page_id, url, html; other columns are ignored. Null or empty html gives an empty

@@ -156,6 +156,24 @@ def test_main_text_by_hand():
     assert main_text("a < b", Scorer()) == "a < b"
 
 
+def test_layouts_named_after_what_they_hold_keep_the_text():
+    story = "<h1>The harbour</h1><p>After two years of work the old harbour opens on Monday.</p><p>Ships arrive early.</p>"
+    want = "The harbour\n\nAfter two years of work the old harbour opens on Monday.\n\nShips arrive early."
+    side = '<div class="sidebar"><ul><li><a href="/x">Cakes</a></li></ul></div>'
+    text = lambda page: main_text(f"<html><body>{page}<footer>&copy; me</footer></body></html>", Scorer())
+    for names in ('class="content has-sidebar"', 'id="page" class="with-comments"', 'class="no-banner"', 'class="page-with-comments"', 'class="sidebar-left"', 'class="widget content"'):
+        for body in (f"<article>{story}</article>", f"<main>{story}</main>", f"<article class='post'>{story}</article>", story):
+            assert text(f"<div {names}>{body}{side}</div>") == want, (names, body)
+            assert text(f"<div {names}><div class='social page'>{body}</div>{side}</div>") == want, (names, body)
+    # what is boilerplate stays out
+    lots = "<p>" + "Great news, thank you so much for this. " * 3 + "</p>"
+    assert text(f"<article>{story}</article><div class='comments'>{lots}</div>") == want
+    assert text(f"<div id='content'>{story}</div><section id='comments'>{lots}</section>") == want
+    assert text(f"<main>{story}<ol class='commentlist'><li><article class='comment'>{lots}</article></li></ol></main>") == want
+    assert text(f"<article>{story}</article><div class='related'><article><p>Lakes and ponds</p></article></div>") == want
+    assert text(f"<article>{story}<div class='ad'>Buy one and get one free</div></article>") == want
+
+
 def test_elements_that_look_raw_lose_no_text():
     text = lambda body: main_text(f"<article>{body}<p>three</p></article>", Scorer())
     for icon in ('<svg class="i"/>', "<svg/>", "<svg hidden />", '<svg title="a > b" class=i />', "<iframe src='x'/>", "<svg><title>No</title><path d='M0'/></svg>", "<svg class=i/>No</svg>"):
