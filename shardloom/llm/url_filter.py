@@ -55,19 +55,24 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """src, dst, w: the absolute links between different hosts, each page's link to a host once."""
-    links = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?i)\bhref\s*=\s*[\"']?([a-z][a-z0-9+.-]*://[^\"'\s>]+)"), F.lit(1))
-    each = pages.where("instr(html, '://') > 0").select(F.col("host").alias("src"), F.explode(F.array_distinct(F.transform(links, lambda u: host_and_path(u)[0]))).alias("dst"))
+    """src, dst, w: the links with a host (scheme://host or //host) between different hosts, each page's link to a host once."""
+    links = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?i)\bhref\s*=\s*[\"']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\"'\s>]+)"), F.lit(1))
+    links = F.transform(links, lambda u: F.when(u.startswith("//"), F.concat(F.lit("x:"), u)).otherwise(u))
+    each = pages.where("instr(html, '//') > 0").select(F.col("host").alias("src"), F.explode(F.array_distinct(F.transform(links, lambda u: host_and_path(u)[0]))).alias("dst"))
     return each.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 12, tolerance: float = 1e-9) -> DataFrame:
     """host, trust, distrust: personalised PageRank from seeds (host, trusted, blocked masses).
 
     Trust flows along the links, distrust against them; both walks are one join a round, their
-    lineage is cut by a table every fourth round. The mass that dangling hosts lose stays lost
-    (scores compare hosts, they need not sum to one).
+    lineage is cut by a table every fourth round. They go on, for `rounds` rounds at least, until
+    four rounds reach no new host and change the masses (of one in all, each walk) by less than
+    the tolerance in sum; with damping below one that comes for any graph. The mass that dangling
+    hosts lose stays lost (scores compare hosts, they need not sum to one).
     """
+    if not 0 <= damping < 1:
+        raise ValueError("damping must be at least 0 and below 1")
     s = seeds.agg(F.sum("trusted").alias("t"), F.sum("blocked").alias("b")).first()
     kind = lambda name, total: seeds.where(f"{name} > 0").select("host", F.lit(name).alias("kind"), (F.col(name) / F.lit(total or 1.0)).alias("mass"))
     start = written(kind("trusted", s["t"]).union(kind("blocked", s["b"])), "seeds")
@@ -76,17 +81,25 @@ def propagate(links: DataFrame, seeds: DataFrame, *, damping: float = 0.85, roun
     edge = written(both.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("w") / F.col("all")).alias("share")), "edges")
     rank = start
     if not edge.isEmpty():
-        for i in range(rounds):
-            flow = edge.join(rank, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg((damping * F.sum(F.col("share") * F.col("mass"))).alias("mass"))
-            seed = start.select("kind", "host", ((1 - damping) * F.col("mass")).alias("mass"))
-            rank = flow.union(seed).groupBy("kind", "host").agg(F.sum("mass").alias("mass")).select("host", "kind", "mass")
-            if i % 4 == 3:
-                rank = written(rank, "rank")
+        done, settled = 0, False
+        while not settled or done < rounds:
+            last = rank
+            for _ in range(4):
+                flow = edge.join(rank, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg((damping * F.sum(F.col("share") * F.col("mass"))).alias("mass"))
+                seed = start.select("kind", "host", ((1 - damping) * F.col("mass")).alias("mass"))
+                rank = flow.union(seed).groupBy("kind", "host").agg(F.sum("mass").alias("mass")).select("host", "kind", "mass")
+            done += 4
+            rank = written(rank, "rank")
+            change = rank.select("host", "kind", "mass", F.lit(1).alias("new")).union(last.select("host", "kind", -F.col("mass"), F.lit(-1)))
+            moved = change.groupBy("host", "kind").agg(F.abs(F.sum("mass")).alias("mass"), F.sum("new").alias("new")).agg(F.sum("mass").alias("mass"), F.max("new").alias("new")).first()
+            settled = moved["mass"] is None or (moved["mass"] < tolerance and moved["new"] <= 0)
+            if last is not start:
+                drop_written(last)
     of = lambda name: F.sum(F.when(F.col("kind") == name, F.col("mass")).otherwise(0.0))
     return rank.groupBy("host").agg(of("trusted").alias("trust"), of("blocked").alias("distrust"))
 
 
-def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, damping: float = 0.85, rounds: int = 12, margin: float = 1.0) -> DataFrame:
+def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, damping: float = 0.85, rounds: int = 12, margin: float = 1.0, tolerance: float = 1e-9) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for each page.
 
     The longest fitting rule decides. Pages without a rule get their host's verdict: a host
@@ -105,7 +118,7 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, damping: float
     share = lambda v: F.avg(F.when(F.col("r.verdict") == v, 1.0).otherwise(0.0))
     seeds = written(base.where("host <> ''").groupBy("host").agg(share("allow").alias("trusted"), share("block").alias("blocked")), "hosts")
     links = written(host_links(pages.select("html", host.alias("host"))), "links")
-    score = written(propagate(links, seeds, damping=damping, rounds=rounds), "scores")
+    score = written(propagate(links, seeds, damping=damping, rounds=rounds, tolerance=tolerance), "scores")
     mean = score.agg(F.avg("trust").alias("t"), F.avg("distrust").alias("d")).first()
     scaled = score.select("host", (F.col("trust") / F.lit(mean["t"] or 1.0)).alias("trust"), (F.col("distrust") / F.lit(mean["d"] or 1.0)).alias("distrust"))
     scaled = written(scaled, "scaled")

@@ -53,6 +53,50 @@ def test_trust_and_distrust_follow_links(spark):
     assert trust.keys() == {h for h, v in rank.items() if v > 0} and all(abs(trust[h] - rank[h]) < 1e-12 for h in trust)
 
 
+def test_walks_reach_all_hosts_and_equal_brute_force(spark):
+    """A chain of 20 links to a blocked host, a loop, links without a scheme, and random links; the walks done plainly for 1,000 rounds."""
+    import random
+
+    rnd = random.Random(3)
+    to = {f"h{i}.org": [f"h{i + 1}.org"] for i in range(20)} | {"h20.org": ["blocked.net"], "blocked.net": []}
+    near = [f"r{i}.org" for i in range(12)] + ["a.com", "b.com", "c.net"]
+    to |= {h: rnd.sample([x for x in near if x != h], rnd.randrange(4)) for h in near}
+    pages = [(h, "/es/" if h.endswith(".net") else "/", out) for h, out in to.items() for _ in range(1 + (h == "a.com"))]
+    pages += [("c.net", "/", ["a.com"]), ("lone.org", "/", [])]
+    forms = ('<a href="http://{}/p">', "<a href='//{}/p'>", "<a href=//{}>", '<a href="/x"> {{}}<a href="HTTPS://{}">')
+    rows = [(i, f"http://{h}{p}", "".join(forms[(i + k) % 4].format(d) for k, d in enumerate(out))) for i, (h, p, out) in enumerate(pages)]
+    rules = (Rule("com", "/", "allow"), Rule("net", "/es/", "block"))
+    got = {r["page_id"]: r for r in judged_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}
+    links = Counter((h, d) for h, _, out in pages for d in out)
+
+    def walk(fits, edges):
+        n, hit = Counter(h for h, _, _ in pages), Counter(h for h, p, _ in pages if fits(h, p))
+        seed = {h: hit[h] / n[h] for h in hit}
+        seed = {h: v / sum(seed.values()) for h, v in seed.items()}
+        total = Counter()
+        for (s, _), w in edges.items():
+            total[s] += w
+        rank = dict(seed)
+        for _ in range(1000):
+            new = {h: 0.15 * v for h, v in seed.items()}
+            for (s, d), w in edges.items():
+                if s in rank:
+                    new[d] = new.get(d, 0) + 0.85 * rank[s] * w / total[s]
+            rank = new
+        return rank
+
+    trust = walk(lambda h, p: h.endswith(".com"), links)
+    distrust = walk(lambda h, p: h.endswith(".net") and p == "/es/", {(d, s): w for (s, d), w in links.items()})
+    reached = len(trust.keys() | distrust.keys())
+    scale = [reached / sum(x.values()) for x in (trust, distrust)]
+    for i, (h, p, _) in enumerate(pages):
+        t, d = trust.get(h, 0) * scale[0], distrust.get(h, 0) * scale[1]
+        rule = "allow" if h.endswith(".com") else "block" if h.endswith(".net") and p == "/es/" else None
+        assert got[i]["verdict"] == (rule or ("block" if d > t else "allow")), h
+        assert abs((got[i]["trust"] or 0) - t) < 1e-6 and abs((got[i]["distrust"] or 0) - d) < 1e-6, h
+    assert {r["verdict"] for r in got.values() if r["host"][0] == "h"} == {"block"}
+
+
 # --- quality
 
 def test_grams_cover_each_text_once():
