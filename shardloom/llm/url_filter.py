@@ -133,6 +133,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(F.coalesce(c, F.lit(0.0)), 9) for c in ("trust", "distrust")})
 
 
+# Only for tables without links between hosts: it has neither links nor walks.
 OP1_SQL = r"""
 with p as (
   select page_id, case when contains(url, '://') then regexp_replace(url, '^.*?://', '', 's') end as rest from pages),

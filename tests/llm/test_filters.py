@@ -97,6 +97,13 @@ def test_walks_reach_all_hosts_and_equal_brute_force(spark):
     assert {r["verdict"] for r in got.values() if r["host"][0] == "h"} == {"block"}
 
 
+def test_op1_on_a_table_with_links(spark, tmp_path):
+    rows = [(1, "http://a.com/", '<a href="http://far.org/">'), (2, "http://b.net/es/", ""), (3, "http://s.org/", '<a href="//t.org/x">'), (4, "http://t.org/", "<a href=http://b.net/>"), (5, "http://far.org/", ""), (6, "http://lone.org/", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["verdict"], r["trust"] > 0, r["distrust"] > 0) for r in op1_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {1: ("allow", True, False), 2: ("block", False, True), 3: ("block", False, True), 4: ("block", False, True), 5: ("allow", True, False), 6: ("allow", False, False)}
+
+
 # --- quality
 
 def test_grams_cover_each_text_once():
