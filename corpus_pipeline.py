@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shardloom.llm.common import scratch_path, table, written
 from shardloom.llm.decontaminate import decontaminated
-from shardloom.llm.minhash_dedup import deduplicated
+from shardloom.llm.minhash_dedup import one_of_each
 from shardloom.llm.mixing import mixed
 from shardloom.llm.quality import judged
 from shardloom.llm.token_files import default_tokenizer, read_tokens, write_tokens
@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (five-word shingles, similarity 0.8)."""
-    return deduplicated(docs)
+    return one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -218,6 +218,24 @@ def deduplicated(docs: DataFrame, **parameters: int) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+def one_of_each(docs: DataFrame, **parameters: int) -> DataFrame:
+    """docs with one row of each component, null and repeated doc_ids included.
+
+    Nodes are (doc_id, text), not doc_id: of a component the one with the smallest doc_id stays
+    (nulls last, then by hash), and of rows with that doc_id and text one. A text that shares
+    its doc_id with a removed copy stays. Only texts of repeated rows are shuffled.
+    """
+    mark = scratch_mark()
+    keyed = docs.withColumn("__rid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    nodes = near_duplicates(keyed.select(F.col("__rid").alias("doc_id"), "text"), **parameters).select(F.col("doc_id").alias("__rid"), "component_id").distinct()
+    rows = keyed.select("__rid", F.col("doc_id").cast("long").alias("id")).groupBy("__rid").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__rid", "n")).alias("s")
+    stay = written(nodes.join(rows, "__rid").groupBy("component_id").agg(first).select("s.__rid", (F.col("s.n") > 1).alias("__many")), "stay")
+    drop_since(docs.sparkSession, mark, stay)
+    once = keyed.join(stay.where("not __many"), "__rid", "left_semi").select(*docs.columns)
+    return once.union(keyed.join(stay.where("__many"), "__rid", "left_semi").dropDuplicates(["__rid"]).select(*docs.columns))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 

@@ -64,6 +64,20 @@ def test_near_duplicates_edges(spark):
     assert kept.columns == frame(spark, rows).columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "None", "None"]
 
 
+def test_stage_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    a, b, c = "a b c d e f g h", "k l m n o p q r", "s t u v w x y z"
+    rows = [(3, a), (3, a), (5, a), (None, a), (5, c), (None, b), (None, b), (None, b.upper()), (7, "one more text that stands quite alone"), (3, "another text under a repeated number here")]
+    out = corpus_pipeline.near_dedup(spark, frame(spark, rows), None)
+    got = sorted(((r["doc_id"], r["text"].lower()) for r in out.collect()), key=str)
+    assert out.columns == frame(spark, rows).columns
+    assert got == sorted([(3, a), (5, c), (None, b), rows[8], rows[9]], key=str)
+    rows = texts()
+    kept = {i for i, (_, c) in brute.near_classes(rows, 5, 80).items() if i == c}
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), None).collect()) == sorted(kept)
+
+
 def test_match_threshold():
     assert match_threshold(0.85, 64) == 40 and match_threshold(0.01, 64) == 1
 
