@@ -39,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in ascending doc_id order; one row a document, as read back."""
     uri = scratch_path(spark, "pipeline-tokens")
-    write_tokens(docs, uri, tokenizer=default_tokenizer(), warm=False, runs=True)  # the workers also serve the other stages; epochs of a document lie together
+    write_tokens(docs, uri, tokenizer=default_tokenizer(), runs=True)  # epochs of a document lie together
     return read_tokens(spark, uri)
 
 
