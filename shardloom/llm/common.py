@@ -49,6 +49,13 @@ def _clean() -> None:
             pass
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of about 4 MB of text, unless the session has a size of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":  # Spark's default: 64 MB, which both sides of a worker hold
+        spark.conf.set(key, "4m")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder below the shared one; removed when the driver ends."""
     uri = f"{shared_folder(spark)}/shardloom-{label}-{uuid.uuid4().hex}"

@@ -7,20 +7,29 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import compute
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, scratch_path, table
+from .common import release, scratch_path, small_batches, table
 
 NO_ID = -(2**63)  # stands for a null doc_id in the files
 SAFE = re.compile(r"(?<=\S) (?=\S)")
-TWO_SPACES = re.compile(r"\s\s")
+# More cuts, as a space and a mark that no space is meant: between a letter or digit and a stop, and
+# around a lone line end. The public pattern has a boundary there whatever stands around it.
+LETTER, STOP = r"0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}", ".,;:!?"
+CUTS = ((rf"([{LETTER}])([{STOP}])", "\\1 \0\\2"), (rf"([{LETTER}{STOP}])\n([{LETTER}])", "\\1 \0\n \0\\2"))
+TOGETHER = 64  # pieces that the library gets as one text
+SLICE = 4_000_000  # bytes of text whose words are looked up together
+LONG = 8_000_000  # characters; longer texts are encoded in parts
+# Characters that are, or may be, white space to some pattern language.
+WHITE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}"
 
 
 @dataclass(frozen=True)
@@ -30,6 +39,7 @@ class Facts:
     cuts: bool  # texts may be cut before single spaces
     size: int
     opens: bytes  # a bit for each id: its token starts with the byte-level sign of a space
+    odd: str  # pattern of texts in which not every space may be a cut
 
     @classmethod
     def of(cls, path: str) -> Facts:
@@ -43,18 +53,32 @@ class Facts:
         size = lib.get_vocab_size(with_added_tokens=True)
         opens = np.zeros(size, np.bool_)
         opens[[i for x, i in lib.get_vocab().items() if x.startswith("\u0120")]] = True
-        return cls(bool(cuts), size, np.packbits(opens).tobytes())
+        odd = "|".join([rf"\x00|[{WHITE}] (?:[{WHITE}]|\z)", *(re.sub(r"([^\w\s])", r"\\\1", a["content"]) for a in added)])
+        return cls(bool(cuts), size, np.packbits(opens).tobytes(), odd)
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (n[0] of them), start[1], ..."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _strings(pieces: pa.Array) -> list[str]:
+    """pieces (one at least, without spaces) as Python strings, some ten times faster than one by one."""
+    whole = pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces)
+    return compute.binary_join(whole, " ")[0].as_py().split(" ")
 
 
 class Encoder:
     """Whole texts to token ids with a tokenizers file.
 
-    Where its pre-tokenizer is the public byte-level pattern, a token never spans a single space
-    between two other characters, so a text is the sequence of its pieces cut before such
-    spaces; pieces recur, and each is encoded by the library once. Other files get whole texts.
+    Where its pre-tokenizer is the public byte-level pattern, a token never spans a space whose
+    neighbour on either side is not white space, so a text is the sequence of its pieces cut
+    before such spaces. Pieces are found and numbered in Arrow; the library encodes each new one
+    once, and the ids of all texts are one gather. Texts with a space inside other white space or
+    with an added token take only the cuts between two other characters. Other files get whole texts.
     """
 
-    def __init__(self, path: str, facts: Facts | None = None, hold: int = 1_500_000) -> None:
+    def __init__(self, path: str, facts: Facts | None = None, hold: int = 4_000_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,7 +86,7 @@ class Encoder:
 
         self.lib = Tokenizer.from_file(path)
         facts, self.hold = facts or Facts.of(path), hold  # ids of known pieces, some 50 MB a million
-        self.cuts, self.size = facts.cuts, facts.size
+        self.cuts, self.size, self.odd = facts.cuts, facts.size, facts.odd
         self.opens = np.unpackbits(np.frombuffer(facts.opens, np.uint8)).astype(np.bool_)
         self.clear()
 
@@ -80,8 +104,7 @@ class Encoder:
             if kept:
                 at = np.array([i for _, i in kept])
                 n = length[at]
-                where = np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                self._keep(k, [p for p, _ in kept], flat[where], n)
+                self._keep(k, [p for p, _ in kept], flat[_ranges(start[at], n)], n)
 
     def _keep(self, k: int, pieces: list[str], flat: np.ndarray, length: np.ndarray) -> None:
         n = len(self.known[0]) + len(self.known[1])
@@ -101,61 +124,98 @@ class Encoder:
         Pieces that start and end with other than white space are joined by their spaces and
         encoded together; their first tokens are those that start with the space's sign.
         """
-        plain = [p for p in pieces if k and p and " " not in p and not p[0].isspace() and not p[-1].isspace()]
-        if plain:
-            found = self.lib.encode_batch_fast([" " + " ".join(plain[i : i + 500]) for i in range(0, len(plain), 500)], add_special_tokens=False)
-            flat = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+        apart = [p for p in pieces if not k or not p or p[0] == "\0" or p[0].isspace() or p[-1].isspace() or " " in p]
+        if len(apart) < len(pieces):
+            other = set(apart)
+            plain = [p for p in pieces if p not in other] if other else pieces
+            found = self.lib.encode_batch_fast([" " + " ".join(plain[i : i + TOGETHER]) for i in range(0, len(plain), TOGETHER)], add_special_tokens=False)
+            flat = np.array([i for e in found for i in e.ids], np.uint32)
             first = np.flatnonzero(self.opens[flat])
             if len(first) != len(plain):
                 raise RuntimeError("tokens and pieces do not match")
             self._keep(k, plain, flat, np.diff(np.append(first, len(flat))))
-            known = self.known[k]
-            pieces = [p for p in pieces if p not in known]
-        if pieces:
-            ids = [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast([" " * k + p for p in pieces], add_special_tokens=False)]
-            self._keep(k, pieces, np.concatenate(ids), np.array([len(x) for x in ids], np.int64))
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        texts = [t or "" for t in texts]
+        if apart:
+            ids = [e.ids for e in self.lib.encode_batch_fast([p[1:] if k and p[:1] == "\0" else " " * k + p for p in apart], add_special_tokens=False)]
+            self._keep(k, apart, np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
+
+    def _numbers(self, k: int, pieces: list[str]) -> np.ndarray:
+        """The places of pieces, new ones encoded."""
+        known = self.known[k]
+        at = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            missing = [pieces[i] for i in new]
+            self._learn(k, list(dict.fromkeys(missing)))
+            at[new] = list(map(known.__getitem__, missing))
+        return at
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty) one after another, and how many each has."""
+        texts = texts.fill_null("")
+        none = np.zeros(0, np.uint32)
         if not self.cuts:
-            return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+            ids = [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([none, *ids]), np.array([len(x) for x in ids], np.int64)
+        if not len(texts):
+            return none, np.zeros(0, np.int64)
         if self.used > self.hold:
             self.trim()
-        first, rest = self.known
-        heads, tails = [], []
-        for t in texts:
-            head, *tail = SAFE.split(t) if TWO_SPACES.search(t) else t.split(" ")
-            heads.append(head)
-            tails.append(tail)
-        if need := set(heads).difference(first):
-            self._learn(0, list(need))
-        if need := set().union(*tails).difference(rest):
-            self._learn(1, list(need))
-        out, ats = [], []
-        for head, tail in zip(heads, tails, strict=True):
-            at = np.fromiter(map(rest.__getitem__, tail), np.int64, len(tail))
-            at = np.concatenate([[first[head]], at])
-            ats.append(at)
-            length = self.length[at]
-            total = int(length.sum())
-            where = np.repeat(self.start[at] - (np.cumsum(length) - length), length) + np.arange(total)
-            out.append(self.flat[where])
-        if ats:
-            count = np.bincount(np.concatenate(ats))
-            self.hits[: len(count)] += count
-        return out
-
-
-def encoder(path: str, facts: Facts, warm: bool) -> Encoder:
-    """If warm, one for each worker process, whose frequent pieces serve later tasks as well."""
-    if not warm:
-        return Encoder(path, facts)
-    import tokenizers
-
-    held = tokenizers.__dict__.setdefault("_shardloom_encoders", {})
-    if path not in held:
-        held[path] = Encoder(path, facts, 6_000_000)
-    return held[path]
+        odd = compute.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        some = bool(odd.any())
+        even = texts.filter(pa.array(~odd)) if some else texts
+        for pattern, cut in CUTS:
+            even = compute.replace_substring_regex(even, pattern, cut)
+        split = compute.split_pattern(even, " ")
+        pieces, n = split.flatten(), np.diff(split.offsets.to_numpy()).astype(np.int64)
+        heads = np.cumsum(n) - n
+        rest = np.ones(len(pieces), np.bool_)
+        rest[heads] = False
+        at = np.empty(len(pieces), np.int64)
+        at[heads] = self._numbers(0, pieces.take(pa.array(heads)).to_pylist())
+        coded = pieces.filter(pa.array(rest)).dictionary_encode()
+        if len(coded):
+            at[rest] = self._numbers(1, _strings(coded.dictionary))[coded.indices.to_numpy()]
+        if some:  # their pieces come behind, then all go back to the order of the texts
+            cut = [[t] if "\0" in t else SAFE.split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+            at = np.concatenate([at, *[self._numbers(k, x) for head, *tail in cut for k, x in ((0, [head]), (1, tail))]])
+            n = np.concatenate([n, [len(x) for x in cut]])
+            place = np.argsort(np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)]))
+            at, n = at[_ranges((np.cumsum(n) - n)[place], n[place])], n[place]
+        count = np.bincount(at)
+        self.hits[: len(count)] += count
+        length = self.length[at]
+        return self.flat[_ranges(self.start[at], length)], np.add.reduceat(length, np.cumsum(n) - n)
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        ids, n = self.encoded(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(n)[:-1]) if len(n) else []
+
+
+_held: dict[str, Encoder] = {}  # of a worker process: later tasks know the frequent pieces
+
+
+def _encoder(path: str, facts: Facts) -> Encoder:
+    if path not in _held:
+        _held[path] = Encoder(path, facts)
+    return _held[path]
+
+
+def _cut_long(text: str) -> list[str]:
+    """A long text in parts of about LONG characters, each but the first from a space between two other characters on."""
+    at = [0]
+    while m := SAFE.search(text, at[-1] + LONG):
+        at.append(m.start())
+    return [text[i:j] for i, j in zip(at, [*at[1:], len(text)], strict=True)]
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows with some SLICE bytes of text, one row at least."""
+    size = np.cumsum(compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + SLICE, "right")))
+        yield i, j
+        i = j
 
 
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -168,9 +228,11 @@ def _put(fs: pafs.FileSystem, path: str, writer) -> None:
     own = f"{path}.{task.taskAttemptId() if task else 0}"
     with fs.open_output_stream(own) as out:
         writer(out)
-    if fs.get_file_info(path).type != pafs.FileType.NotFound:
+    try:
+        fs.move(own, path)  # a local store replaces the target
+    except OSError:
         fs.delete_file(path)
-    fs.move(own, path)
+        fs.move(own, path)
 
 
 def _mapped(fs: pafs.FileSystem, path: str, kind: str) -> np.ndarray:
@@ -201,10 +263,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(np.diff(np.append(first, m)))], ["doc_id", "text", "n"])
 
 
-def write_tokens(docs: DataFrame, uri: str, *, tokenizer: str, end_id: int = 0, parts: int | None = None, warm: bool = True, runs: bool = False) -> dict:
+def write_tokens(docs: DataFrame, uri: str, *, tokenizer: str, end_id: int = 0, parts: int | None = None, runs: bool = False) -> dict:
     """Encode every whole text (null: empty), append end_id, and write in ascending doc_id order.
 
-    docs needs doc_id (integer) and text. The folder uri, which all executors share, gets
+    docs needs doc_id (integer) and text; other columns are ignored. The folder uri, which all
+    executors share, gets
     - tokens-NNNNN.bin: ids as little-endian uint16, or uint32 if the vocabulary needs it,
     - docs-NNNNN.bin: int64 doc_ids; lengths-NNNNN.bin: uint64 ids per document,
     - offsets-NNNNN.bin: uint64 global start of each document and the part's end,
@@ -213,10 +276,11 @@ def write_tokens(docs: DataFrame, uri: str, *, tokenizer: str, end_id: int = 0,
     null doc_id comes first. Bases are prefix sums of the parts' sizes (one row a part reaches
     the driver). runs: rows that repeat stand next to each other in the input (as a mixture's epochs
     do); each run of equal rows is shuffled and encoded once and written as often as it occurs.
-    warm keeps the encoder of a worker from task to task (faster; some 300 MB each).
-    Returns the index.
+    Long texts are encoded in parts whose ids are those of the whole. An empty table gives an
+    index without ids. Returns the index.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     facts = Facts.of(tokenizer)
     kind = "<u2" if facts.size <= 1 << 16 else "<u4"
@@ -225,25 +289,45 @@ def write_tokens(docs: DataFrame, uri: str, *, tokenizer: str, end_id: int = 0,
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _store(uri)
-        part, code = TaskContext.get().partitionId(), encoder(tokenizer, facts, warm)
-        ids, lengths, end = [], [], np.array([end_id], np.uint32)
+        part, code = TaskContext.get().partitionId(), _encoder(tokenizer, facts)
+        ids, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def long_text(text: str, again: int, out) -> int:
+            """In parts, as often as the row occurs."""
+            for _ in range(again):
+                n = 1
+                for x in _cut_long(text):
+                    found, _ = code.encoded(pa.array([x]))
+                    out.write(found.astype(kind).tobytes())
+                    n += len(found)
+                out.write(np.array([end_id], kind).tobytes())
+            return n
 
         def tokens(out) -> None:
             for batch in batches:
-                times = batch.column(2).to_numpy()
+                times, texts = batch.column(2).to_numpy(), batch.column(1)
                 ids.append(np.repeat(batch.column(0).fill_null(NO_ID).to_numpy(), times))
-                for i in range(0, batch.num_rows, 256):
-                    found = code(batch.column(1).slice(i, 256).to_pylist())
-                    again = times[i : i + 256]
-                    lengths.append(np.repeat(np.array([len(x) + 1 for x in found], np.uint64), again))
-                    out.write(np.concatenate([y for x, n in zip(found, again, strict=True) for _ in range(n) for y in (x, end)]).astype(kind).tobytes())
+                for i, j in _slices(texts):
+                    own = texts.slice(i, j - i)
+                    if j == i + 1 and len(text := own[0].as_py() or "") > LONG:
+                        n = np.array([long_text(text, int(times[i]), out)])
+                    else:
+                        found, n = code.encoded(own)
+                        n = n + 1
+                        end = np.cumsum(n) - 1
+                        flat = np.empty(len(found) + len(n), kind)
+                        inner = np.ones(len(flat), np.bool_)
+                        inner[end] = False
+                        flat[inner], flat[end] = found, end_id
+                        if (times[i:j] > 1).any():
+                            flat = flat[_ranges(np.repeat(end + 1 - n, times[i:j]), np.repeat(n, times[i:j]))]
+                        out.write(flat)
+                    lengths.append(np.repeat(n, times[i:j]))
 
         name = f"{root}/%s-{part:05d}.bin"
         _put(fs, name % "tokens", tokens)
-        if not warm:
-            code = None
-            release()
-        ids, lengths = np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros(0, np.uint64), *lengths])
+        release()
+        ids, lengths = np.concatenate(ids), np.concatenate(lengths)
         _put(fs, name % "docs", lambda out: out.write(ids.astype("<i8").tobytes()))
         _put(fs, name % "lengths", lambda out: out.write(lengths.astype("<u8").tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([int(lengths.sum())], pa.int64())], ["part", "docs", "ids"])

@@ -34,7 +34,7 @@ def expected(rows, library):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from([*" \n\t\xa0\x1cab'sé1!語", "<|endoftext|>"]), max_size=30).map("".join))
+@given(st.lists(st.sampled_from([*" \n\t\xa0\x1c\x00ab'sé1!.,語", "<|endoftext|>"]), max_size=30).map("".join))
 def test_pieces_give_the_library_ids(text):
     global _pair
     try:
@@ -47,6 +47,25 @@ def test_pieces_give_the_library_ids(text):
     assert code([text])[0].tolist() == lib.encode(text, add_special_tokens=False).ids
 
 
+def test_texts_together_and_in_parts(library, monkeypatch):
+    from shardloom.llm import token_files
+
+    import pyarrow as pa
+
+    texts = ["a  b", None, "plain words, here.\nNext line", "", " lead", "x \n y  <|endoftext|>", "trail ", "plain words", "\x00 mark \x00."] * 5
+    ids, n = Encoder(default_tokenizer(), hold=5).encoded(pa.array(texts))
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    monkeypatch.setattr(token_files, "LONG", 7)
+    long = "some words  with\tspace \n and more of them" * 3
+    parts = token_files._cut_long(long)
+    assert len(parts) > 5 and "".join(parts) == long
+    assert [i for p in parts for i in Encoder(default_tokenizer())([p])[0]] == library.encode(long, add_special_tokens=False).ids
+    monkeypatch.setattr(token_files, "SLICE", 200)
+    runs = list(token_files._slices(pa.array(["x" * 500, None, "y", "z"])))
+    assert runs[0] == (0, 1) and [i for i, _ in runs[1:]] == [j for _, j in runs[:-1]] and runs[-1][1] == 4
+
+
 def test_op3_on_the_table(spark, sf_dir, library):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
     got = [tuple(r)[:4] for r in op3_token_files(spark, sf_dir).orderBy("doc_id").collect()]
@@ -65,7 +84,7 @@ def test_token_files_edges(spark, tmp_path, library):
     flat = np.concatenate([np.memmap(f"{tmp_path}/t/tokens-{p['part']:05d}.bin", "<u2", "r") for p in index["parts"] if p["ids"]])
     assert len(flat) == got[-1][0] + got[-1][2]
     again = df.unionAll(df).unionAll(df.where("doc_id = 9")).sortWithinPartitions("doc_id", "text")
-    write_tokens(again, f"file://{tmp_path}/r", tokenizer=default_tokenizer(), parts=3, runs=True, warm=False)
+    write_tokens(again, f"file://{tmp_path}/r", tokenizer=default_tokenizer(), parts=3, runs=True)
     runs = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in read_tokens(spark, f"file://{tmp_path}/r").collect())
     more = sorted([*rows, *rows, rows[5]], key=lambda r: (r[0] is not None, r[0] or 0))
     assert [(d, s, n, c) for s, d, n, c in runs] == expected(more, library)
