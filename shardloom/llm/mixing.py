@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
 
-STEPS = 40  # halvings of the exponent's interval
+LEVELS, JOBS = 5, 8  # halvings of the exponent's interval that one job decides, and jobs: 40 halvings
 FEW = 1_000_000  # sources whose plan may be broadcast (some tens of MB); more are joined by shuffle
 
 
@@ -22,41 +24,47 @@ def exponent(totals: DataFrame, *, max_repeat: float | None = 4.0, target_entrop
 
     target_entropy (nats): the a in 0 to 1 whose weights have that entropy; out of reach, the
     nearer end. Else max_repeat: the least a at which no source repeats more often than that,
-    given the budget; without a budget the largest source is taken once. Every step is one
-    aggregate over the table of sources, nothing is collected but its result.
+    given the budget; without a budget the largest source is taken once. One job measures all
+    the midpoints that the next LEVELS halvings may need, as one aggregate over the sources;
+    nothing is collected but these few numbers.
     """
     total, most = totals.agg(F.sum("tokens"), F.max("tokens")).first()
     if not total:
         return 1.0
-    p = F.col("tokens") / F.lit(float(total))
-
-    def measured(a: float) -> tuple[float, float]:
-        """Entropy and the largest number of repetitions."""
-        w = F.pow(p, F.lit(a))
-        z, plogp, peak = totals.agg(F.sum(w), F.sum(w * F.log(w)), F.max(F.pow(p, F.lit(a - 1)))).first()
-        import math
 
-        b = budget if budget is not None else total * z * (most / total) ** (1 - a)
-        return math.log(z) - plogp / z, b / total * peak / z
+    def fits(points: list[float]) -> list[bool]:
+        """Whether at each exponent the weights are still as even as may be."""
+        each = totals.select((F.col("tokens") / F.lit(float(total))).alias("p"), F.explode(F.array(*[F.lit(x) for x in points])).alias("a"))
+        w = F.pow("p", F.col("a"))
+        found = each.groupBy("a").agg(F.sum(w).alias("z"), F.sum(w * F.log(w)).alias("plogp"), F.max(F.pow("p", F.col("a") - 1)).alias("peak"))
+        of = {r["a"]: r for r in found.collect()}  # a row for each point
+        out = []
+        for x in points:
+            r = of[x]
+            b = budget if budget is not None else total * r["z"] * (most / total) ** (1 - x)
+            entropy, repeat = math.log(r["z"]) - r["plogp"] / r["z"], b / total * r["peak"] / r["z"]
+            out.append(entropy <= target_entropy if target_entropy is not None else repeat <= max_repeat)
+        return out
 
     low, high = 0.0, 1.0
-
-    def enough(a: float) -> bool:  # at a or below it the weights are still as even as may be
-        entropy, repeat = measured(a)
-        return entropy <= target_entropy if target_entropy is not None else repeat <= max_repeat
-
-    if enough(low):
+    if fits([low])[0]:
         return low
-    if not enough(high):
+    if not fits([high])[0]:
         return high
-    for _ in range(STEPS):
-        mid = (low + high) / 2
-        low, high = (low, mid) if enough(mid) else (mid, high)
+    for _ in range(JOBS):
+        n = 1 << LEVELS
+        points = [low + (high - low) * i / n for i in range(1, n)]
+        fit = fits(points)
+        first, last = 0, n
+        while last - first > 1:
+            mid = (first + last) // 2
+            first, last = (first, mid) if fit[mid - 1] else (mid, last)
+        low, high = low + (high - low) * first / n, low + (high - low) * last / n
     return high
 
 
-def mixed(docs: DataFrame, *, max_repeat: float = 4.0, target_entropy: float | None = None, budget: int | None = None, block: int = 1 << 16, seed: int = 23, tokens: Column | None = None) -> DataFrame:
-    """docs with n_tokens, epoch (int, from 0) and mix_order (double): the mixture's rows.
+def mixture(docs: DataFrame, *, max_repeat: float = 4.0, target_entropy: float | None = None, budget: int | None = None, block: int = 1 << 16, seed: int = 23, tokens: Column | None = None) -> DataFrame:
+    """row (a struct of the columns of docs), n_tokens, epoch (int, from 0), mix_order (double): the mixture's rows.
 
     Source shares of tokens are raised to an exponent (see exponent()) and normalised; a source
     of T tokens gets weight * budget tokens. The budget, if not given, is the one that takes the
@@ -66,16 +74,19 @@ def mixed(docs: DataFrame, *, max_repeat: float = 4.0, target_entropy: float | N
     that the budget cuts, never beyond the budget. Sorting by mix_order interleaves the sources
     evenly, each epoch of a source permuted by its own seed.
 
-    docs needs doc_id, text, source. A null source is a source. Sources without tokens are taken
-    once. Repeated rows count and occur like others. Sums of a hot source are partial
-    aggregates, its prefix sums run over blocks, and only one block a source is sorted.
+    docs needs doc_id, text, source; its columns may have any names and, but for maps, any types.
+    A null source is a source. Sources without tokens (null, empty or blank texts) are taken once.
+    Rows that are equal in all columns count and occur like others; where the budget ends among
+    them, as many of them are taken as fit. An empty table gives no rows; a text of any length is
+    one row. Sums of a hot source are partial aggregates, its prefix sums run over blocks, and
+    only one block a source, its equal rows counted first, is sorted.
     """
-    cols = docs.columns
-    row = docs.withColumns({"n_tokens": tokens if tokens is not None else word_count(), "__of": F.coalesce(F.col("source"), F.lit("\0"))})
-    row = row.withColumn("__rid", F.xxhash64("doc_id", "text", "__of"))
-    slim = written(row.select("__rid", "__of", "n_tokens"), "sizes")
-    totals = written(slim.groupBy("__of").agg(F.sum("n_tokens").alias("tokens")), "sources")
-    positive = totals.where("tokens > 0").select(F.col("__of").alias("source"), "tokens")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    row = docs.select(whole.alias("row"), (tokens if tokens is not None else word_count()).alias("n"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("of"))
+    row = row.withColumn("rid", F.xxhash64("row"))
+    slim = written(row.select("rid", "of", "n"), "sizes")
+    totals = written(slim.groupBy("of").agg(F.sum("n").alias("tokens")), "sources")
+    positive = totals.where("tokens > 0").select(F.col("of").alias("source"), "tokens")
     a = exponent(positive, max_repeat=max_repeat, target_entropy=target_entropy, budget=budget)
     total, most = positive.agg(F.sum("tokens"), F.max("tokens")).first()
     total, most = float(total or 1), float(most or 1)
@@ -84,36 +95,54 @@ def mixed(docs: DataFrame, *, max_repeat: float = 4.0, target_entropy: float | N
     repeat = F.when(F.col("tokens") == 0, 1.0).otherwise(F.pow(F.col("tokens") / total, F.lit(a - 1)) / z * (b / total) + 1e-9)
     plan = totals.withColumn("repeat", repeat).withColumn("full", F.floor("repeat").cast("int"))
     plan = plan.withColumns({"rest": F.floor((F.col("repeat") - F.col("full")) * F.col("tokens")).cast("long"), "blocks": F.ceil(F.greatest(F.col("tokens"), F.lit(1)) / block).cast("long")})
-    plan = written(plan.select("__of", "repeat", "full", "rest", "blocks"), "plan")
+    plan = written(plan.select("of", "repeat", "full", "rest", "blocks"), "plan")
 
     def placed(rows: DataFrame, epoch: Column) -> DataFrame:
-        h = F.xxhash64(F.lit(seed), epoch, "__rid")
-        return rows.withColumns({"__block": F.pmod(h, F.col("blocks")), "__in": F.xxhash64(h)})
+        h = F.xxhash64(F.lit(seed), epoch, "rid")
+        return rows.withColumns({"block": F.pmod(h, F.col("blocks")), "in": F.xxhash64(h)})
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= FEW else df
 
-    last = placed(slim.join(plan, "__of"), F.col("full"))
-    sums = last.groupBy("__of", "__block").agg(F.sum("n_tokens").alias("t"), F.first("rest").alias("rest"))
-    w = Window.partitionBy("__of").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    last = placed(slim.join(small(plan.select("of", "full", "rest", "blocks")), "of"), F.col("full"))
+    sums = last.groupBy("of", "block").agg(F.sum("n").alias("t"), F.first("rest").alias("rest"))
+    w = Window.partitionBy("of").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bound = sums.withColumn("before", F.coalesce(F.sum("t").over(w), F.lit(0)))
-    cut = bound.where("before < rest and before + t >= rest").select("__of", "__block", F.col("before").alias("__before"))
-    cut = written(cut, "cut")
-    inside = Window.partitionBy("__of").orderBy("__in", "__rid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    taken = last.join(cut, ["__of", "__block"]).withColumn("at", F.col("__before") + F.sum("n_tokens").over(inside)).where("at <= rest")
-    ends = taken.groupBy("__of").agg(F.max(F.struct("__in", "__rid")).alias("__end"))
-    edge = cut.join(ends, "__of", "left").select("__of", F.col("__block").alias("__cut"), F.col("__end.__in").alias("__end_in"), F.col("__end.__rid").alias("__end_rid"))
-    whole = plan.join(edge, "__of", "left")
-    whole = written(whole, "edges")
-    if whole.count() <= FEW:
-        whole = F.broadcast(whole)
-    each = row.join(whole, "__of").withColumn("epoch", F.explode(F.expr("sequence(0, full)")))
-    each = placed(each, F.col("epoch"))
-    before_cut = (F.col("__block") < F.col("__cut")) | ((F.col("__block") == F.col("__cut")) & (F.col("__end_in").isNotNull()) & ((F.col("__in") < F.col("__end_in")) | ((F.col("__in") == F.col("__end_in")) & (F.col("__rid") <= F.col("__end_rid")))))
-    last_epoch = F.when(F.col("rest") <= 0, False).when(F.col("__cut").isNull(), True).otherwise(before_cut)
-    each = each.where((F.col("epoch") < F.col("full")) | last_epoch)
-    unit = F.pmod("__in", F.lit(1 << 30)) / float(1 << 30)
-    order = (F.col("epoch") + (F.col("__block") + unit) / F.col("blocks")) / F.greatest("repeat", F.lit(1e-9))
-    return each.select(*cols, "n_tokens", "epoch", order.alias("mix_order"))
+    cut = written(bound.where("before < rest and before + t > rest").select("of", "block", "before"), "cut")
+    full = bound.where("before < rest and before + t <= rest").groupBy("of").agg(F.max("block").alias("through"))
+    inside = Window.partitionBy("of").orderBy("in", "rid").rowsBetween(Window.unboundedPreceding, -1)
+    equal = last.join(small(cut), ["of", "block"]).groupBy("of", "block", "in", "rid", "n", "rest", "before").agg(F.count("*").alias("m"))
+    equal = equal.withColumn("at", F.col("before") + F.coalesce(F.sum(F.col("m") * F.col("n")).over(inside), F.lit(0)))
+    # the first rows that do not all fit; of them as many as fit
+    edge = equal.where("at <= rest and at + m * n > rest").select("of", F.col("block").alias("cut"), F.col("in").alias("end_in"), F.col("rid").alias("end_rid"), F.floor((F.col("rest") - F.col("at")) / F.col("n")).cast("int").alias("copies"))
+    plan = written(plan.join(full, "of", "left").join(edge, "of", "left"), "edges")
+    each = placed(row.join(small(plan), "of").withColumn("epoch", F.explode(F.expr("sequence(0, full)"))), F.col("epoch"))
+    whole_block = F.coalesce(F.col("block") <= F.col("through"), F.lit(False)) & F.coalesce(F.col("block") != F.col("cut"), F.lit(True))
+    before_edge = (F.col("block") == F.col("cut")) & ((F.col("in") < F.col("end_in")) | ((F.col("in") == F.col("end_in")) & (F.col("rid") < F.col("end_rid"))))
+    ends = F.coalesce((F.col("epoch") == F.col("full")) & (F.col("rid") == F.col("end_rid")), F.lit(False))
+    taken = (F.col("epoch") < F.col("full")) | ((F.col("rest") > 0) & (whole_block | F.coalesce(before_edge, F.lit(False))))
+    parts = [each.where(~ends & taken)]
+    if not plan.where("copies > 0").isEmpty():  # the budget ends among equal rows: so many copies of one of them
+        parts.append(each.where(ends & (F.col("copies") > 0)).dropDuplicates(["of"]).withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).drop("copy"))
+    each = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+    unit = F.pmod("in", F.lit(1 << 30)) / float(1 << 30)
+    order = (F.col("epoch") + (F.col("block") + unit) / F.col("blocks")) / F.greatest("repeat", F.lit(1e-9))
+    return each.select("row", F.col("n").alias("n_tokens"), "epoch", order.alias("mix_order"))
+
+
+def mixed(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of mixture() as docs with n_tokens, epoch and mix_order; columns of docs with these names are replaced."""
+    keep = [c for c in docs.columns if c.lower() not in ("n_tokens", "epoch", "mix_order")]
+    return mixture(docs, **parameters).select(*[F.col(f"row.`{c}`") for c in keep], "n_tokens", "epoch", "mix_order")
+
+
+def write_mixed(mix: DataFrame, uri: str) -> DataFrame:
+    """Write rows of mixed() or mixture() in the mixture's order, file after file, and read them back."""
+    mix.repartitionByRange("mix_order").sortWithinPartitions("mix_order").write.parquet(uri)
+    return mix.sparkSession.read.schema(mix.schema).parquet(uri)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed with the default repetition limit of 4: doc_id, source, n_tokens, epoch, mix_order."""
     out = mixed(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", "n_tokens", "epoch", "mix_order")
