@@ -8,9 +8,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle import connect, rows_of_duck, rows_of_spark
+from pyspark.sql import functions as F
 
 from shardloom.llm.chat import OP4_SQL, Template, digests, formatted, op4_chat_formatting
-from shardloom.llm.mixing import exponent, mixed, op7_mixing, word_count
+from shardloom.llm.mixing import exponent, mixed, mixture, op7_mixing, word_count, write_mixed
 from shardloom.llm.sharding import op6_sharding, shuffle_into_shards
 from shardloom.llm.token_files import Encoder, default_tokenizer, op3_token_files, read_tokens, write_tokens
 
@@ -148,6 +149,20 @@ def test_shuffle_edges_and_order(spark, tmp_path):
     assert [tuple(r)[-2:] for r in shuffle_into_shards(df.limit(1), f"{tmp_path}/d", 3).collect()] == [(0, 0)]
 
 
+def test_shuffle_deals_equal_rows_over_buckets(spark, tmp_path, monkeypatch):
+    from shardloom.llm import sharding
+
+    monkeypatch.setattr(sharding, "CHUNK", 16)
+    rows = [(i, f"t{i}", i, "p", "h") for i in range(200)] + [(7, "again", 1, "p", "h")] * 300 + [(8, None, 1, None, "h")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, place long, bucket string, h string").withColumn("a.b", F.lit(1)).repartition(5)
+    got = shuffle_into_shards(df, f"{tmp_path}/a", 6, bucket_bytes=400).collect()
+    assert Counter(tuple(r)[:5] for r in got) == Counter(rows)
+    n = Counter(r["shard"] for r in got)
+    assert max(n.values()) - min(n.values()) <= 1 and {(r["shard"], r["slot"]) for r in got} == {(s, k) for s in range(6) for k in range(n[s])}
+    again = Counter(r["shard"] for r in got if r["text"] == "again")
+    assert len(again) == 6 and max(again.values()) < 90  # a bucket of equal rows would fill shards
+
+
 # --- mixing
 
 def sources(spark):
@@ -158,7 +173,7 @@ def sources(spark):
 
 def test_repetition_limit(spark):
     df, rows = sources(spark)
-    out = mixed(df.drop("epoch"), max_repeat=4.0, block=64)
+    out = mixed(df, max_repeat=4.0, block=64)
     got = out.collect()
     words = Counter()
     for _, t, s in rows:
@@ -186,7 +201,7 @@ def test_repetition_limit(spark):
 
 def test_budget_entropy_and_edges(spark):
     df, rows = sources(spark)
-    few = mixed(df.drop("epoch"), budget=1500, max_repeat=1000.0, block=64).groupBy().sum("n_tokens").first()[0]
+    few = mixed(df, budget=1500, max_repeat=1000.0, block=64).groupBy().sum("n_tokens").first()[0]
     assert 1500 - 4 * 15 <= few <= 1500
     totals = spark.createDataFrame([("a", 900), ("b", 90), ("c", 10)], "source string, tokens long")
     p = np.array([0.9, 0.09, 0.01])
@@ -195,12 +210,78 @@ def test_budget_entropy_and_edges(spark):
     assert -(w * np.log(w)).sum() == pytest.approx(0.9, abs=1e-6)
     assert exponent(totals, target_entropy=2.0) == 0.0 and exponent(totals, target_entropy=0.1) == 1.0
     assert exponent(totals.limit(0)) == 1.0
-    assert mixed(df.drop("epoch").limit(0)).count() == 0
+    assert mixed(df.limit(0)).count() == 0
     blank = mixed(spark.createDataFrame([(1, None, "s"), (2, " ", "s")], "doc_id long, text string, source string"))
     assert sorted((r["doc_id"], r["epoch"]) for r in blank.collect()) == [(1, 0), (2, 0)]
     assert [r[0] for r in spark.createDataFrame([(None,), ("",), (" a \n b ",)], "text string").select(word_count()).collect()] == [0, 0, 2]
 
 
+def test_budget_ends_among_equal_rows(spark):
+    """Of 40 equal rows only as many are taken as fit; so too for rows that differ in another column."""
+    rows = [(i, "w " * 10, "a", None) for i in range(90)] + [(500, "v " * 7, "b", None)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, note string").repartition(3)
+    for budget in (1000, 700, 333, 41):
+        got = mixed(df, budget=budget, max_repeat=1000.0).groupBy("source").agg({"n_tokens": "sum"}).collect()
+        a = exponent(spark.createDataFrame([("a", 900), ("b", 280)], "source string, tokens long"), max_repeat=1000.0, budget=budget)
+        w = {"a": (900 / 1180) ** a, "b": (280 / 1180) ** a}
+        for s, n in got:
+            share = budget * w[s] / sum(w.values())
+            assert share - (10 if s == "a" else 7) - 1e-6 < n <= share + 1e-6, (budget, s, n, share)
+
+
+def test_mixture_by_brute_force(spark):
+    """Epochs and the partial one, source by source, from the exponent of a plain bisection."""
+    df, rows = sources(spark)
+    words = Counter()
+    for _, t, s in rows:
+        words[s] += len((t or "").split())
+    total = sum(words.values())
+    share = {s: n / total for s, n in words.items() if n}
+
+    def repeats(a):  # the largest source once
+        w = {s: p**a for s, p in share.items()}
+        big = max(share, key=share.get)
+        return {s: w[s] / share[s] / (w[big] / share[big]) for s in share}
+
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if max(repeats(mid).values()) <= 3.0 else (mid, high)
+    want = repeats(high)
+    got = mixed(df, max_repeat=3.0, block=64).collect()
+    taken, epochs = Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["n_tokens"]
+        epochs.setdefault((r["source"], r["epoch"]), []).append(r["doc_id"])
+    most = Counter({s: max(len((t or "").split()) for _, t, x in rows if x == s) for s in share})
+    for s in share:
+        assert want[s] * words[s] - most[s] < taken[s] <= want[s] * words[s] + 1e-3
+        for e in range(int(want[s] + 1e-9)):
+            assert sorted(epochs[s, e]) == sorted(i for i, _, x in rows if x == s)
+        assert max(e for x, e in epochs if x == s) <= want[s]
+
+
+def test_mixture_keeps_columns_of_any_name(spark, tmp_path):
+    names = ["n_tokens", "epoch", "mix_order", "full", "rest", "repeat", "blocks", "block", "in", "of", "n", "rid", "row", "copies", "cut", "through", "end_in", "end_rid", "__of", "__rid", "a.b"]
+    df, rows = sources(spark)
+    for k, c in enumerate(names):
+        df = df.drop("epoch") if not k else df
+        df = df.withColumn(c, F.concat(F.lit(c), F.col("doc_id").cast("string")))
+    out = mixture(df, block=64)
+    got = out.select("row.*", F.col("n_tokens").alias("t")).collect()
+    assert out.select("row.*").columns == df.columns and {r["doc_id"] for r in got} == {r[0] for r in rows}
+    assert all(r[c] == f"{c}{r['doc_id']}" for r in got for c in names)
+    flat = mixed(df, block=64)
+    assert flat.columns == [c for c in df.columns if c not in names[:3]] + names[:3] and flat.count() == len(got)
+    import corpus_pipeline
+
+    assert corpus_pipeline.mix(spark, df, None).columns == df.columns
+    read = write_mixed(flat, f"file://{tmp_path}/m")
+    assert sorted(r["mix_order"] for r in read.collect()) == sorted(r["mix_order"] for r in flat.select("mix_order").collect())
+    order = [r["mix_order"] for r in read.collect()]
+    assert sum(a > b for a, b in zip(order, order[1:], strict=False)) < 8  # files follow each other, each in order
+
+
 def test_op7_keeps_every_document(spark, sf_dir):
     out = op7_mixing(spark, sf_dir)
     assert out.select("doc_id").distinct().count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
