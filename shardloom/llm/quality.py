@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_since, mix64, release, scratch_mark, scratch_path, table, written
+from .common import drop_since, mix64, release, scratch_mark, scratch_path, small_batches, table, written
 
 BOS, EOS = "\x02", "\x03"
 BATCH = 24_000_000  # bytes of text whose distinct n-grams are looked up together
@@ -230,8 +230,8 @@ def bounds_of(bars: DataFrame, low: float, high: float, *by: str) -> DataFrame:
     return cum.groupBy(*by).agg(F.array(at(low, True), at(high, True), at(0.5, True)).alias("q"), at(0.5, False).alias("mid"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, *, order: int = 5, high: float = 0.99, low: float = 0.01, slack: float = 0.1, sure: float = 3.0, seed: int = 11) -> DataFrame:
-    """docs with n_tokens, perplexity, low_bound, high_bound, kept.
+def scored(docs: DataFrame, labels: DataFrame, *, order: int = 5, high: float = 0.99, low: float = 0.01, slack: float = 0.1, sure: float = 3.0) -> DataFrame:
+    """row (a struct of the columns of docs), n_tokens, perplexity, low_bound, high_bound, kept.
 
     The model is trained on the whole trusted text: documents whose label says quality 1 and not
     toxic, every n-gram of them counted. Bounds are language-specific quantiles (high and low) of
@@ -241,16 +241,19 @@ def judged(docs: DataFrame, labels: DataFrame, *, order: int = 5, high: float =
     rejected if its own mean surprise lies beyond a bound by more than sure standard errors of
     its length. A language without trusted documents uses the bounds of all languages.
 
-    docs needs doc_id, text, lang; labels needs doc_id, quality, toxic. A document without text
-    (null, empty or white space only) is rejected, perplexity null. Null languages form one
-    language. Repeated rows are scored alike. Without trusted text everything else is kept, with
-    null perplexity and bounds.
+    docs needs doc_id, text, lang and may have other columns of any names; labels needs doc_id,
+    quality, toxic. A document without text (null, empty or white space only) is rejected,
+    perplexity null. Null languages form one language. Repeated rows are scored alike. Texts of
+    any length are scored whole, in overlapping pieces. Without trusted text everything else is
+    kept, with null perplexity and bounds. An empty table gives no rows.
     """
-    cols, spark, mark = docs.columns, docs.sparkSession, scratch_mark()
-    row = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
+    spark, mark = docs.sparkSession, scratch_mark()
+    small_batches(spark)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    row = docs.select(whole.alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.coalesce("lang", F.lit("")).alias("of"), F.xxhash64("doc_id", "text").alias("rid"))
     trusted = written(labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id", F.lit(True).alias("known")).distinct(), "trusted")
     few = trusted.count() <= FEW
-    text = row.where("trim(text) <> ''").join(F.broadcast(trusted) if few else trusted, "doc_id", "left").select("rid", "text", F.coalesce("known", F.lit(False)).alias("known"))
+    text = row.where("trim(text) <> ''").select("rid", "doc_id", "text").join(F.broadcast(trusted) if few else trusted, "doc_id", "left").select("rid", "text", F.coalesce("known", F.lit(False)).alias("known"))
     if not few:
         text = written(text, "texts")  # a scan has the same partitions in each pass
     need = written(batch_grams(text, order), "grams")
@@ -259,12 +262,12 @@ def judged(docs: DataFrame, labels: DataFrame, *, order: int = 5, high: float =
     if floor == 1.0:
         nothing = F.lit(None).cast("double")
         kept = F.coalesce(F.trim("text") != "", F.lit(False))
-        return docs.select(*cols, F.lit(0).cast("long").alias("n_tokens"), nothing.alias("perplexity"), nothing.alias("low_bound"), nothing.alias("high_bound"), kept.alias("kept"))
+        return row.select("row", F.lit(0).cast("long").alias("n_tokens"), nothing.alias("perplexity"), nothing.alias("low_bound"), nothing.alias("high_bound"), kept.alias("kept"))
     scores = written(score_grams(counts, model, floor, order), "scores")
     answers = need.select("batch", "gram").join(scores, "gram")
     score = written(perplexities(text, answers, order).groupBy("rid").agg(F.max("n").alias("n"), F.max("logp").alias("logp")), "perplexity")
     drop_since(spark, mark, trusted, score)
-    base = row.select("rid", "doc_id", F.coalesce("lang", F.lit("")).alias("of")).join(score, "rid").withColumn("h", -F.col("logp") / F.col("n"))
+    base = row.select("rid", "doc_id", "of").join(score, "rid").withColumn("h", -F.col("logp") / F.col("n"))
     base = base.join(F.broadcast(trusted) if few else trusted, "doc_id", "left")
     mark = base.select("of", F.coalesce("known", F.lit(False)).alias("known"), F.round(F.col("h") * 1000).cast("long").alias("b"))
     bars = written(mark.groupBy("of", "known", "b").agg(F.count("*").alias("n")), "bars")  # some thousands a language
@@ -272,13 +275,22 @@ def judged(docs: DataFrame, labels: DataFrame, *, order: int = 5, high: float =
     if every is None or every["q"] is None:
         every = {"q": [0.0, 0.0, 0.0]}
     bounds = written(bounds_of(bars, low, high, "of"), "bounds")
-    out = row.withColumn("of", F.coalesce("lang", F.lit(""))).join(score, "rid", "left").join(bounds, "of", "left")
+    out = row.select("row", "rid", "of").join(score, "rid", "left").join(bounds, "of", "left")
     q = [F.coalesce(F.col("q")[i], F.lit(every["q"][i])) for i in range(3)]
     h, margin = -F.col("logp") / F.col("n"), sure * q[2] / F.sqrt("n")
     shift = F.greatest(F.lit(0.0), F.least(F.lit(0.5), F.coalesce("mid", q[2]) - q[2]))
     lower, upper = q[0] - slack, q[1] + shift + slack
     kept = F.coalesce((h <= upper + margin) & (h >= lower - margin), F.lit(False))
-    return out.select(*cols, F.coalesce("n", F.lit(0)).cast("long").alias("n_tokens"), F.exp(h).alias("perplexity"), F.exp(lower).alias("low_bound"), F.exp(upper).alias("high_bound"), kept.alias("kept"))
+    return out.select("row", F.coalesce("n", F.lit(0)).cast("long").alias("n_tokens"), F.exp(h).alias("perplexity"), F.exp(lower).alias("low_bound"), F.exp(upper).alias("high_bound"), kept.alias("kept"))
+
+
+VERDICT = ("n_tokens", "perplexity", "low_bound", "high_bound", "kept")
+
+
+def judged(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
+    """The rows of scored() as docs with the columns of VERDICT; columns of docs with these names are replaced."""
+    keep = [c for c in docs.columns if c.lower() not in VERDICT]
+    return scored(docs, labels, **parameters).select(*[F.col(f"row.`{c}`") for c in keep], *VERDICT)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

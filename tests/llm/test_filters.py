@@ -7,7 +7,7 @@ from oracle import connect, rows_of_duck, rows_of_spark
 
 from shardloom.llm.decontaminate import RADIUS, _variants, decontaminated, matches, op10_benchmark_decontamination
 from shardloom.llm.html_text import LABELLED, Scorer, best_region, extracted, main_text, op9_html_extraction
-from shardloom.llm.quality import grams, judged, kneser_ney, op2_quality_classifier, pieces, score_grams
+from shardloom.llm.quality import grams, judged, kneser_ney, op2_quality_classifier, pieces, score_grams, scored
 from shardloom.llm.url_filter import OP1_SQL, Rule, host_and_path, judged as judged_pages, op1_url_filter, propagate
 
 
@@ -159,6 +159,61 @@ def test_junk_goes_and_clean_stays(spark):
     assert judged(docs.drop("perplexity").limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
 
 
+def test_perplexity_by_brute_force(spark):
+    """Mean surprise of each text under the interpolated modified Kneser-Ney model, computed plainly."""
+    import random
+
+    rnd = random.Random(8)
+    rows = [(i, "".join(rnd.choice("aab ceé") for _ in range(rnd.randrange(1, 60))) + ".", "en" if i % 3 else None) for i in range(60)]
+    labels = [(i, 1, 0) for i in range(25)] + [(40, 1, 1), (41, 0, 0)]
+    order = 4
+    of = lambda t: ["\2" * (order - 1) + t + "\3"][0]
+    top = Counter(g for i, t, _ in rows if i < 25 for x in [of(t)] for g in (x[k : k + order] for k in range(len(x) - order + 1)))
+    counts = {order: top}
+    for m in range(order - 1, 0, -1):
+        counts[m] = Counter(g[1:] for g in counts[m + 1])
+    floor = 1 / (1 + len(counts[1]))
+
+    def discount(m, c):
+        n = [sum(v == i for v in counts[m].values()) for i in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
+        i = min(c, 3)
+        return min(i, max(0.05, i - (i + 1) * y * n[i] / n[i - 1])) if n[i - 1] else i / 2
+
+    def p(g):
+        if not g:
+            return floor
+        m = len(g)
+        follow = {x: c for x, c in counts[m].items() if x[:-1] == g[:-1]}
+        if not follow:
+            return p(g[1:])
+        s = sum(follow.values())
+        own = (follow[g] - discount(m, follow[g])) / s if g in follow else 0.0
+        return own + sum(discount(m, c) for c in follow.values()) / s * p(g[1:])
+
+    memo = {}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r["doc_id"]: r for r in judged(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), order=order).collect()}
+    for i, t, _ in rows:
+        x = of(t)
+        each = [math.log(memo.setdefault(g, p(g))) for g in (x[k : k + order] for k in range(len(x) - order + 1))]
+        assert got[i]["n_tokens"] == len(each) and got[i]["perplexity"] == pytest.approx(math.exp(-sum(each) / len(each)), rel=1e-4), i
+
+
+def test_quality_keeps_columns_of_any_name(spark):
+    names = ["n_tokens", "perplexity", "low_bound", "high_bound", "kept", "rid", "of", "known", "n", "logp", "q", "mid", "h", "row", "a.b"]
+    docs = spark.createDataFrame([(i, "some words of a text " * (1 + i % 4), "en") for i in range(30)], "doc_id long, text string, lang string")
+    from pyspark.sql import functions as F
+
+    for c in names:
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.col("doc_id").cast("string")))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    got = scored(docs, labels).select("row.*").collect()
+    assert len(got) == 30 and all(r[c] == f"{c}{r['doc_id']}" for r in got for c in names)
+    flat = judged(docs, labels)
+    assert flat.columns == [c for c in docs.columns if c not in names[:5]] + names[:5] and flat.where("kept").count() == 30
+
+
 def test_op2_accuracy(spark):
     """Held-out labels: of the good documents nearly all stay, of the bad ones most go."""
     sf = "/root/testdata/sf0.01"
