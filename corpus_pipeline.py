@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from shardloom.llm.common import scratch_path, table, written
 from shardloom.llm.decontaminate import decontaminated
 from shardloom.llm.minhash_dedup import one_of_each
-from shardloom.llm.mixing import mixed
-from shardloom.llm.quality import judged
+from shardloom.llm.mixing import mixture
+from shardloom.llm.quality import scored
 from shardloom.llm.token_files import default_tokenizer, read_tokens, write_tokens
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    return judged(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    return scored(docs, table(spark, sf_dir, "labels")).where("kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Small sources repeat, up to four times; every document occurs at least once."""
-    return mixed(docs, max_repeat=4.0).select(*docs.columns)
+    return mixture(docs, max_repeat=4.0).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
