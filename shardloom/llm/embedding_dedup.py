@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from .common import Forest, components, drop_written, groups_by, table, written
 
 SAMPLE = 20_000  # vectors that fit the cells; every vector is assigned and compared
-CELL, CELLS_MOST = 2_000, 512  # vectors of one label for each cell
+CELL, CELLS_MOST = 2_000, 4_096  # vectors of one label for each cell; cells that a sample of SAMPLE can place
+ROWS = 1_024  # vectors whose cosines with all cells are held at a time
 BLOCK, BLOCK_MOST, BLOCKS = 1_024, 4_096, 12
 
 
@@ -49,9 +50,7 @@ def _assign(centroids: np.ndarray, threshold: float):
     gap = np.sqrt(np.maximum(0, 2 - 2 * centroids @ centroids.T))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             near = _unit(batch.column(3)) @ centroids.T
             home = np.argmax(near, axis=1)
             best = near[np.arange(len(near)), home]
