@@ -91,8 +91,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8) -
 
     One row for each document and item, with the best window (of equals one in which a shingle
     lies at its place, then the first); a document
-    text (rid) that occurs in several rows with one doc_id counts once. Null and empty texts and
-    items below five words match nothing; a text shorter than an item is one window.
+    text (rid) that occurs in several rows with one doc_id counts once, as do repeated rows of
+    benchmark. Null and empty texts and items below five words, which have no shingle, match
+    nothing; a text shorter than an item is one window, one of any length is read whole. Either
+    table may be empty.
     """
     items = with_shingles(benchmark.where("item_id is not null"), "text", F.col("item_id").cast("long").alias("item_id")).where(f"n >= {SHINGLE}")
     items = written(items.withColumn("fp", simhash("sh")).dropDuplicates(["item_id", "sh"]), "items")
@@ -137,16 +139,20 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 _SHINGLES = "list_transform(range(1, greatest(1, len(w) - 3)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4])"
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+# Every item-sized window of every text that shares a shingle with the item, in a plain loop over starts.
 OP10_SQL = f"""
 with d as (select doc_id, len(w) as n, {_SHINGLES} as sh from (select distinct doc_id, text, {_WORDS} as w from documents)),
 i as (select item_id, len(w) as words, {_SHINGLES} as sh from (select item_id, {_WORDS} as w from benchmark) where len(w) >= 5),
-needle as (select distinct words, unnest(sh) as h, generate_subscripts(sh, 1) - 1 as off from i),
-hay as (select doc_id, n, sh, unnest(sh) as h, generate_subscripts(sh, 1) - 1 as pos from d),
-win as (select distinct doc_id, words, greatest(0, least(pos - off, n - words)) as start, sh from hay join needle using (h)),
-cut as (select doc_id, words, start, sh[start + 1 : start + words - 4] as ws from win),
-pair as (select doc_id, item_id, start, words, len(ws) as a, len(sh) as b,
+needle as (select item_id, words, unnest(sh) as h, generate_subscripts(sh, 1) - 1 as off from i),
+hay as (select doc_id, n, unnest(sh) as h, generate_subscripts(sh, 1) - 1 as pos from d),
+hit as (select doc_id, item_id, n, words, pos, off from hay join needle using (h)),
+touch as (select doc_id, item_id, any_value(n) as n, any_value(words) as words, list_distinct(list(greatest(0, least(pos - off, n - words)))) as placed, list_distinct(list(pos)) as begin_at from hit group by doc_id, item_id),
+win as (select *, unnest(range(0, greatest(1, n - words + 1))) as start from touch),
+cut as (select doc_id, item_id, start, words, list_contains(placed, start) as placed, list_contains(begin_at, start) or start = n - words as begins, d.sh[start + 1 : start + words - 4] as ws, i.sh as sh
+  from win join d using (doc_id, n) join i using (item_id, words)),
+pair as (select doc_id, item_id, start, words, placed, begins, len(ws) as a, len(sh) as b,
   list_sum(list_transform(list_distinct(sh), lambda x: least(len(list_filter(ws, lambda y: y = x)), len(list_filter(sh, lambda z: z = x))))) as c
-  from cut join i using (words) where len(list_intersect(ws, sh)) > 0),
-best as (select *, c / (a + b - c) as sim, row_number() over (partition by doc_id, item_id order by c / (a + b - c) desc, start) as k from pair where c / (a + b - c) >= 0.8)
+  from cut where len(list_intersect(ws, sh)) > 0),
+best as (select *, c / (a + b - c) as sim, row_number() over (partition by doc_id, item_id order by c / (a + b - c) desc, placed desc, placed or begins desc, start) as k from pair where c / (a + b - c) >= 0.8)
 select doc_id, item_id, cast(start as int) as start, cast(words as int) as words, round(sim, 6) as similarity from best where k = 1
 """

@@ -109,8 +109,9 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, damping: float
     hosts; a host is blocked if distrust exceeds margin times trust. Hosts that neither walk
     reaches, and urls without a host, are allowed.
 
-    pages needs page_id, url, html; other columns are ignored. Null html has no links. Repeated
-    rows are judged alike. Hosts, links and scores stay distributed.
+    pages needs page_id, url, html; other columns are ignored. Null html has no links, a null url
+    no host. Urls and pages of any length are read whole. Repeated rows are judged alike, their
+    links count once each. An empty table gives no rows. Hosts, links and scores stay distributed.
     """
     host, path = host_and_path(F.col("url"))
     base = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
@@ -133,12 +134,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(F.coalesce(c, F.lit(0.0)), 9) for c in ("trust", "distrust")})
 
 
-# Only for tables without links between hosts: it has neither links nor walks.
+# Ranks as sums of the walk's powers: rounds of one join each, cut where 0.85 ** 150 of the mass is left.
 OP1_SQL = r"""
-with p as (
-  select page_id, case when contains(url, '://') then regexp_replace(url, '^.*?://', '', 's') end as rest from pages),
+with recursive p as (
+  select page_id, html, case when contains(url, '://') then regexp_replace(url, '^.*?://', '', 's') end as rest from pages),
 h as (
-  select page_id, translate(coalesce(regexp_extract(rest, '^[^/?#]*', 0, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  select page_id, html, translate(coalesce(regexp_extract(rest, '^[^/?#]*', 0, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's'), '') as path from p),
 rules(rh, rp, rv) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 best as (
@@ -148,8 +149,24 @@ best as (
 seed as (
   select host, avg(case when rv = 'allow' then 1.0 else 0.0 end) as t, avg(case when rv = 'block' then 1.0 else 0.0 end) as b
   from best where k = 1 and host <> '' group by host),
-seeded as (select host, cast(t as double) / (select sum(t) from seed) as t, cast(b as double) / (select sum(b) from seed) as b from seed where t > 0 or b > 0),
-scaled as (select host, t / (select avg(t) from seeded) as t, b / (select avg(b) from seeded) as b from seeded)
+start as (
+  select 't' as kind, host, cast(t as double) / (select sum(t) from seed) as mass from seed where t > 0
+  union all select 'b', host, cast(b as double) / (select sum(b) from seed) from seed where b > 0),
+page_link as (
+  select host as src, unnest(list_distinct(list_transform(regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]+)', 1),
+    lambda u: translate(regexp_extract(regexp_replace(u, '^[^/]*//', ''), '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')))) as dst
+  from h where html is not null),
+link as (select src, dst, cast(count(*) as double) as w from page_link where src <> '' and dst <> '' and src <> dst group by src, dst),
+step as (
+  select 't' as kind, src as s, dst as d, w / sum(w) over (partition by src) as share from link
+  union all select 'b', dst, src, w / sum(w) over (partition by dst) from link),
+walk(i, kind, host, mass) as (
+  select 0, kind, host, mass from start
+  union all select i + 1, walk.kind, d, sum(share * mass) from walk join step on walk.kind = step.kind and walk.host = step.s where i < 150 group by i, walk.kind, d),
+ranked as (
+  select host, sum(case when kind = 't' then part else 0 end) as t, sum(case when kind = 'b' then part else 0 end) as b
+  from (select kind, host, case when i < 150 then 0.15 else 1 end * power(0.85, i) * mass as part from walk) group by host),
+scaled as (select host, t / coalesce(nullif((select avg(t) from ranked), 0), 1) as t, b / coalesce(nullif((select avg(b) from ranked), 0), 1) as b from ranked)
 select page_id, best.host, path, rule, coalesce(rv, case when b > t then 'block' else 'allow' end) as verdict,
   round(coalesce(t, 0), 9) as trust, round(coalesce(b, 0), 9) as distrust
 from best left join scaled using (host) where k = 1

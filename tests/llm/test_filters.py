@@ -5,7 +5,7 @@ import brute
 import pytest
 from oracle import connect, rows_of_duck, rows_of_spark
 
-from shardloom.llm.decontaminate import RADIUS, _variants, decontaminated, matches, op10_benchmark_decontamination
+from shardloom.llm.decontaminate import OP10_SQL, RADIUS, _variants, decontaminated, matches, op10_benchmark_decontamination
 from shardloom.llm.html_text import LABELLED, Scorer, best_region, extracted, main_text, op9_html_extraction
 from shardloom.llm.quality import grams, judged, kneser_ney, op2_quality_classifier, pieces, score_grams, scored
 from shardloom.llm.url_filter import OP1_SQL, Rule, host_and_path, judged as judged_pages, op1_url_filter, propagate
@@ -104,6 +104,32 @@ def test_op1_on_a_table_with_links(spark, tmp_path):
     assert got == {1: ("allow", True, False), 2: ("block", False, True), 3: ("block", False, True), 4: ("block", False, True), 5: ("allow", True, False), 6: ("allow", False, False)}
 
 
+def test_op1_equals_its_sql_on_a_graph_of_hosts(spark, tmp_path):
+    """Some hundred hosts with cycles, dangling hosts and a hub; scores to six digits."""
+    import random
+
+    rnd = random.Random(6)
+    hosts = [f"h{i}.{rnd.choice(['com', 'net', 'org', 'org'])}" for i in range(120)]
+    forms = ('<a href="http://{}/p">', "<a href='//{}/p'>", "<a href=//{}>", '<A HREF="/x"> <a href="HTTPS://{}?q">')
+    rows = []
+    for i in range(400):
+        h = rnd.choice(hosts)
+        to = [] if hosts.index(h) % 7 == 0 else [rnd.choice(hosts) for _ in range(rnd.randrange(4))] + [hosts[1]]
+        rows.append((i, f"http://{h}{rnd.choice(['/es/', '/fr/x', '/'])}", "".join(rnd.choice(forms).format(d) for d in to)))
+    rows += [(400, None, '<a href="//x.com/">'), (401, "http://lone.org", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    columns = ["page_id", "host", "path", "rule", "verdict"]
+    want = {r[0]: r for r in c.sql(f"select {', '.join(columns)}, trust, distrust from ({OP1_SQL})").fetchall()}
+    got = {r["page_id"]: r for r in op1_url_filter(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and len({r["verdict"] for r in got.values() if not r["rule"]}) == 2
+    for i, r in got.items():
+        assert tuple(r[k] for k in columns) == want[i][:5] and abs(r["trust"] - want[i][5]) < 1e-6 and abs(r["distrust"] - want[i][6]) < 1e-6, i
+
+
 # --- quality
 
 def test_grams_cover_each_text_once():
@@ -280,6 +306,38 @@ def test_layouts_named_after_what_they_hold_keep_the_text():
     assert text(f"<article>{story}<div class='ad'>Buy one and get one free</div></article>") == want
 
 
+def test_names_that_only_sound_like_boilerplate_keep_their_text():
+    text = lambda body: main_text(f"<html><body><nav>Menu</nav><article><p>one</p>{body}<p>three</p></article></body></html>", Scorer())
+    for tag, names in (("div", "legal"), ("div", "warning"), ("div", "notice-period"), ("div", "search-results"), ("section", "social-history"), ("p", "adversary"), ("li", "shared-memory"), ("span", "related-work"), ("div", "content link right")):
+        assert text(f'<{tag} class="{names}">two words</{tag}>').replace("\n\n", " ") == "one two words three", names
+    for tag, names in (("p", "advert"), ("li", "share"), ("ins", "adsbygoogle"), ("td", "ad"), ("div", "ad-box"), ("div", "comment-list"), ("section", "related-links"), ("span", "social buttons"), ("div", "cookie-bar")):
+        assert text(f'<{tag} class="{names}">two words</{tag}>') == "one\n\nthree", names
+    # marked elements that are never closed end where the language ends them
+    assert text('<p class="advert">Buy<p>two') == "one\n\ntwo\n\nthree"
+    assert text('<ul><li class="share">Tell<li>two<ul><li class="ad">Buy</ul>more</ul>') == "one\n\ntwo\n\nmore\n\nthree"
+    assert text('<table><tr><td class="ad">Buy<td>two<tr class="ad"><td>Buy<tr><td>four</table>') == "one\n\ntwo\n\nfour\n\nthree"
+    assert text('<dl><dt class="ad">Buy<dd>two</dl>') == "one\n\ntwo\n\nthree"
+
+
+def test_the_scan_decides_the_region(monkeypatch):
+    """Pages without an article: what stands around the text in unmarked elements goes by its score alone."""
+    from shardloom.llm import html_text
+
+    story = "".join(f"<p>The {i}th paragraph of a story that goes on for a while, as stories do.</p>" for i in range(6))
+    links = "<ul>" + "".join(f'<li><a href="/{i}"><b><i></i></b></a></li>' for i in range(60)) + "</ul>"
+    page = f"<html><body><div>Top</div>{links}<div>{story}</div>{links}<div>Bottom</div></body></html>"
+    want = main_text(f"<div>{story}</div>", Scorer())
+    assert main_text(page, Scorer()) == want
+    monkeypatch.setattr(html_text, "best_region", lambda scores: (0, len(scores)))
+    assert main_text(page, Scorer()) != want
+
+
+def test_marks_come_from_the_labelled_pages():
+    page = '<html><body><div class="zzz">Buy it</div><!--begin main--><div class="yyy"><p>A long enough text of a page.</p></div><!--end main--><div class="zzz">Now and here</div></body></html>'
+    other = '<article><p>one</p><div class="zzz">two</div><div class="ad">three</div></article>'
+    assert main_text(other, Scorer((page,))) == "one\n\nthree" and main_text(other, Scorer()) == "one\n\ntwo"
+
+
 def test_elements_that_look_raw_lose_no_text():
     text = lambda body: main_text(f"<article>{body}<p>three</p></article>", Scorer())
     for icon in ('<svg class="i"/>', "<svg/>", "<svg hidden />", '<svg title="a > b" class=i />', "<iframe src='x'/>", "<svg><title>No</title><path d='M0'/></svg>", "<svg class=i/>No</svg>"):
@@ -309,6 +367,35 @@ def test_op10_equals_brute_force(spark, sf_dir):
     assert got == brute.leaks(docs, items)
 
 
+def test_edited_items_equal_sql_and_brute_force(spark, tmp_path):
+    """200 random edits of items: swapped parts, inserted and dropped words, repeats, shifted blocks."""
+    import random
+
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefghijklm") for _ in range(6))
+    items = [[word() for _ in range(n)] for n in (20, 30, 45, 60, 80, 9)]
+    items[2][20:40] = items[2][:20]  # repeats inside an item
+    docs = []
+    for i in range(200):
+        w = list(rnd.choice(items))
+        for _ in range(rnd.randrange(4)):
+            k, how = rnd.randrange(1, len(w)), rnd.randrange(5)
+            w = [w[k:] + w[:k], w[:k] + [word()] + w[k:], w[: k - 1] + w[k:], w[:k] + w[max(0, k - 6) :], w[k:] + [word() for _ in range(3)] + w[:k]][how] or ["x"]
+        docs.append((i, " ".join([word() for _ in range(rnd.choice([0, 3, 50]))] + w + [word() for _ in range(rnd.choice([0, 2, 60]))])))
+    bench = [(i, " ".join(w)) for i, w in enumerate(items)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["words"], r["similarity"]) for r in op10_benchmark_decontamination(spark, str(tmp_path)).collect()}
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = {(r[0], r[1]): r[2:] for r in c.sql(f"select doc_id, item_id, start, words, similarity from ({OP10_SQL})").fetchall()}
+    assert set(want) == brute.leaks(docs, bench) and 60 < len(want) < 200
+    assert got == want
+
+
 def test_decontamination_edges(spark):
     import random
 
