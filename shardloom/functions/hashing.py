@@ -26,16 +26,27 @@ def key_text(columns: list[Column | str], types: list[str]) -> Column:
     return F.concat(*[x for i, p in enumerate(parts) for x in ([F.lit("\0"), p] if i else [p])])
 
 
-def vshard(columns: list[Column | str], types: list[str]) -> Column:
-    """The virtual shard (0 to 65535) of a row, in plain integer arithmetic without a UDF.
+def _step(h: Column, byte: Column) -> Column:
+    """The low bits of a product depend on the low bits of its factors only: 16-bit steps never overflow."""
+    return (h.bitwiseXOR(byte) * F.lit(LOW_PRIME)).bitwiseAND(F.lit(0xFFFF))
+
 
-    The low bits of a product depend on the low bits of its factors only, so that 16-bit
-    steps over the key's bytes give hash % 65536 and never overflow.
-    """
-    code = F.hex(F.encode(key_text(columns, types), "UTF-8"))
+def _steps(h: Column, text: Column) -> Column:
+    """The steps over a text's bytes; where all are ASCII, its characters are its bytes."""
+    plain = F.aggregate(F.sequence(F.lit(1), F.length(text)), h, lambda x, i: _step(x, F.ascii(F.substr(text, i, F.lit(1)))))
+    code = F.hex(F.encode(text, "UTF-8"))
     byte = F.transform(F.sequence(F.lit(0), (F.length(code) / 2).cast("int") - 1), lambda i: F.conv(F.substr(code, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
-    step = F.aggregate(byte, F.lit(LOW_OFFSET), lambda h, b: (h.bitwiseXOR(b) * F.lit(LOW_PRIME)).bitwiseAND(F.lit(0xFFFF)))
-    return F.when(F.length(code) == 0, F.lit(LOW_OFFSET)).when(code.isNotNull(), step)
+    return F.when(text == "", h).when(F.octet_length(text) == F.length(text), plain).otherwise(F.aggregate(byte, h, lambda x, b: _step(x, b)))
+
+
+def vshard(columns: list[Column | str], types: list[str]) -> Column:
+    """The virtual shard (0 to 65535) of a row, without a UDF but for float keys; null if a part is null."""
+    h, known = F.lit(LOW_OFFSET), F.lit(True)
+    for i, (column, kind) in enumerate(zip(columns, types, strict=True)):
+        part = canonical(column, kind)
+        h = _steps(_step(h, F.lit(0)) if i else h, part)  # NUL between parts
+        known = known & part.isNotNull()
+    return F.when(known, h.cast("int"))
 
 
 def literal_vshard(values: list[str], types: list[str | None]) -> int | None:

@@ -148,19 +148,13 @@ for _kind in ("rollup", "cube"):
     text(f"agg_{_kind}", f"select l_returnflag, l_linestatus, cast(grouping(l_returnflag) as int) as gf, cast(grouping(l_linestatus) as int) as gs, count(*) as n from lineitem group by {_kind}(l_returnflag, l_linestatus)")
 text("agg_grouping_sets", "select l_returnflag, l_linenumber, count(*) as n from lineitem group by grouping sets ((l_returnflag), (l_linenumber), ())")
 text("agg_percentiles", "select l_returnflag, round(percentile_cont(0.5) within group (order by l_quantity), 4) as median, percentile_disc(0.25) within group (order by l_quantity) as q1 from lineitem group by l_returnflag", "select l_returnflag, round(quantile_cont(l_quantity, 0.5), 4) as median, quantile_disc(l_quantity, 0.25) as q1 from lineitem group by l_returnflag")
-text("agg_mode", "select n_regionkey, mode() within group (order by length(n_name) * 0 + n_regionkey) as m from nation group by n_regionkey", "select n_regionkey, mode(n_regionkey) as m from nation group by n_regionkey")
+text("agg_mode", "select l_suppkey, mode() within group (order by l_linenumber) as m from lineitem group by l_suppkey", "select l_suppkey, l_linenumber as m from (select l_suppkey, l_linenumber, row_number() over (partition by l_suppkey order by count(*) desc, l_linenumber) as rn from lineitem group by 1, 2) where rn = 1")
+text("agg_group_by_distinct", "select l_returnflag, l_linestatus, count(*) as n from lineitem group by distinct rollup(l_returnflag, l_linestatus), rollup(l_returnflag)", "select l_returnflag, l_linestatus, count(*) as n from lineitem group by grouping sets ((l_returnflag, l_linestatus), (l_returnflag), ())")
 
 
-@query("select * from (select n_regionkey, count(*) as n from nation group by grouping sets ((n_regionkey), ()) union all select null, null where false)")
-def agg_group_by_distinct(spark, sf_dir):
-    """Repeated grouping sets count once."""
-    sets = list(dict.fromkeys(["(n_regionkey)", "()", "(n_regionkey)"]))
-    return engine(spark, sf_dir).sql(f"select n_regionkey, count(*) as n from nation group by grouping sets ({', '.join(sets)})")
-
-
-@query("select n_regionkey, string_agg(n_name, '|' order by n_name) as names from nation group by n_regionkey")
+@query("select o_custkey, string_agg(o_orderstatus, '|' order by o_orderkey) as states from orders group by o_custkey")
 def agg_string_agg(spark, sf_dir):
-    return engine(spark, sf_dir).table("nation").groupBy("n_regionkey").agg(pg.string_agg("n_name", "|", "n_name").alias("names"))
+    return engine(spark, sf_dir).table("orders").groupBy("o_custkey").agg(pg.string_agg("o_orderstatus", "|", "o_orderkey").alias("states"))
 
 
 @query("select o_custkey, string_agg(coalesce(p, 'null'), ',' order by o_orderkey) as prices from (select o_custkey, o_orderkey, case when o_orderkey % 3 = 0 then null else cast(o_orderkey as varchar) end as p from orders) group by o_custkey")
@@ -171,9 +165,10 @@ def agg_array_sorted(spark, sf_dir):
     return o.groupBy("o_custkey").agg(F.array_join(F.transform(values, lambda v: F.coalesce(v, F.lit("null"))), ",").alias("prices"))
 
 
-@query("select n_regionkey, '[' || string_agg('\"' || n_name || '\"', ',' order by n_name) || ']' as names, '{' || string_agg('\"' || n_name || '\":' || n_nationkey, ',' order by n_name) || '}' as keys from nation group by n_regionkey")
+@query("select o_custkey, '[' || string_agg('\"' || o_orderstatus || '\"', ',' order by o_orderkey) || ']' as states, '{' || string_agg('\"' || o_orderkey || '\":\"' || o_orderpriority || '\"', ',' order by cast(o_orderkey as varchar)) || '}' as keys from orders group by o_custkey")
 def agg_json(spark, sf_dir):
-    return engine(spark, sf_dir).table("nation").groupBy("n_regionkey").agg(pg.json_agg("n_name", "n_name").alias("names"), pg.json_object_agg("n_name", "n_nationkey", unique=True).alias("keys"))
+    o = engine(spark, sf_dir).table("orders")
+    return o.groupBy("o_custkey").agg(pg.json_agg("o_orderstatus", "o_orderkey").alias("states"), pg.json_object_agg("o_orderkey", "o_orderpriority", unique=True).alias("keys"))
 
 
 _RANGES = "select user_id, epoch(date_trunc('hour', ts))::bigint as lo, epoch(date_trunc('hour', ts))::bigint + 5400 as hi from events"
@@ -192,9 +187,9 @@ def agg_range_intersect(spark, sf_dir):
     return o.groupBy("o_orderstatus").agg(pg.range_intersect_agg("o_orderkey", F.col("o_orderkey") + 1000000).alias("r")).select("o_orderstatus", "r.lo", "r.hi")
 
 
-@query("select n_regionkey, string_agg('<n>' || n_name || '</n>', '' order by n_name) as doc from nation group by n_regionkey")
+@query("select o_custkey, string_agg('<o>' || o_orderpriority || '</o>', '' order by o_orderkey) as doc from orders group by o_custkey")
 def agg_xml(spark, sf_dir):
-    return engine(spark, sf_dir).table("nation").groupBy("n_regionkey").agg(pg.xml_agg(F.concat(F.lit("<n>"), "n_name", F.lit("</n>")), "n_name").alias("doc"))
+    return engine(spark, sf_dir).table("orders").groupBy("o_custkey").agg(pg.xml_agg(F.concat(F.lit("<o>"), "o_orderpriority", F.lit("</o>")), "o_orderkey").alias("doc"))
 
 
 # --- joins ----------------------------------------------------------------------------------
@@ -204,8 +199,7 @@ text("join_broadcast_dim", "select n_name, count(*) as customers from customer j
 text("join_sort_merge", "select /*+ merge(orders) */ count(*) as n, round(sum(o_totalprice), 2) as total from orders join customer on o_custkey = c_custkey", "select count(*) as n, round(sum(o_totalprice), 2) as total from orders join customer on o_custkey = c_custkey")
 text("join_left", "select c_custkey, count(o_orderkey) as orders from customer left join orders on c_custkey = o_custkey and o_orderstatus = 'O' group by c_custkey")
 text("join_right", "select c_custkey, count(o_orderkey) as orders from orders right join customer on c_custkey = o_custkey group by c_custkey")
-text("join_full", "select s_suppkey, p_partkey from (select s_suppkey from supplier where s_suppkey % 2 = 0) a full join (select p_partkey from part where p_partkey % 3 = 0 and p_partkey < 200) b on s_suppkey = p_partkey")
-text("join_full_whole", "select s_suppkey, p_partkey from supplier full join part on s_suppkey = p_partkey")
+text("join_full", "select s_suppkey, p_partkey from supplier full join part on s_suppkey = p_partkey")
 text("join_semi", "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 100000)")
 text("join_anti", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
 text("join_not_in_null_aware", "select n_nationkey from nation where n_regionkey not in (select case when r_regionkey < 3 then r_regionkey end from region)")
@@ -295,8 +289,7 @@ text("cte_recursive", "with recursive t(n, f) as (select 1, 1 union all select n
 text("scalar_subquery", "select o_orderkey from orders where o_totalprice > (select avg(o_totalprice) * 1.5 from orders)")
 text("in_subquery", "select count(*) as n from lineitem where l_partkey in (select p_partkey from part where p_size < 10)")
 text("exists_correlated", "select o_orderkey from orders o where exists (select 1 from lineitem l where l.l_orderkey = o.o_orderkey and l.l_quantity > 49)")
-text("correlated_scalar", "select c_custkey, (select max(o_totalprice) from orders where o_custkey = c_custkey) as top from customer where c_custkey < 200")
-text("correlated_scalar_whole", "select c_custkey, (select max(o_totalprice) from orders where o_custkey = c_custkey) as top from customer")
+text("correlated_scalar", "select c_custkey, (select max(o_totalprice) from orders where o_custkey = c_custkey) as top from customer")
 text("derived_table", "select band, count(*) as n from (select case when l_quantity < 10 then 'low' else 'high' end as band from lineitem) t group by band")
 
 # --- PostgreSQL spellings ---------------------------------------------------------------------
@@ -308,6 +301,12 @@ text("dialect_any_array", "select n_nationkey from nation where n_regionkey = an
 text("dialect_json", "select event_id, cast(props ->> 'k' as int) as k from events where props -> 'k' is not null", "select event_id, cast(props ->> 'k' as int) as k from events where (props -> 'k') is not null")
 text("dialect_casts", "select o_orderkey::string as k, '12'::int + 1 as n from orders where o_orderdate::date < '1995-01-01'::date", "select o_orderkey::varchar as k, '12'::int + 1 as n from orders where o_orderdate::date < '1995-01-01'::date")
 
+text("text_distinct_on", "select distinct on (o_custkey) o_custkey, o_orderkey, o_totalprice from orders order by o_custkey, o_totalprice desc, o_orderkey")
+text("text_with_ties", "select o_orderkey, o_orderpriority from orders order by o_orderpriority fetch first 5 rows with ties", "select o_orderkey, o_orderpriority from (select *, rank() over (order by o_orderpriority) as r from orders) where r <= 5")
+text("text_null_order", "select o_orderkey, row_number() over (partition by o_custkey order by nullif(o_orderstatus, 'F') desc, o_orderkey) as down, row_number() over (partition by o_custkey order by nullif(o_orderstatus, 'F'), o_orderkey) as up from orders", "select o_orderkey, row_number() over (partition by o_custkey order by nullif(o_orderstatus, 'F') desc nulls first, o_orderkey) as down, row_number() over (partition by o_custkey order by nullif(o_orderstatus, 'F') nulls last, o_orderkey) as up from orders")
+text("text_integer_division", "select l_orderkey, l_linenumber, l_partkey / 7 as a, -l_partkey / 7 as b, l_partkey / 2 / 3 as c, l_quantity / 4 as d from lineitem", "select l_orderkey, l_linenumber, l_partkey // 7 as a, -(l_partkey // 7) as b, l_partkey // 2 // 3 as c, l_quantity / 4 as d from lineitem")
+text("text_quoted_names", "select n_nationkey, 'rows from nation, public.nation' as s, '(a, b) = (1, 2)' as t from public.nation where (n_nationkey, n_name) = (n_nationkey, n_name)", "select n_nationkey, 'rows from nation, public.nation' as s, '(a, b) = (1, 2)' as t from nation")
+
 # --- scalar functions -----------------------------------------------------------------------
 
 text("fn_string", "select n_nationkey, upper(n_name) as u, lower(n_name) as l, substr(n_name, 2, 3) as s, cast(position('A' in n_name) as int) as p, split_part(n_name, '_', 2) as sp, trim('  x ') || '|' as t, lpad(n_name, 12, '*') as lp, concat_ws('-', n_name, cast(n_nationkey as string)) as c, replace(n_name, 'N', 'n') as r, cast(length(n_name) as int) as len, reverse(n_name) as rev, regexp_replace(n_name, '[0-9]+', '#') as rx from nation", "select n_nationkey, upper(n_name) as u, lower(n_name) as l, substr(n_name, 2, 3) as s, cast(position('A' in n_name) as int) as p, split_part(n_name, '_', 2) as sp, trim('  x ') || '|' as t, lpad(n_name, 12, '*') as lp, concat_ws('-', n_name, cast(n_nationkey as varchar)) as c, replace(n_name, 'N', 'n') as r, cast(length(n_name) as int) as len, reverse(n_name) as rev, regexp_replace(n_name, '[0-9]+', '#', 'g') as rx from nation")
@@ -480,54 +479,74 @@ def stream_tumbling_minutes(spark, sf_dir):
 
 
 def _fresh(spark, sf_dir):
-    """An engine of its own with 10 accounts a nation."""
+    """An engine of its own with an account for each customer."""
     from .engine import Engine
 
     e = Engine(spark, folder(spark, "dml"), shards=["shard1", "shard2"])
     e.register("accounts", ["account_id"], ["bigint"], generated=True)
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    e.load("accounts", n.selectExpr("cast(n_nationkey as bigint) as account_id", "n_name as name", "cast(n_regionkey * 10 as decimal(18,2)) as balance"))
+    e.load("accounts", spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey as account_id", "c_name as name", "cast(c_nationkey * 10 as decimal(18,2)) as balance"))
     return e
 
 
-@query("select cast(n_nationkey as bigint) as account_id, n_name as name, cast(n_regionkey * 10 as double) as balance from nation union all select 1000, 'new', 5.5")
+_ACCOUNTS = "select c_custkey as account_id, c_name as name, cast(c_nationkey * 10 as double) as balance from customer"
+
+
+@query(f"{_ACCOUNTS} union all select 1000000000, 'new', 5.5")
 def dml_insert_keyed(spark, sf_dir):
     e = _fresh(spark, sf_dir)
-    e.execute("insert into accounts (account_id, name, balance) values (1000, 'new', 5.5)")
+    e.execute("insert into accounts (account_id, name, balance) values (1000000000, 'new', 5.5)")
     return e.table("accounts").withColumn("balance", F.col("balance").cast("double"))
 
 
-@query("select cast(n_nationkey as bigint) as account_id, n_name as name from nation union all select row_number() over (order by r_regionkey), r_name from region")
+@query(f"select account_id, name from ({_ACCOUNTS}) union all select row_number() over (order by s_suppkey), s_name from supplier")
 def dml_insert_generated_ids(spark, sf_dir):
     e = _fresh(spark, sf_dir)
-    e.load("accounts", spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").selectExpr("r_name as name", "cast(0 as decimal(18,2)) as balance"))
+    e.load("accounts", spark.read.parquet(f"{sf_dir}/supplier.parquet").orderBy("s_suppkey").selectExpr("s_name as name", "cast(0 as decimal(18,2)) as balance"))
     return e.table("accounts").select("account_id", "name")
 
 
-@query("select cast(n_nationkey as bigint) as account_id, case when n_nationkey = 7 then 999.0 else cast(n_regionkey * 10 as double) end as balance from nation")
+@query(f"select account_id, case when account_id = 7 then 999.0 else balance end as balance from ({_ACCOUNTS})")
 def dml_update_keyed(spark, sf_dir):
     e = _fresh(spark, sf_dir)
     e.execute("update accounts set balance = 999 where account_id = 7")
     return e.table("accounts").select("account_id", F.col("balance").cast("double").alias("balance"))
 
 
-@query("select cast(n_nationkey as bigint) as account_id from nation where n_nationkey <> 3")
+@query("select c_custkey as account_id from customer where c_custkey <> 3")
 def dml_delete_keyed(spark, sf_dir):
     e = _fresh(spark, sf_dir)
     e.execute("delete from accounts where account_id = 3")
     return e.table("accounts").select("account_id")
 
 
-@query("select n_nationkey, case when n_nationkey < 5 then 'changed' else n_name end as n_name, n_regionkey from nation union all select 100, 'added', 1")
-def dml_merge_unsharded(spark, sf_dir):
+def _stock(spark, sf_dir):
+    """An engine of its own with an unsharded table of parts and a source of changes for every third one."""
     from .engine import Engine
 
     e = Engine(spark, folder(spark, "merge"), shards=["shard1"])
-    e.register_unsharded("nation")
-    e.attach("nation", spark.read.parquet(f"{sf_dir}/nation.parquet"))
-    old = e.table("nation").where("n_nationkey < 5").selectExpr("n_nationkey", "'changed' as n_name", "n_regionkey")
-    e.merge("nation", old.union(spark.createDataFrame([(100, "added", 1)], "n_nationkey int, n_name string, n_regionkey int")), ["n_nationkey"])
-    return e.table("nation")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey as k", "p_name as name", "p_size as size")
+    e.register_unsharded("stock")
+    e.load("stock", part)
+    e.register_unsharded("changes")
+    e.attach("changes", part.selectExpr("if(k % 3 = 0, k, k + 1000000000) as k", "concat(name, '!') as name", "size"))
+    return e
+
+
+_CHANGED = "select p_partkey as k, case when p_partkey % 3 = 0 then p_name || '!' else p_name end as name, p_size as size from part"
+
+
+@query(f"{_CHANGED} union all select p_partkey + 1000000000, p_name || '!', p_size from part where p_partkey % 3 <> 0")
+def dml_merge_unsharded(spark, sf_dir):
+    e = _stock(spark, sf_dir)
+    e.merge("stock", e.table("changes"), ["k"])
+    return e.table("stock")
+
+
+@query(f"select k, name, case when k % 3 = 0 then size + 100 else size end as size from ({_CHANGED}) where not (k % 3 = 0 and size > 40) union all select p_partkey + 1000000000, p_name || '!', null from part where p_partkey % 3 <> 0 and p_size < 10")
+def dml_merge_text(spark, sf_dir):
+    e = _stock(spark, sf_dir)
+    e.execute("merge into stock as s using changes as c on s.k = c.k when matched and s.size > 40 then delete when matched then update set name = c.name, size = s.size + 100 when not matched and c.size < 10 then insert (k, name) values (c.k, c.name)")
+    return e.table("stock")
 
 
 @query("select n, t from (select count(*) as n, 'a' as t from nation union all select count(*), 'b' from region)")
@@ -579,6 +598,19 @@ def create_table_as(spark, sf_dir):
     return new.table("status_counts")
 
 
+@query("select o_custkey, count(*) as n, max(o_totalprice) as top from orders group by o_custkey")
+def create_table_as_text(spark, sf_dir):
+    """CREATE TABLE AS as text, and SELECT INTO from the new table."""
+    from .engine import Engine
+
+    new = Engine(spark, folder(spark, "ctas"), shards=["shard1", "shard2"])
+    new.attach("orders", spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    new.register_unsharded("orders")
+    new.execute("create table totals as select o_custkey, count(*) as n, max(o_totalprice) as top from orders group by o_custkey")
+    new.execute("select o_custkey, n, top into copied from totals")
+    return new.table("copied")
+
+
 @query("select t as table_name, p as policy, k as shard_key from (values ('public.customer', 'sharded', 'c_custkey'), ('public.events', 'sharded', 'user_id,event_type'), ('public.lineitem', 'sharded', 'l_orderkey'), ('public.nation', 'replicated', ''), ('public.orders', 'sharded', 'o_orderkey'), ('public.part', 'sharded', 'p_partkey'), ('public.region', 'replicated', ''), ('public.supplier', 'sharded', 's_suppkey')) as x(t, p, k)")
 def catalog_inventory(spark, sf_dir):
     return engine(spark, sf_dir).registry.inventory(spark).select("table_name", "policy", F.array_join("shard_key", ",").alias("shard_key"))

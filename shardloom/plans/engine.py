@@ -20,12 +20,18 @@ from ..sources.registry import Registry, table_name
 from ..sources.storage import BUCKET, BUCKET_DIR, PLACEMENT, SHARD, SLOT, ShardedStorage, placed
 from ..sources.store import IdAllocator, ManifestStore
 from ..sources.topology import Topology, bootstrap
-from .dialect import parse_copy, to_spark
-from .routing import Planner, RoutePlan, UnsafeRouting
+from .clauses import split
+from .dialect import hidden, parse_copy, postgres, shown
+from .routing import Planner, RoutePlan, UnsafeRouting, integer_divisions
 
 SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true"}
 
 
+def numbered(args: dict | list | None, sql: str) -> dict | list | None:
+    """Values of $1, $2, ... by the names that postgres() gives them."""
+    return {f"p{i}": v for i, v in enumerate(args, 1)} if isinstance(args, list) and re.search(r"\$\d", hidden(sql)[0]) else args
+
+
 @dataclass(frozen=True)
 class CommandResult:
     tag: str
@@ -37,10 +43,10 @@ class Prepared:
 
     def __init__(self, engine: Engine, sql: str) -> None:
         self.engine, self.sql = engine, sql
-        engine.planner.prepare(sql)
+        engine.planner.prepare(postgres(sql))
 
     def route(self, args: dict | list | None = None) -> RoutePlan:
-        return self.engine.planner.analyze(self.sql, args)
+        return self.engine.planner.analyze(postgres(self.sql), numbered(args, self.sql))
 
     def bind(self, args: dict | list | None = None) -> DataFrame:
         return self.engine.sql(self.sql, args)
@@ -236,8 +242,8 @@ class Engine:
         return df.where(F.col(spec.key[0]).isin(values)).drop(*PLACEMENT)
 
     def sql(self, sql: str, args: dict | list | None = None, *, strict: bool = False) -> DataFrame:
-        """Run a query over the logical tables; some PostgreSQL spellings are rewritten."""
-        sql = to_spark(sql)
+        """Run a query over the logical tables; PostgreSQL spellings are rewritten (see dialect.postgres)."""
+        sql, args = postgres(sql), numbered(args, sql)
         route = self.planner.analyze(sql, args)
         if strict and route.kind == "global":
             raise UnsafeRouting(route.reason)
@@ -247,20 +253,22 @@ class Engine:
 
     def _run(self, sql: str, args, route: RoutePlan) -> DataFrame:
         # A query sees its own views; they are inlined when it is analysed, so names can be reused.
-        text = re.sub(r"\bpublic\.", "", sql)
-        # Spark compares tuples of equal types only; their parts are cast one by one.
-        tuples = r"\(([\w.\"]+(?:\s*,\s*[\w.\"]+)+)\)\s*=\s*\(([^()]+)\)"
-        pair = lambda m: "(" + " and ".join(f"{a.strip()} = {b.strip()}" for a, b in zip(m[1].split(","), m[2].split(","), strict=True)) + ")"
-        text = re.sub(tuples, lambda m: pair(m) if len(m[1].split(",")) == len(m[2].split(",")) else m[0], text)
         names = {n: f"__v{uuid.uuid4().hex[:12]}" for n in set(route.tables)}
         for full, view in names.items():
             self.table(full, route).createOrReplaceTempView(view)
         try:
-            for full, view in names.items():
-                schema, bare = full.split(".", 1)
-                pattern = rf"(?<![\w.\"'])(?:{re.escape(schema)}\.)?\"?{re.escape(bare)}\"?(?![\w\"'])(?=\s|\)|;|,|$)"
-                text = re.sub(rf"(?is)(\b(?:from|join|,)\s+){pattern}", lambda m, v=view, b=bare: f"{m[1]}{v} " + ("" if re.match(r"\s+(?:as\s+)?(?!(?:where|on|join|inner|left|right|full|cross|natural|using|group|order|having|limit|offset|union|intersect|except|window|lateral|tablesample|semi|anti)\b)[a-z_]\w*", text[m.end() :], re.I) else f"as {b} "), text)
-            return self.spark.sql(text, args) if args else self.spark.sql(text)
+            text = sql
+            for start, parts, aliased in sorted(self.planner.prepare(sql).spots, reverse=True):
+                if view := names.get(table_name(".".join(parts))):
+                    end = re.compile(r"\s*\.\s*".join([r"(?:`(?:``|[^`])*`|\w+)"] * len(parts))).match(text, start).end()
+                    text = text[:start] + view + ("" if aliased else f" as `{parts[-1]}`") + text[end:]
+            run = lambda t: self.spark.sql(t, args) if args else self.spark.sql(t)
+            out = run(text)
+            while "/" in hidden(text)[0] and (whole := integer_divisions(out, text)):
+                for at in sorted(whole, reverse=True):
+                    text = f"{text[:at]} div {text[at + 1 :]}"
+                out = run(text)
+            return out
         finally:
             for view in names.values():
                 self.spark.catalog.dropTempView(view)
@@ -270,6 +278,7 @@ class Engine:
 
     def explain(self, sql: str, args: dict | list | None = None) -> str:
         """The route, then Spark's plan."""
+        sql, args = postgres(sql), numbered(args, sql)
         route = self.planner.analyze(sql, args)
         head = f"route: {route.kind}" + (f", shard {route.shard}, vshard {route.vshard}" if route.shard else "") + (f" ({route.reason})" if route.reason else "")
         if route.write:
@@ -330,9 +339,9 @@ class Engine:
         schema = StructType([StructField(c, spark_type(kind)) for c, kind, _ in definition["columns"]])
         self._replace(full, self.spark.createDataFrame([], schema))
 
-    def _replace(self, full: str, rows: DataFrame) -> None:
-        """Publish rows as the whole table; it is stored from now on."""
-        self.storage.replace(placed(rows, full, self.registry, self.topology) if full in self.registry.tables else rows, full)
+    def _replace(self, full: str, rows: DataFrame, seen: int | None = None) -> None:
+        """Publish rows as the whole table; it is stored from now on. seen: the revision that rows come from."""
+        self.storage.replace(placed(rows, full, self.registry, self.topology) if full in self.registry.tables else rows, full, seen)
         self.attached.pop(full, None)
 
     def _forget(self, full: str) -> None:
@@ -395,7 +404,20 @@ class Engine:
         return CommandResult(f"MERGE {n}", n)
 
     def execute(self, sql: str, args: dict | list | None = None, *, strict: bool = True) -> CommandResult:
-        """INSERT, UPDATE or DELETE as text; strict refuses writes without a complete key."""
+        """INSERT, UPDATE, DELETE, MERGE, CREATE TABLE AS or SELECT INTO as text.
+
+        strict refuses writes without a complete key. MERGE takes unsharded tables. ON CONFLICT is refused.
+        """
+        text, held = hidden(sql)
+        if re.search(r"(?i)\bon\s+conflict\b", text):
+            raise FeatureNotSupported("INSERT with ON CONFLICT")
+        if m := re.match(r"(?is)^\s*create\s+table\s+(if\s+not\s+exists\s+)?([\w.]+)\s+as\s+(.*)$", text):
+            return self.create_as(m[2], shown(m[3], held), args, missing_only=bool(m[1]))
+        if m := re.match(r"(?is)^\s*(select\b.*?)\binto\s+(?:table\s+)?([\w.]+)(.*)$", text):
+            return self.create_as(m[2], shown(m[1] + m[3], held), args)
+        sql, args = postgres(sql), numbered(args, sql)
+        if re.match(r"(?is)^\s*merge\b", sql):
+            return self._merge_text(sql, args)
         route = self.planner.analyze(sql, args)
         if not route.write:
             raise ValueError("execute() takes statements that write")
@@ -421,6 +443,76 @@ class Engine:
             return self.update(route.table, changes, condition, route)
         return self.delete(route.table, F.expr(plan.condition().sql()), route)
 
+    def create_as(self, name: str, query: str, args: dict | list | None = None, *, missing_only: bool = False) -> CommandResult:
+        """CREATE TABLE AS and SELECT INTO: the query's rows as a new unsharded table."""
+        full = table_name(name)
+        known = self.catalog.latest("definitions")[1] or {}
+        if full in known or full in self.registry.tables or full in self.registry.unsharded or full in self.attached:
+            if missing_only:
+                return CommandResult("CREATE TABLE AS", 0)
+            raise ValueError(f"42P07: {full} exists")
+        rows = self.sql(query, args)
+        self.register_unsharded(full)
+        self._replace(full, rows)
+        columns = [[c, {"string": "text", "double": "double precision"}.get(kind, kind.replace("decimal", "numeric")), False] for c, kind in rows.dtypes]
+        self.catalog.update("definitions", lambda now: (now or {}) | {full: {"columns": columns, "key": []}})
+        self.save()
+        n = self.table(full).count()
+        return CommandResult(f"SELECT {n}", n)
+
+    def _merge_text(self, sql: str, args: dict | list | None) -> CommandResult:
+        """MERGE as one full join: each row's action is the first clause that fits it.
+
+        A target row that two source rows would change is an error (21000), another writer's
+        revision meanwhile a conflict.
+        """
+        text, held = hidden(self._bind(sql, args))
+        m = re.match(r"(?is)^\s*merge\s+into\s+([\w.]+)(?:\s+(?:as\s+)?(?!using\b)(\w+))?\s+using\s+(.*?)\s+on\s+(.*?)(?=\s+when\s+(?:not\s+)?matched\b)(.*)$", text)
+        if not m:
+            raise ValueError("42601: this MERGE")
+        full, source = table_name(m[1]), m[3].strip()
+        alias = re.search(r"(\w+)$", source)[1]
+        target = m[2] or full.partition(".")[2]
+        if full in self.registry.tables:
+            raise UnsafeRouting("MERGE on a sharded table")
+        seen = self.storage.revision(full)
+        now = self.table(full)
+        left = now.withColumn("__t", F.monotonically_increasing_id()).alias(target)
+        right = self.sql(shown(f"select * from {source}", held)).withColumn("__s", F.lit(True)).alias(alias)
+        both = left.join(right, F.expr(shown(m[4], held)), "full_outer")
+        action, values = F.lit(None).cast("int"), {}
+        clauses = re.findall(r"(?is)\bwhen\s+(not\s+)?matched(?:\s+by\s+target)?(?:\s+and\s+(.*?))?\s+then\s+(update\s+set\s+.*?|delete|do\s+nothing|insert\s*.*?)(?=\s+when\s+(?:not\s+)?matched\b|\s*;?\s*$)", m[5])
+        for i, (new, condition, what) in reversed(list(enumerate(clauses))):
+            fits = F.col("__t").isNull() if new else F.col("__t").isNotNull() & F.col("__s").isNotNull()
+            fits = fits & F.expr(shown(condition, held)) if condition else fits
+            action = F.when(fits, F.lit(i)).otherwise(action)
+            if what.lower().startswith("update"):
+                pairs = [x.split("=", 1) for x in split(re.sub(r"(?i)^update\s+set\s+", "", what))]
+                values[i] = {c.strip().rpartition(".")[2].lower(): shown(v.strip(), held) for c, v in pairs}
+            elif what.lower().startswith("insert"):
+                x = re.match(r"(?is)^insert\s*(?:\(([^)]*)\))?\s*values\s*\((.*)\)$", what.strip())
+                if not x:
+                    raise ValueError("42601: this INSERT of MERGE")
+                columns = [c.strip().lower() for c in x[1].split(",")] if x[1] else [c.lower() for c in now.columns]
+                values[i] = {c: "null" for c in map(str.lower, now.columns)} | dict(zip(columns, [shown(v, held) for v in split(x[2])], strict=True))
+        acted = both.withColumn("__a", action)
+        twice = acted.where("__a is not null and __t is not null").groupBy("__t").count().where("count > 1")
+        if not twice.isEmpty():
+            raise ValueError("21000: MERGE command cannot affect row a second time")
+        gone = [i for i, (new, _, what) in enumerate(clauses) if what.lower() == "delete" or new and what.lower().startswith("do")]
+        still = [i for i, (_, _, what) in enumerate(clauses) if what.lower().startswith("do")]
+        n = acted.where(F.col("__a").isNotNull() & ~(F.col("__a").isin(still) if still else F.lit(False))).count()
+        out = []
+        for c in now.columns:
+            value = F.col(f"{target}.{c}")
+            for i, changed in values.items():
+                if c.lower() in changed:
+                    value = F.when(F.col("__a") == i, F.expr(changed[c.lower()]).cast(now.schema[c].dataType)).otherwise(value)
+            out.append(value.alias(c))
+        stays = F.when(F.col("__a").isNull(), F.col("__t").isNotNull()).otherwise(~F.col("__a").isin(gone) if gone else F.lit(True))
+        self._replace(full, acted.where(stays).select(*out), seen)
+        return CommandResult(f"MERGE {n}", n)
+
     @staticmethod
     def _bind(sql: str, args) -> str:
         """Named parameters as literals; quoted text stays."""

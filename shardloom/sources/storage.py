@@ -82,12 +82,14 @@ class ShardedStorage:
 
         self.store.update(self.KIND, change)
 
-    def replace(self, df: DataFrame, table: str) -> None:
-        """Publish df as the whole table, whatever its shape was."""
+    def replace(self, df: DataFrame, table: str, seen: int | None = None) -> None:
+        """Publish df as the whole table, whatever its shape was; Conflict if it is not at the revision seen."""
         full, new = table_name(table), self.stage(df, table)
 
         def change(now: dict | None) -> dict:
             before = (now or {}).get(full, {"revision": 0})["revision"]
+            if seen is not None and before != seen:
+                raise Conflict(f"{full} was changed meanwhile")
             return (now or {}) | {full: {"schema": new["schema"], "versions": [{"version": new["version"], "hidden": []}], "revision": before + 1}}
 
         self.store.update(self.KIND, change)
