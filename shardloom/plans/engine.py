@@ -18,7 +18,7 @@ from ..operators.ddl import FeatureNotSupported, check_ddl, normalize_ddl, parse
 from ..sources.copy_format import copy_in, copy_out, plan_copy
 from ..sources.registry import Registry, table_name
 from ..sources.storage import BUCKET, BUCKET_DIR, PLACEMENT, SHARD, SLOT, ShardedStorage, placed
-from ..sources.store import IdAllocator, ManifestStore
+from ..sources.store import Conflict, IdAllocator, ManifestStore
 from ..sources.topology import Topology, bootstrap
 from .clauses import split
 from .dialect import hidden, parse_copy, postgres, shown
@@ -53,10 +53,14 @@ class Prepared:
 
 
 class Batch:
-    """Staged inserts; leaving the block publishes all of them by one compare-and-swap."""
+    """Staged changes; leaving the block publishes all of them by one compare-and-swap.
+
+    A batch does not see its own changes. An update or delete of a table that another writer
+    changed since, or that the batch changes twice, is a Conflict and nothing is published.
+    """
 
     def __init__(self, engine: Engine) -> None:
-        self.engine, self.staged, self.plain = engine, [], []
+        self.engine, self.changes, self.plain = engine, [], []
 
     def __enter__(self) -> Batch:
         return self
@@ -74,15 +78,51 @@ class Batch:
         if known:  # the stored order of columns
             names = [f["name"] for f in json.loads(known["schema"])["fields"] if f["name"] not in PLACEMENT]
             df = df.select(*names) if set(names) == set(df.columns) else df
-        self.staged.append((full, e.storage.stage(placed(df, full, e.registry, e.topology) if spec else df, full)))
+        self.changes.append(e.storage.appended(full, e.storage.stage(placed(df, full, e.registry, e.topology) if spec else df, full)))
         e.ids.close()
 
+    def update(self, name: str, changes: dict[str, Column], where: Column, route: RoutePlan | None = None) -> int:
+        """The number of rows that change."""
+        e, full = self.engine, table_name(name)
+        spec = e.registry.sharded(full)
+        if spec and set(changes) & set(spec.key):
+            raise UnsafeRouting("an update does not change the shard key")
+        hit = F.coalesce(where, F.lit(False))
+        return self._rewrite(full, lambda df: df.withColumns({c: F.when(hit, v.cast(df.schema[c].dataType)).otherwise(F.col(c)) for c, v in changes.items()}), hit, route)
+
+    def delete(self, name: str, where: Column, route: RoutePlan | None = None) -> int:
+        hit = F.coalesce(where, F.lit(False))
+        return self._rewrite(table_name(name), lambda df: df.where(~hit), hit, route)
+
+    def mark(self, key: str, number: int) -> None:
+        """A number that is published with the rest, once."""
+        self.changes.append(self.engine.storage.marked(key, number))
+
+    def _rewrite(self, full: str, change, hit: Column, route: RoutePlan | None) -> int:
+        """Copy on write: of the directories that hold hit rows, or of an unsharded table."""
+        e = self.engine
+        n = e.table(full, route).where(hit).count()
+        if not n:
+            return 0
+        if full not in e.registry.tables:
+            seen = e.storage.revision(full)
+            new = e.storage.stage(change(e.table(full)), full)
+            self.changes.append(e.storage.replaced(full, new, seen))
+            return n
+        seen = e.storage.revision(full)
+        if route is not None and route.vshard is not None:
+            touched = [(route.shard, route.vshard // BUCKET)]
+        else:  # a directory is one of at most 16 of each shard
+            touched = [tuple(r) for r in e.storage.read(full).where(hit).select(SHARD, BUCKET_DIR).distinct().collect()]
+        self.changes.append(e.storage.staged_rewrite(change, full, touched, seen))
+        return n
+
     def __exit__(self, kind, value, trace) -> None:
         if kind is not None:
             return
         e = self.engine
-        if self.staged:
-            e.storage.publish(self.staged)
+        if self.changes:
+            e.storage.publish(self.changes)
         for full, df in self.plain:  # tables that are backed from outside: this engine alone sees the rows
             now = e.attached[full]
             path = f"{e.folder}/{full}-{uuid.uuid4().hex}"
@@ -145,12 +185,28 @@ class Engine:
         self.attached[table_name(name)] = df
 
     def load(self, name: str, df: DataFrame) -> None:
-        """Append rows; each is placed by its key, all of them become visible at once."""
+        """Append rows; each is placed by its key, all of them become visible at once.
+
+        A table of many versions is compacted, unless another writer is at it.
+        """
         with self.batch() as b:
             b.insert(name, df)
+        full = table_name(name)
+        if full not in self.attached and len(self.storage._content(full)["versions"]) >= self.storage.MANY:
+            try:
+                self.storage.compact(full)
+            except Conflict:
+                pass
+
+    def compact(self, name: str, *, vacuum: bool = False) -> int:
+        """Write a table's versions as one; vacuum also removes files that no revision lists. Returns the versions before."""
+        n = self.storage.compact(name)
+        if vacuum:
+            self.storage.vacuum(name)
+        return n
 
     def batch(self) -> Batch:
-        """Inserts into any tables that become visible together, or not at all."""
+        """Inserts, updates and deletes in any tables that become visible together, or not at all."""
         return Batch(self)
 
     def session(self) -> Engine:
@@ -361,35 +417,23 @@ class Engine:
         self.load(name, rows)
         return CommandResult(f"INSERT 0 {n}", n)
 
-    def _rewrite(self, name: str, change, hit: Column, route: RoutePlan | None) -> None:
-        """Copy on write of the directories that hold hit rows, unless another writer was first."""
-        full = table_name(name)
-        seen = self.storage.revision(full)
-        now = self.storage.read(full)
-        if route is not None and route.vshard is not None:
-            touched = [(route.shard, route.vshard // BUCKET)]
-        else:  # a directory is one of at most 16 of each shard
-            touched = [tuple(r) for r in now.where(hit).select(SHARD, BUCKET_DIR).distinct().collect()]
-        self.storage.rewrite(lambda df: change(df), full, touched, seen)
-
     def update(self, name: str, changes: dict[str, Column], where: Column, route: RoutePlan | None = None) -> CommandResult:
-        full = table_name(name)
-        spec = self.registry.sharded(full)
-        if spec and set(changes) & set(spec.key):
-            raise UnsafeRouting("an update does not change the shard key")
-        hit = F.coalesce(where, F.lit(False))
-        n = self.table(full, route).where(hit).count()
-        if n:
-            self._rewrite(full, lambda df: df.withColumns({c: F.when(hit, v.cast(df.schema[c].dataType)).otherwise(F.col(c)) for c, v in changes.items()}), hit, route)
+        with self.batch() as b:
+            n = b.update(self._stored(name), changes, where, route)
         return CommandResult(f"UPDATE {n}", n)
 
     def delete(self, name: str, where: Column, route: RoutePlan | None = None) -> CommandResult:
-        hit = F.coalesce(where, F.lit(False))
-        n = self.table(name, route).where(hit).count()
-        if n:
-            self._rewrite(name, lambda df: df.where(~hit), hit, route)
+        with self.batch() as b:
+            n = b.delete(self._stored(name), where, route)
         return CommandResult(f"DELETE {n}", n)
 
+    def _stored(self, name: str) -> str:
+        """An attached unsharded table is stored before it is changed."""
+        full = table_name(name)
+        if full in self.attached and full not in self.registry.tables:
+            self._replace(full, self.attached[full])
+        return full
+
     def merge(self, name: str, source: DataFrame, on: list[str]) -> CommandResult:
         """Upsert by a join: matched rows take the source's values, others are inserted."""
         full = table_name(name)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.hashing import modulo_owner, vshard
 from .registry import Registry, table_name
@@ -17,6 +18,7 @@ from .topology import Topology
 BUCKET = 4_096  # slots of one directory
 SHARD, BUCKET_DIR, SLOT = "_shard", "_vb", "_vshard"
 PLACEMENT = (SHARD, BUCKET_DIR, SLOT)
+VERSION, MARKS = "_v", "#marks"  # a directory level, and a key that is no table's name
 
 
 def placed(df: DataFrame, table: str, registry: Registry, topology: Topology) -> DataFrame:
@@ -38,15 +40,21 @@ def placed(df: DataFrame, table: str, registry: Registry, topology: Topology) ->
     return out.join(F.broadcast(owners), SLOT, "left").select(*df.columns, SLOT, BUCKET_DIR, SHARD)  # 65,536 rows
 
 
+Change = Callable[[dict], dict]  # of the manifest's content
+
+
 class ShardedStorage:
     """Tables below one folder. One manifest lists, for all tables, the live version folders.
 
     Writers fill new version folders and publish them by one compare-and-swap of the manifest, so
     that a write to several shards or tables is seen whole or not at all; a failed one leaves only
-    unlisted files, and there is no state in doubt.
+    unlisted files, and there is no state in doubt. A version is a partition of the table's folder:
+    however many there are, a table is one scan. compact() makes them one, vacuum() removes the
+    folders that no revision lists any more.
     """
 
     KIND = "tables"
+    MANY = 64  # versions from which load() compacts
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -57,86 +65,150 @@ class ShardedStorage:
         return (now or {}).get(table_name(table))
 
     def stage(self, df: DataFrame, table: str) -> dict:
-        """Write rows into new files, by their placement if they have one; nothing is visible yet."""
-        version = uuid.uuid4().hex
-        path = f"{self.folder}/{table_name(table)}/{version}"
+        """Write rows into new files, by their placement if they have one; nothing is visible yet.
+
+        Placed rows are rebalanced by directory: adaptive execution splits a large directory over
+        as many tasks as its bytes need, and lets one task write many small ones.
+        """
+        version = f"v{uuid.uuid4().hex}"
+        path = f"{self.folder}/{table_name(table)}/{VERSION}={version}"
         if SHARD in df.columns:
-            parts = df.repartition(SHARD, BUCKET_DIR).sortWithinPartitions(SHARD, BUCKET_DIR, SLOT)
-            parts.write.partitionBy(SHARD, BUCKET_DIR).parquet(path)
+            df.hint("rebalance", F.col(SHARD), F.col(BUCKET_DIR)).sortWithinPartitions(SHARD, BUCKET_DIR, SLOT).write.partitionBy(SHARD, BUCKET_DIR).parquet(path)
         else:
             df.write.parquet(path)
         return {"version": version, "schema": df.schema.json()}
 
-    def publish(self, staged: list[tuple[str, dict]]) -> None:
-        """Append staged files of any tables in one revision; a shape that differs is an error."""
+    # --- changes of the manifest; several of them are published together
 
-        def change(now: dict | None) -> dict:
-            now = dict(now or {})
-            for table, new in staged:
-                full = table_name(table)
-                old = now.get(full, {"schema": new["schema"], "versions": [], "revision": 0})
-                if _shape(old["schema"]) != _shape(new["schema"]):
-                    raise ValueError(f"42804: rows for {full} have another shape")
-                now[full] = {"schema": old["schema"], "versions": [*old["versions"], {"version": new["version"], "hidden": []}], "revision": old["revision"] + 1}
-            return now
+    @staticmethod
+    def appended(table: str, new: dict) -> Change:
+        """The staged rows join the table; a shape that differs is an error."""
+        full = table_name(table)
 
-        self.store.update(self.KIND, change)
+        def change(now: dict) -> dict:
+            old = now.get(full, {"schema": new["schema"], "versions": [], "revision": 0})
+            if _shape(old["schema"]) != _shape(new["schema"]):
+                raise ValueError(f"42804: rows for {full} have another shape")
+            return now | {full: {"schema": old["schema"], "versions": [*old["versions"], {"version": new["version"], "hidden": []}], "revision": old["revision"] + 1}}
 
-    def replace(self, df: DataFrame, table: str, seen: int | None = None) -> None:
-        """Publish df as the whole table, whatever its shape was; Conflict if it is not at the revision seen."""
-        full, new = table_name(table), self.stage(df, table)
+        return change
 
-        def change(now: dict | None) -> dict:
-            before = (now or {}).get(full, {"revision": 0})["revision"]
+    @staticmethod
+    def replaced(table: str, new: dict, seen: int | None = None) -> Change:
+        """The staged rows are the table, whatever its shape was; Conflict if it is not at the revision seen."""
+        full = table_name(table)
+
+        def change(now: dict) -> dict:
+            before = now.get(full, {"revision": 0})["revision"]
             if seen is not None and before != seen:
                 raise Conflict(f"{full} was changed meanwhile")
-            return (now or {}) | {full: {"schema": new["schema"], "versions": [{"version": new["version"], "hidden": []}], "revision": before + 1}}
+            return now | {full: {"schema": new["schema"], "versions": [{"version": new["version"], "hidden": []}], "revision": before + 1}}
 
-        self.store.update(self.KIND, change)
+        return change
 
-    def rewrite(self, change, table: str, touched: list[tuple[str, int]], seen: int) -> None:
-        """Copy on write of some directories: their changed rows in a new version, the old ones hidden.
+    @staticmethod
+    def rewritten(table: str, new: dict, touched: list[tuple[str, int]], seen: int) -> Change:
+        """The staged rows take the place of the touched directories; Conflict if the table is not at the revision seen."""
+        full, hide = table_name(table), [list(t) for t in touched]
 
-        seen: the table's revision that the change is computed from; Conflict if another came.
-        """
-        if not touched:
-            return
-        full = table_name(table)
-        inside = F.lit(False)
-        for shard, bucket in touched:
-            inside = inside | ((F.col(SHARD) == shard) & (F.col(BUCKET_DIR) == bucket))
-        new = self.stage(change(self.read(full).where(inside)), full)
-        hide = [list(t) for t in touched]
-
-        def swap(now: dict) -> dict:
-            old = now[full]
+        def change(now: dict) -> dict:
+            old = now.get(full, {"revision": 0})
             if old["revision"] != seen:
                 raise Conflict(f"{full} was changed meanwhile")
             versions = [v | {"hidden": v["hidden"] + [h for h in hide if h not in v["hidden"]]} for v in old["versions"]]
             return now | {full: {"schema": old["schema"], "versions": [*versions, {"version": new["version"], "hidden": []}], "revision": seen + 1}}
 
-        self.store.update(self.KIND, swap)
+        return change
+
+    @staticmethod
+    def marked(key: str, number: int) -> Change:
+        """A number that is published with rows, such as a stream's batch; Conflict if it is not above the last one."""
+
+        def change(now: dict) -> dict:
+            if now.get(MARKS, {}).get(key, -1) >= number:
+                raise Conflict(f"{key} {number} was published before")
+            return now | {MARKS: now.get(MARKS, {}) | {key: number}}
+
+        return change
+
+    def publish(self, changes: list[Change]) -> None:
+        """All of the changes in one revision, or none."""
+
+        def change(now: dict | None) -> dict:
+            now = dict(now or {})
+            for c in changes:
+                now = c(now)
+            return now
+
+        self.store.update(self.KIND, change)
+
+    def replace(self, df: DataFrame, table: str, seen: int | None = None) -> None:
+        """Publish df as the whole table."""
+        self.publish([self.replaced(table, self.stage(df, table), seen)])
+
+    def staged_rewrite(self, change, table: str, touched: list[tuple[str, int]], seen: int) -> Change:
+        """Copy on write of some directories: change(df) of their rows is staged.
+
+        seen: the table's revision that the change is computed from.
+        """
+        inside = F.lit(False)
+        for shard, bucket in touched:
+            inside = inside | ((F.col(SHARD) == shard) & (F.col(BUCKET_DIR) == bucket))
+        return self.rewritten(table, self.stage(change(self.read(table).where(inside)), table), touched, seen)
 
     def revision(self, table: str) -> int:
         return (self._content(table) or {"revision": 0})["revision"]
 
+    def mark(self, key: str) -> int:
+        """The number that marked() published last; -1 before the first."""
+        _, now = self.store.latest(self.KIND)
+        return (now or {}).get(MARKS, {}).get(key, -1)
+
     def drop(self, table: str) -> None:
         """The table leaves the manifest; its files are unlisted."""
         self.store.update(self.KIND, lambda now: {k: v for k, v in (now or {}).items() if k != table_name(table)})
 
+    def compact(self, table: str) -> int:
+        """Write the live rows as one version; returns how many there were. Conflict if another writer came."""
+        now = self._content(table)
+        if now is None or len(now["versions"]) < 2:
+            return len(now["versions"]) if now else 0
+        self.replace(self.read(table), table, now["revision"])
+        return len(now["versions"])
+
+    def vacuum(self, table: str) -> int:
+        """Remove the version folders that the newest revision does not list; returns their number.
+
+        Readers of older revisions lose their files, and writers that have staged but not
+        published theirs: to be run when there are none.
+        """
+        full = table_name(table)
+        live = {v["version"] for v in (self._content(full) or {"versions": []})["versions"]}
+        fs, path = self.store._fs, self.store._path
+        base = path(f"{self.folder}/{full}")
+        gone = [s.getPath() for s in (fs.listStatus(base) if fs.exists(base) else []) if s.getPath().getName().removeprefix(f"{VERSION}=") not in live]
+        for p in gone:
+            fs.delete(p, True)
+        return len(gone)
+
     def read(self, table: str) -> DataFrame:
-        """The live rows with their placement columns; filters on them prune directories."""
+        """The live rows with their placement columns, in one scan; filters on these prune directories."""
         now = self._content(table)
         if now is None:
             raise LookupError(f"42P01: no table {table_name(table)}")
         schema = StructType.fromJson(json.loads(now["schema"]))
-        out = None
+        base = f"{self.folder}/{table_name(table)}"
+        if not now["versions"]:
+            return self.spark.createDataFrame([], schema)
+        paths = [f"{base}/{VERSION}={v['version']}" for v in now["versions"]]
+        df = self.spark.read.schema(StructType([*schema.fields, StructField(VERSION, StringType())])).option("basePath", base).parquet(*paths)
+        hidden: dict[tuple[str, int], list[str]] = {}
         for v in now["versions"]:
-            part = self.spark.read.schema(schema).parquet(f"{self.folder}/{table_name(table)}/{v['version']}")
             for shard, bucket in v["hidden"]:
-                part = part.where(~((F.col(SHARD) == shard) & (F.col(BUCKET_DIR) == bucket)))
-            out = part if out is None else out.union(part)
-        return out if out is not None else self.spark.createDataFrame([], schema)
+                hidden.setdefault((shard, bucket), []).append(v["version"])
+        for (shard, bucket), versions in hidden.items():
+            df = df.where(~((F.col(SHARD) == shard) & (F.col(BUCKET_DIR) == bucket) & F.col(VERSION).isin(versions)))
+        return df.select(*schema.names)
 
 
 def _shape(schema: str) -> list[tuple]:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..plans.engine import Engine
+from ..sources.store import Conflict
 from ..sources.copy_format import CopyError, CopyPlan, csv_records, split_text, text_records
 
 
@@ -35,16 +36,21 @@ def copied_stream(engine: Engine, path: str, plan: CopyPlan, schema: StructType)
 def copy_stream(engine: Engine, table: str, path: str, plan: CopyPlan, checkpoint: str) -> StreamingQuery:
     """Load what is in the folder and stop; run again for later files.
 
-    Each micro-batch is one publication, so readers see its rows together. A batch that is
-    repeated after a crash between its publication and its commit would be loaded twice; its
-    number is therefore published with it, and a known number is passed over.
+    Each micro-batch is one publication, so readers see its rows together, and its number is part
+    of that revision: a batch that is repeated after a crash is passed over, whenever it came.
     """
     schema = engine.table(table).schema
+    stream = f"{table} {checkpoint}"
 
     def load(rows: DataFrame, number: int) -> None:
-        done = engine.catalog.latest(f"stream-{table}")[1] or {"batch": -1}
-        if number > done["batch"]:
-            engine.load(table, rows)
-            engine.catalog.update(f"stream-{table}", lambda _: {"batch": number})
+        if number <= engine.storage.mark(stream):
+            return
+        try:
+            with engine.batch() as b:
+                b.insert(table, rows)
+                b.mark(stream, number)
+        except Conflict:
+            if number > engine.storage.mark(stream):
+                raise
 
     return copied_stream(engine, path, plan, schema).writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -121,3 +121,59 @@ def test_create_as_and_refusals(engine):
         engine.execute("insert into t (id) values (1) on conflict (id) do nothing")
     with pytest.raises(FeatureNotSupported):
         engine.sql("select id from t for update")
+
+
+def test_batches_change_tables_together(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from shardloom.sources.store import Conflict
+
+    e = Engine(spark, f"file://{tmp_path}/b", shards=["s1", "s2"])
+    e.register("a", ["k"], ["bigint"])
+    e.register_unsharded("u")
+    e.load("a", spark.range(20).selectExpr("id as k", "0 as v"))
+    e.load("u", spark.range(3).selectExpr("id as k"))
+    before = e.storage.revision("a")
+    with e.batch() as b:
+        assert b.update("a", {"v": F.lit(1)}, F.col("k") < 5) == 5
+        b.insert("u", spark.range(3, 4).selectExpr("id as k"))
+    assert e.storage.revision("a") == before + 1 and e.sql("select sum(v) as s from a").first()["s"] == 5 and e.table("u").count() == 4
+    with pytest.raises(Conflict), e.batch() as b:
+        assert b.delete("u", F.col("k") > 0) == 3
+        b.update("a", {"v": F.lit(9)}, F.col("k") == 3)
+        e.load("a", spark.range(100, 101).selectExpr("id as k", "0 as v"))  # another writer is first
+    assert e.table("u").count() == 4 and e.sql("select max(v) as m from a").first()["m"] == 1
+    assert e.delete("u", F.col("k") > 0).rows == 3 and e.table("u").count() == 1
+
+
+def test_versions_are_one_scan_and_compact(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/v", shards=["s1", "s2"])
+    e.register("a", ["k"], ["bigint"])
+    e.storage.MANY = 5
+    for i in range(4):
+        e.load("a", spark.range(10 * i, 10 * i + 10).selectExpr("id as k", "0 as v"))
+    e.execute("update a set v = 7 where k = 12")
+    plan = e.table("a")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "Union" not in plan
+    assert len(e.storage._content("a")["versions"]) == 5 and e.table("a").count() == 40
+    e.load("a", spark.range(40, 41).selectExpr("id as k", "0 as v"))  # many: compacted
+    assert len(e.storage._content("a")["versions"]) == 1 and e.sql("select sum(v) as s, count(*) as n from a").first() == (7, 41)
+    assert e.storage.vacuum("a") == 6 and e.table("a").count() == 41
+    e.load("a", spark.range(41, 42).selectExpr("id as k", "0 as v"))
+    assert e.compact("a", vacuum=True) == 2 and e.sql("select v from a where k = 41").first()["v"] == 0
+
+
+def test_a_stream_batch_is_published_once(spark, tmp_path):
+    from shardloom.sources.store import Conflict
+
+    e = Engine(spark, f"file://{tmp_path}/s", shards=["s1"])
+    e.register_unsharded("u")
+    rows = spark.range(2).selectExpr("id as k")
+    for number in (0, 1):
+        with e.batch() as b:
+            b.insert("u", rows)
+            b.mark("stream", number)
+    with pytest.raises(Conflict), e.batch() as b:
+        b.insert("u", rows)
+        b.mark("stream", 1)
+    assert e.storage.mark("stream") == 1 and e.storage.mark("other") == -1 and e.table("u").count() == 4
