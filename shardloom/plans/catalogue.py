@@ -32,8 +32,8 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def text(name: str, sql: str, oracle: str | None = None) -> None:
-    """Register a query that is SQL over the logical tables; oracle: the same for DuckDB, if it differs."""
-    query(oracle or sql, name)(lambda spark, sf_dir: engine(spark, sf_dir).sql(sql))
+    """Register a query that is SQL over the sharded layout; oracle: the same for DuckDB, if it differs."""
+    query(oracle or sql, name)(lambda spark, sf_dir: engine(spark, sf_dir, layout=True).sql(sql))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

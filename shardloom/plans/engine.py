@@ -24,6 +24,7 @@ from .clauses import split
 from .dialect import hidden, parse_copy, postgres, shown
 from .routing import Planner, RoutePlan, UnsafeRouting, integer_divisions
 
+REPLICATED_MOST = 64 << 20  # bytes of a replicated table that joins may broadcast
 SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true"}
 
 
@@ -154,6 +155,7 @@ class Engine:
         self.registry, self.topology = registry, topology
         self.attached: dict[str, DataFrame] = {}
         self.temporary: dict[str, tuple] = {}
+        self.deferred: dict[str, DataFrame] = {}
         self._plan()
 
     def _plan(self) -> None:
@@ -184,6 +186,14 @@ class Engine:
         """Back a table by a DataFrame instead of the layout."""
         self.attached[table_name(name)] = df
 
+    def defer(self, name: str, df: DataFrame) -> None:
+        """load() when the table is first used."""
+        self.deferred[table_name(name)] = df
+
+    def _ready(self, full: str) -> None:
+        if full in self.deferred:
+            self.load(full, self.deferred.pop(full))
+
     def load(self, name: str, df: DataFrame) -> None:
         """Append rows; each is placed by its key, all of them become visible at once.
 
@@ -260,6 +270,7 @@ class Engine:
     def placed_table(self, name: str) -> DataFrame:
         """With _shard, _vb and _vshard, if it is sharded."""
         full = table_name(name)
+        self._ready(full)
         if full in self.attached:
             df = self.attached[full]
             return placed(df, full, self.registry, self.topology) if full in self.registry.tables else df
@@ -267,6 +278,7 @@ class Engine:
 
     def table(self, name: str, route: RoutePlan | None = None) -> DataFrame:
         full = table_name(name)
+        self._ready(full)
         if full in self.attached:
             df = self.attached[full]
         else:
@@ -274,10 +286,14 @@ class Engine:
             if route is not None and route.vshard is not None and route.table == full:
                 df = df.where((F.col(SHARD) == route.shard) & (F.col(BUCKET_DIR) == route.vshard // BUCKET) & (F.col(SLOT) == route.vshard))
             df = df.drop(*PLACEMENT)
-        if self.registry.policy(full) == "replicated":
+        if self.registry.policy(full) == "replicated" and self._small(df):
             df = df.hint("broadcast")
         return df
 
+    def _small(self, df: DataFrame) -> bool:
+        """Whether the optimizer bounds the table's bytes by REPLICATED_MOST; a larger one joins by its own size."""
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= REPLICATED_MOST
+
     def keyed(self, name: str, *values: object) -> DataFrame:
         """The rows of one key, read from one directory."""
         full = table_name(name)

@@ -51,8 +51,8 @@ def folder(spark: SparkSession, label: str) -> str:
 def engine(spark: SparkSession, sf_dir: str, *, layout: bool = False) -> Engine:
     """The tables of sf_dir as a logical database.
 
-    layout=False backs them by the plain files; layout=True writes lineitem and orders once a
-    session in the sharded layout, for keyed reads.
+    layout=False backs them by the plain files; layout=True stores each sharded table in the
+    sharded layout, once a session, when a statement first names it.
     """
     key = (spark.sparkContext.applicationId, sf_dir, layout)
     if key in _engines:
@@ -64,8 +64,8 @@ def engine(spark: SparkSession, sf_dir: str, *, layout: bool = False) -> Engine:
         e.register_unsharded(name, policy)
     for name in (*SHARDED, *UNSHARDED):
         plain = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        if layout and name in ("lineitem", "orders"):
-            e.load(name, plain)
+        if layout and name in SHARDED:
+            e.defer(name, plain)
         else:
             e.attach(name, plain)
     _engines[key] = e
