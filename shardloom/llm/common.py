@@ -63,6 +63,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return uri
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def plain(df: DataFrame) -> list:
+    """df's own columns, whatever is in their names."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back.
 

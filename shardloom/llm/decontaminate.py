@@ -10,7 +10,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_since, scratch_mark, table, written
+from .common import drop_since, plain, scratch_mark, table, unused, written
 
 SHINGLE = 5
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit and width
@@ -128,8 +128,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, **parameters: float) -
     mark = scratch_mark()
     gone = written(matches(docs, benchmark, **parameters).select("rid").distinct(), "leaks")
     drop_since(docs.sparkSession, mark, gone)
-    rid = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.withColumn("__rid", rid).join(_small(gone.withColumnRenamed("rid", "__rid"), gone.count()), "__rid", "left_anti").select(*docs.columns)
+    rid, key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), unused(docs, "__rid")
+    return docs.withColumn(key, rid).join(_small(gone.withColumnRenamed("rid", key), gone.count()), key, "left_anti").select(*plain(docs))
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, components, drop_since, groups_by, mix64, release, scratch_mark, table, written
+from .common import Forest, components, drop_since, groups_by, mix64, plain, release, scratch_mark, small_batches, table, unused, written
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -169,8 +169,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, k:
     Equal word sequences are one node throughout (copies are never compared with each other).
     Rows without words link with nothing and form their own component. A null doc_id links with
     nothing: component_id null, kept true. Rows that repeat a doc_id are judged each by its text.
+    Texts of any length are read whole; an empty table gives no rows.
     """
     spark, mark = docs.sparkSession, scratch_mark()
+    small_batches(spark)
     t = match_threshold(percent / 100, k)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prep = written(signatures(docs, shingle, k, seed), "minhash")
@@ -226,14 +228,15 @@ def one_of_each(docs: DataFrame, **parameters: int) -> DataFrame:
     its doc_id with a removed copy stays. Only texts of repeated rows are shuffled.
     """
     mark = scratch_mark()
-    keyed = docs.withColumn("__rid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    nodes = near_duplicates(keyed.select(F.col("__rid").alias("doc_id"), "text"), **parameters).select(F.col("doc_id").alias("__rid"), "component_id").distinct()
-    rows = keyed.select("__rid", F.col("doc_id").cast("long").alias("id")).groupBy("__rid").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__rid", "n")).alias("s")
-    stay = written(nodes.join(rows, "__rid").groupBy("component_id").agg(first).select("s.__rid", (F.col("s.n") > 1).alias("__many")), "stay")
+    key = unused(docs, "__rid")
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    nodes = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), **parameters).select(F.col("doc_id").alias(key), "component_id").distinct()
+    rows = keyed.select(key, F.col("doc_id").cast("long").alias("id")).groupBy(key).agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col(key).alias("key"), "n")).alias("s")
+    stay = written(nodes.join(rows, key).groupBy("component_id").agg(first).select(F.col("s.key").alias(key), (F.col("s.n") > 1).alias("many")), "stay")
     drop_since(docs.sparkSession, mark, stay)
-    once = keyed.join(stay.where("not __many"), "__rid", "left_semi").select(*docs.columns)
-    return once.union(keyed.join(stay.where("__many"), "__rid", "left_semi").dropDuplicates(["__rid"]).select(*docs.columns))
+    once = keyed.join(stay.where("not many").select(key), key, "left_semi").select(*plain(docs))
+    return once.union(keyed.join(stay.where("many").select(key), key, "left_semi").dropDuplicates([key]).select(*plain(docs)))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
