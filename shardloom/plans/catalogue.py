@@ -195,6 +195,22 @@ def agg_xml(spark, sf_dir):
 # --- joins ----------------------------------------------------------------------------------
 
 text("join_inner_colocated", "select o_orderkey, count(*) as n, round(sum(l_extendedprice), 2) as price from orders join lineitem on o_orderkey = l_orderkey where o_orderstatus = 'F' group by o_orderkey")
+_COLOCATED = "select o_orderkey, count(*) as n, round(sum(l_extendedprice), 2) as price from orders join lineitem on o_orderkey = l_orderkey group by o_orderkey"
+
+
+@query(_COLOCATED)
+def join_colocated_buckets(spark, sf_dir):
+    """Both tables in buckets of their shard key: neither the join nor the grouping shuffles."""
+    from .engine import Engine
+
+    e = engine(spark, sf_dir, layout=True)
+    for t in ("orders", "lineitem"):
+        e.table(t)  # stored by now
+    own = Engine(spark, e.folder, e.registry, e.topology)
+    own.colocate("orders", "lineitem")
+    return own.sql(_COLOCATED)
+
+
 text("join_broadcast_dim", "select n_name, count(*) as customers from customer join nation on c_nationkey = n_nationkey group by n_name")
 text("join_sort_merge", "select /*+ merge(orders) */ count(*) as n, round(sum(o_totalprice), 2) as total from orders join customer on o_custkey = c_custkey", "select count(*) as n, round(sum(o_totalprice), 2) as total from orders join customer on o_custkey = c_custkey")
 text("join_left", "select c_custkey, count(o_orderkey) as orders from customer left join orders on c_custkey = o_custkey and o_orderstatus = 'O' group by c_custkey")

@@ -156,6 +156,7 @@ class Engine:
         self.attached: dict[str, DataFrame] = {}
         self.temporary: dict[str, tuple] = {}
         self.deferred: dict[str, DataFrame] = {}
+        self.bucketed: dict[str, tuple[int, str]] = {}
         self._plan()
 
     def _plan(self) -> None:
@@ -208,6 +209,24 @@ class Engine:
             except Conflict:
                 pass
 
+    def colocate(self, *names: str, buckets: int | None = None) -> None:
+        """Keep copies of sharded tables that are bucketed and sorted by their shard keys.
+
+        Joins and groupings on the keys of tables in as many buckets then need no shuffle. A copy
+        serves until its table changes; reads of one key still go to the one directory. buckets:
+        the number of shuffle partitions, if not given; each should fit a task's memory.
+        """
+        n = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        for full in map(table_name, names):
+            self._ready(full)
+            key, target = list(self.registry.sharded(full).key), f"__b{uuid.uuid4().hex[:16]}"
+            seen, rows = self.storage.revision(full), self.storage.read(full).drop(*PLACEMENT)
+            rows.repartition(n, *key).write.bucketBy(n, *key).sortBy(*key).option("path", f"{self.folder}/{full}/_{target}").saveAsTable(target)
+            old = self.bucketed.get(full)
+            self.bucketed[full] = seen, target
+            if old:
+                self.spark.sql(f"drop table if exists {old[1]}")
+
     def compact(self, name: str, *, vacuum: bool = False) -> int:
         """Write a table's versions as one; vacuum also removes files that no revision lists. Returns the versions before."""
         n = self.storage.compact(name)
@@ -281,6 +300,8 @@ class Engine:
         self._ready(full)
         if full in self.attached:
             df = self.attached[full]
+        elif full in self.bucketed and (route is None or route.vshard is None) and self.storage.revision(full) == self.bucketed[full][0]:
+            df = self.spark.table(self.bucketed[full][1])
         else:
             df = self.storage.read(full)
             if route is not None and route.vshard is not None and route.table == full:

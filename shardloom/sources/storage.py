@@ -186,7 +186,7 @@ class ShardedStorage:
         live = {v["version"] for v in (self._content(full) or {"versions": []})["versions"]}
         fs, path = self.store._fs, self.store._path
         base = path(f"{self.folder}/{full}")
-        gone = [s.getPath() for s in (fs.listStatus(base) if fs.exists(base) else []) if s.getPath().getName().removeprefix(f"{VERSION}=") not in live]
+        gone = [s.getPath() for s in (fs.listStatus(base) if fs.exists(base) else []) if s.getPath().getName().startswith(f"{VERSION}=") and s.getPath().getName().removeprefix(f"{VERSION}=") not in live]
         for p in gone:
             fs.delete(p, True)
         return len(gone)

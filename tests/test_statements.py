@@ -177,3 +177,39 @@ def test_a_stream_batch_is_published_once(spark, tmp_path):
         b.insert("u", rows)
         b.mark("stream", 1)
     assert e.storage.mark("stream") == 1 and e.storage.mark("other") == -1 and e.table("u").count() == 4
+
+
+def test_colocated_join_does_not_shuffle(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/j", shards=["s1", "s2"])
+    for t in ("a", "b"):
+        e.register(t, ["k"], ["bigint"])
+    e.load("a", spark.range(500).selectExpr("id as k", "id % 7 as x"))
+    e.load("b", spark.range(900).selectExpr("id % 450 as k", "id as y"))
+    q = "select a.k, count(*) as n, sum(y) as s from a join b on a.k = b.k group by a.k"
+    plan = lambda: e.sql(q)._jdf.queryExecution().executedPlan().toString()
+    want = sorted(rows(e.sql(q)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange" in plan()
+        e.colocate("a", "b", buckets=6)
+        assert "Exchange" not in plan() and "SortMergeJoin" in plan()
+        assert sorted(rows(e.sql(q))) == want and len(want) == 450
+        assert e.sql("select x from a where k = 9", strict=True).first()["x"] == 2
+        e.execute("update b set y = 0 where k = 3")  # the copy is of an older revision
+        assert "Exchange" in plan() and [r for r in rows(e.sql(q)) if r[0] == 3] == [(3, 2, 0)]
+        e.colocate("b", buckets=6)
+        assert "Exchange" not in plan() and [r for r in rows(e.sql(q)) if r[0] == 3] == [(3, 2, 0)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_large_replicated_tables_are_not_broadcast(spark, tmp_path, monkeypatch):
+    from shardloom.plans import engine as module
+
+    e = Engine(spark, f"file://{tmp_path}/r", shards=["s1"])
+    e.register_unsharded("d", "replicated")
+    e.attach("d", spark.range(1000).selectExpr("id as k"))
+    assert "ResolvedHint" in e.table("d")._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(module, "REPLICATED_MOST", 10)
+    assert "ResolvedHint" not in e.table("d")._jdf.queryExecution().analyzed().toString()
