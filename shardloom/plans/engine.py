@@ -282,7 +282,8 @@ class Engine:
         plan = plan_copy(c["table"], c["columns"] or ([] if spec else target.columns), True, c["options"], self.registry)
         rows = copy_in(self.spark, place, plan, StructType([target.schema[k] for k in plan.columns]))
         rows = rows.select(*[F.col(k) if k in plan.columns else F.lit(None).cast(target.schema[k].dataType).alias(k) for k in target.columns])
-        return CommandResult(f"COPY {self.insert(c['table'], rows).rows}", rows.count())
+        n = self.insert(c["table"], rows).rows
+        return CommandResult(f"COPY {n}", n)
 
     # --- reading
 

@@ -6,7 +6,8 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from .copy_format import SIGNATURE, binary_value
@@ -52,5 +53,6 @@ class BinaryCopy(DataSource):
 def write_binary(df: DataFrame, path: str, kinds: list) -> int:
     spark = df.sparkSession
     spark.dataSource.register(BinaryCopy)
-    df.write.format("pgcopy").mode("append").option("path", path if "://" in path or path.startswith("file:") else f"file://{path}").save()
-    return df.count()
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.format("pgcopy").mode("append").option("path", path if "://" in path or path.startswith("file:") else f"file://{path}").save()
+    return seen.get["n"]

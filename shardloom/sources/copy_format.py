@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+import decimal
 import re
 import struct
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,6 +102,13 @@ def plan_copy(table: str, columns: list[str], incoming: bool, options: list[tupl
     return plan
 
 
+def checked(row: list) -> list:
+    """A row within the limit; on every path."""
+    if sum(len(x) for x in row if x is not None) > MAX_ROW:
+        raise CopyError("COPY row is too long", "54000")
+    return row
+
+
 # --- text -----------------------------------------------------------------------------------
 
 
@@ -243,10 +251,47 @@ def binary_records(data: bytes, columns: int) -> Iterator[list[bytes | None]]:
                 raise CopyError("binary COPY field is too long", "22P04")
             row.append(None if size == -1 else data[at : at + size])
             at += max(size, 0)
+        checked(row)
         yield row
 
 
 _NUMBERS = {"smallint": ">h", "int": ">i", "bigint": ">q", "float": ">f", "double": ">d"}
+# Dates and instants count from the start of 2000; numerics are digits to the base 10,000.
+DAY_ZERO, INSTANT_ZERO, BASE = datetime.date(2000, 1, 1), datetime.datetime(2000, 1, 1), 10_000
+NEGATIVE, NOT_A_NUMBER = 0x4000, 0xC000
+
+
+def numeric_to_binary(value: decimal.Decimal) -> bytes:
+    """Count, weight, sign, scale, then the digits: weight is the power of the base that the first has."""
+    sign, digits, exponent = value.as_tuple()
+    scale = max(0, -exponent)
+    whole = int("".join(map(str, digits)) or "0") * 10 ** max(0, exponent) * 10 ** (-scale % 4)
+    groups, behind = [], (scale + 3) // 4
+    while whole:
+        whole, group = divmod(whole, BASE)
+        groups.append(group)
+    weight = len(groups) - 1 - behind
+    groups.reverse()
+    while groups and not groups[-1]:
+        groups.pop()
+    return struct.pack(">hhHH", len(groups), weight if groups else 0, NEGATIVE if sign and groups else 0, scale) + struct.pack(f">{len(groups)}h", *groups)
+
+
+def numeric_from_binary(data: bytes) -> decimal.Decimal | None:
+    """The value; null for NaN, which no decimal column can hold."""
+    if len(data) < 8:
+        raise CopyError(f"{len(data)} bytes are no numeric", "22P03")
+    n, weight, sign, scale = struct.unpack_from(">hhHH", data)
+    if len(data) != 8 + 2 * n or sign not in (0, NEGATIVE, NOT_A_NUMBER):
+        raise CopyError("the bytes are no numeric", "22P03")
+    if sign == NOT_A_NUMBER:
+        return None
+    whole = 0
+    for group in struct.unpack_from(f">{n}h", data, 8):
+        whole = whole * BASE + group
+    with decimal.localcontext(decimal.Context(prec=max(50, 4 * n + scale + 8), Emax=10**6, Emin=-(10**6))):
+        value = decimal.Decimal(whole).scaleb(4 * (weight - n + 1))
+        return (-value if sign else value).quantize(decimal.Decimal(1).scaleb(-scale))
 
 
 def binary_value(value: object, kind: T.DataType) -> bytes | None:
@@ -261,6 +306,14 @@ def binary_value(value: object, kind: T.DataType) -> bytes | None:
         return bytes(value)
     if name == "string":
         return value.encode()
+    if name == "date":
+        return struct.pack(">i", (value - DAY_ZERO).days)
+    if name in ("timestamp", "timestamp_ntz"):  # the session's time zone is UTC
+        if value.tzinfo is not None:
+            value = value.astimezone(datetime.timezone.utc).replace(tzinfo=None)
+        return struct.pack(">q", (value - INSTANT_ZERO) // datetime.timedelta(microseconds=1))
+    if name.startswith("decimal"):
+        return numeric_to_binary(value)
     raise CopyError(f"the binary format does not encode {name}", "0A000")
 
 
@@ -268,9 +321,10 @@ def from_binary(value: bytes | None, kind: T.DataType) -> object:
     if value is None:
         return None
     name = kind.simpleString()
+    fixed = {"date": ">i", "timestamp": ">q", "timestamp_ntz": ">q"} | _NUMBERS
+    if name in fixed and len(value) != struct.calcsize(fixed[name]):
+        raise CopyError(f"{len(value)} bytes are no {name}", "22P03")
     if name in _NUMBERS:
-        if len(value) != struct.calcsize(_NUMBERS[name]):
-            raise CopyError(f"{len(value)} bytes are no {name}", "22P03")
         return struct.unpack(_NUMBERS[name], value)[0]
     if name == "boolean":
         return value != b"\0"
@@ -278,6 +332,12 @@ def from_binary(value: bytes | None, kind: T.DataType) -> object:
         return value.decode()
     if name == "binary":
         return value
+    if name == "date":
+        return DAY_ZERO + datetime.timedelta(days=struct.unpack(">i", value)[0])
+    if name in ("timestamp", "timestamp_ntz"):
+        return INSTANT_ZERO + datetime.timedelta(microseconds=struct.unpack(">q", value)[0])
+    if name.startswith("decimal"):
+        return numeric_from_binary(value)
     raise CopyError(f"the binary format does not decode {name}", "0A000")
 
 
@@ -287,8 +347,9 @@ def from_binary(value: bytes | None, kind: T.DataType) -> object:
 def copy_in(spark: SparkSession, paths: str | list[str], plan: CopyPlan, schema: T.StructType) -> DataFrame:
     """Rows of COPY files in the types of schema (fields by plan.columns).
 
-    Text splits by line and scales with the file; CSV and binary records may span lines, so
-    each file is decoded by one task (write many files, as copy_out does).
+    Text splits by line and scales with the file, but for files with an end marker or a line end
+    inside a record; these, CSV and binary records may span lines, so each such file is decoded by
+    one task (write many files, as copy_out does).
     """
     kinds = [schema[c].dataType for c in plan.columns]
     strings = ", ".join(f"c{i} string" for i in range(len(kinds)))
@@ -299,9 +360,7 @@ def copy_in(spark: SparkSession, paths: str | list[str], plan: CopyPlan, schema:
         for r in rows:
             if len(r) != n:
                 raise CopyError(f"COPY row has {len(r)} columns, expected {n}", "22P04")
-            if sum(len(x) for x in r if x is not None) > MAX_ROW:
-                raise CopyError("COPY row is too long", "54000")
-            held.append(r)
+            held.append(checked(r))
             if len(held) == 5_000:
                 yield pd.DataFrame(held, columns=[f"c{i}" for i in range(n)], dtype=object)
                 held = []
@@ -325,32 +384,55 @@ def copy_in(spark: SparkSession, paths: str | list[str], plan: CopyPlan, schema:
                     yield pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=object) for i, c in enumerate(plan.columns)})
 
         return files.mapInPandas(decode, T.StructType([T.StructField(c, k) for c, k in zip(plan.columns, kinds, strict=True)]))
-    if plan.format == "csv" or plan.header:
-        files = spark.read.text(paths, wholetext=True)
 
-        def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                for content in part["value"]:
-                    if plan.format == "csv":
-                        rows = headless(csv_records(content, plan))
-                    else:
-                        rows = headless(split_text(x, plan) for x in text_records(content.removesuffix("\n")))
-                    yield from wide(rows)
-
-        raw = files.mapInPandas(decode, strings)
-    else:
-        lines = spark.read.text(paths, lineSep="\n")
+    def whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for content in part["value"]:
+                if plan.format == "csv":
+                    rows = headless(csv_records(content, plan))
+                else:
+                    rows = headless(split_text(x, plan) for x in text_records(content.removesuffix("\n")))
+                yield from wide(rows)
 
-        def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                yield from wide(split_text(x, plan) for x in part["value"] if x != "\\.")
+    def by_line(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield from wide(split_text(x, plan) for x in part["value"])
 
-        raw = lines.mapInPandas(decode, strings)
+    if plan.format == "csv" or plan.header:
+        raw = spark.read.text(paths, wholetext=True).mapInPandas(whole, strings)
+    else:
+        lines = spark.read.text(paths, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"))
+        # an end marker, or a line end inside a record: such files are read whole, by the same decoder
+        odd = (F.col("value") == "\\.") | F.col("value").rlike(r"(?s)(?:^|[^\\])(?:\\\\)*\\$")
+        apart = [r["file"] for r in lines.where(odd).select("file").distinct().collect()]  # a name a file
+        raw = (lines.where(~F.col("file").isin(apart)) if apart else lines).select("value").mapInPandas(by_line, strings)
+        if apart:
+            raw = raw.union(spark.read.text(apart, wholetext=True).mapInPandas(whole, strings))
     return raw.select(*[F.col(f"c{i}").cast(k).alias(c) for i, (c, k) in enumerate(zip(plan.columns, kinds, strict=True))])
 
 
+def text_cell(value: Column, plan: CopyPlan) -> Column:
+    """encode_text() of a column."""
+    out = F.replace(value, F.lit("\\"), F.lit("\\\\"))
+    for letter, c in ESCAPES.items():
+        out = F.replace(out, F.lit(c), F.lit("\\" + letter))
+    if plan.delimiter not in ESCAPES.values():
+        out = F.replace(out, F.lit(plan.delimiter), F.lit("\\" + plan.delimiter))
+    return F.coalesce(out, F.lit(plan.null))
+
+
+def csv_cell(value: Column, plan: CopyPlan) -> Column:
+    """encode_csv() of a column."""
+    inner = F.replace(value, F.lit(plan.escape), F.lit(plan.escape * 2)) if plan.escape != plan.quote else value
+    quoted = F.concat(F.lit(plan.quote), F.replace(inner, F.lit(plan.quote), F.lit(plan.escape + plan.quote)), F.lit(plan.quote))
+    special = (value == plan.null) | (value == "\\.")
+    for c in (plan.delimiter, plan.quote, "\n", "\r"):
+        special = special | value.contains(c)
+    return F.when(value.isNull(), F.lit(plan.null)).when(special, quoted).otherwise(value)
+
+
 def copy_out(df: DataFrame, path: str, plan: CopyPlan, *order: str) -> int:
-    """Write COPY files, one a partition in the given order; returns the rows.
+    """Write COPY files, one a partition in the given order; returns the rows, counted as they are written.
 
     Each file is a whole stream: header line or binary envelope once a file.
     """
@@ -361,10 +443,10 @@ def copy_out(df: DataFrame, path: str, plan: CopyPlan, *order: str) -> int:
         from ._binary_sink import write_binary
 
         return write_binary(df, path, kinds)
-    null, text = F.lit(plan.null), plan.format == "text"
-    enc = F.udf((lambda v: None if v is None else encode_text(v, plan.delimiter)) if text else (lambda v: encode_csv(v, plan)), "string")
-    cells = [(F.coalesce(enc(F.col(c).cast("string")), null) if text else enc(F.col(c).cast("string"))) for c in columns]
-    lines = (df.orderBy(*order) if order else df).select(F.concat_ws(plan.delimiter, *cells).alias("value"))
+    text = plan.format == "text"
+    cells = [text_cell(F.col(f"`{c}`").cast("string"), plan) if text else csv_cell(F.col(f"`{c}`").cast("string"), plan) for c in columns]
+    seen = Observation()
+    lines = (df.orderBy(*order) if order else df).observe(seen, F.count(F.lit(1)).alias("n")).select(F.concat_ws(plan.delimiter, *cells).alias("value"))
     if plan.header:
         head = plan.delimiter.join(encode_text(c, plan.delimiter) if text else encode_csv(c, plan) for c in columns)
 
@@ -374,8 +456,5 @@ def copy_out(df: DataFrame, path: str, plan: CopyPlan, *order: str) -> int:
 
         lines = lines.mapInPandas(headed, "value string")
     lines.write.option("lineSep", "\n").text(path)
-    return df.count()
-
+    return seen.get["n"]
 
-def scratch(folder: str) -> str:
-    return f"{folder.rstrip('/')}/copy-{uuid.uuid4().hex}"

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from ..plans.engine import Engine
 from ..sources.store import Conflict
-from ..sources.copy_format import CopyError, CopyPlan, csv_records, split_text, text_records
+from ..sources.copy_format import CopyError, CopyPlan, checked, csv_records, split_text, text_records
 
 
 def copied_stream(engine: Engine, path: str, plan: CopyPlan, schema: StructType) -> DataFrame:
@@ -24,7 +24,7 @@ def copied_stream(engine: Engine, path: str, plan: CopyPlan, schema: StructType)
             for content in part["value"]:
                 rows = list(csv_records(content, plan)) if plan.format == "csv" else [split_text(x, plan) for x in text_records(content.removesuffix("\n"))]
                 rows = rows[1:] if plan.header else rows
-                if any(len(r) != n for r in rows):
+                if any(len(checked(r)) != n for r in rows):
                     raise CopyError(f"COPY row does not have {n} columns", "22P04")
                 yield pd.DataFrame(rows, columns=[f"c{i}" for i in range(n)], dtype=object)
 

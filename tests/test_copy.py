@@ -1,9 +1,9 @@
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import types as T
 
-from shardloom.sources.copy_format import SIGNATURE, CopyError, binary_records, copy_in, copy_out, csv_records, decode_text, encode_csv, encode_text, plan_copy, split_text, text_records
+from shardloom.sources.copy_format import SIGNATURE, CopyError, binary_records, copy_in, copy_out, csv_records, decode_text, encode_csv, encode_text, numeric_from_binary, numeric_to_binary, plan_copy, split_text, text_records
 from shardloom.sources.registry import Registry
 
 REGISTRY = Registry().with_sharded("t", ["region", "tenant_id"], ["text", "bigint"]).with_sharded("n", ["k"], ["numeric"])
@@ -74,3 +74,67 @@ def test_round_trip(spark, tmp_path, options):
     assert copy_out(df, path, plan_copy("t", schema.names, False, options)) == 4
     back = copy_in(spark, f"{path}/part-*", plan_copy("t", schema.names, True, options, REGISTRY), schema)
     assert sorted(tuple(r) for r in back.collect()) == sorted(rows)
+
+
+def test_binary_round_trip_of_other_types(spark, tmp_path):
+    import datetime
+    from decimal import Decimal
+
+    schema = T.StructType.fromDDL("tenant_id long, region string, d date, t timestamp, u timestamp_ntz, n decimal(20,5)")
+    at = datetime.datetime(1999, 12, 31, 23, 59, 59, 999_999)
+    rows = [(1, "a", datetime.date(1970, 1, 1), at, at, Decimal("-12345678.90001")), (2, "b", None, None, None, None), (3, "c", datetime.date(2026, 2, 28), datetime.datetime(2026, 1, 1), None, Decimal("0.00000")), (4, "d", None, None, None, Decimal("10000.00000"))]
+    df = spark.createDataFrame(rows, schema)
+    path = f"file://{tmp_path}/out"
+    assert copy_out(df, path, plan_copy("t", schema.names, False, [("format", "binary")])) == 4
+    back = copy_in(spark, f"{path}/part-*", plan_copy("t", schema.names, True, [("format", "binary")], REGISTRY), schema)
+    assert sorted(back.collect(), key=lambda r: r[0]) == df.orderBy("tenant_id").collect()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.decimals(allow_nan=False, allow_infinity=False, places=7, min_value=-(10**25), max_value=10**25))
+def test_numerics_in_binary(value):
+    assert numeric_from_binary(numeric_to_binary(value)) == value
+
+
+def test_known_numerics():
+    from decimal import Decimal
+
+    # the bytes that the server sends
+    assert numeric_to_binary(Decimal("1234567.89")).hex() == "0003000100000002007b11d722c4"
+    assert numeric_to_binary(Decimal("-0.001")).hex() == "0001ffff40000003000a" and numeric_to_binary(Decimal("0")).hex() == "0000000000000000"
+    assert numeric_to_binary(Decimal("20000")).hex() == "00010001000000000002"
+    with pytest.raises(CopyError):
+        numeric_from_binary(b"123")
+
+
+def test_text_files_with_end_marker_or_continued_records(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("1\teu\tx\n2\tus\ty\\\\\n")
+    (tmp_path / "b.txt").write_text("3\teu\tone\\\ntwo\n4\tus\tz\n\\.\n5\tus\tbehind the end\n")
+    schema = T.StructType.fromDDL("tenant_id long, region string, payload string")
+    got = sorted(tuple(r) for r in copy_in(spark, f"{tmp_path}/*.txt", TEXT, schema).collect())
+    assert got == [(1, "eu", "x"), (2, "us", "y\\"), (3, "eu", "one\ntwo"), (4, "us", "z")]
+
+
+def test_long_rows_are_refused_in_every_format(spark, tmp_path, monkeypatch):
+    from shardloom.sources import copy_format
+
+    monkeypatch.setattr(copy_format, "MAX_ROW", 4)
+    row = b"\x00\x01\x00\x00\x00\x05abcde"
+    with pytest.raises(CopyError):
+        list(binary_records(SIGNATURE + bytes(8) + row + b"\xff\xff", 1))
+    with pytest.raises(CopyError, match="54000"):
+        copy_format.checked(["abc", None, "de"])
+
+
+@settings(max_examples=30, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="ab;\"'\\\n\r\t.N", max_size=8)), min_size=1, max_size=20))
+def test_cells_equal_the_plain_encoders(spark, values):
+    from pyspark.sql import functions as F
+
+    from shardloom.sources.copy_format import csv_cell, text_cell
+
+    other = plan_copy("t", COLUMNS, False, [("format", "csv"), ("quote", "'"), ("escape", "\\"), ("null", "N")])
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    for r in df.select("v", text_cell(F.col("v"), TEXT).alias("t"), csv_cell(F.col("v"), CSV).alias("c"), csv_cell(F.col("v"), other).alias("o")).collect():
+        assert r["t"] == ("\\N" if r["v"] is None else encode_text(r["v"], "\t"))
+        assert r["c"] == encode_csv(r["v"], CSV) and r["o"] == encode_csv(r["v"], other)
