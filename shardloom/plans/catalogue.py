@@ -630,3 +630,148 @@ def create_table_as_text(spark, sf_dir):
 @query("select t as table_name, p as policy, k as shard_key from (values ('public.customer', 'sharded', 'c_custkey'), ('public.events', 'sharded', 'user_id,event_type'), ('public.lineitem', 'sharded', 'l_orderkey'), ('public.nation', 'replicated', ''), ('public.orders', 'sharded', 'o_orderkey'), ('public.part', 'sharded', 'p_partkey'), ('public.region', 'replicated', ''), ('public.supplier', 'sharded', 's_suppkey')) as x(t, p, k)")
 def catalog_inventory(spark, sf_dir):
     return engine(spark, sf_dir).registry.inventory(spark).select("table_name", "policy", F.array_join("shard_key", ",").alias("shard_key"))
+
+
+# --- routes, refusals, schema, reports ------------------------------------------------------
+
+_ROUTES = (
+    ("select * from orders where o_orderkey = 42", "single_shard"),
+    ("select * from orders where o_orderkey = cast('0042' as bigint) and o_totalprice > 1", "single_shard"),
+    ("select * from events where (event_type, user_id) = ('view', 7)", "single_shard"),
+    ("select * from events where user_id = 7", "append_scatter"),
+    ("select * from orders where o_orderkey = 42 or o_custkey = 1", "append_scatter"),
+    ("select count(*) from orders", "global"),
+    ("select * from orders order by o_orderkey", "global"),
+    ("select * from orders join customer on o_custkey = c_custkey", "global"),
+    ("select * from nation", "replicated"),
+    ("select 1", "topology_independent"),
+    ("create table x (a int)", "ddl"),
+)
+
+
+@query("select statement, kind from (values " + ", ".join("('{}', '{}')".format(q.replace("'", "''"), k) for q, k in _ROUTES) + ") as t(statement, kind)")
+def explain_routes(spark, sf_dir):
+    """What the planner proves of each statement, as EXPLAIN tells it."""
+    e = engine(spark, sf_dir)
+    told = [(q, e.planner.analyze(q).kind) for q, _ in _ROUTES]
+    assert e.explain(_ROUTES[0][0]).startswith("route: single_shard")
+    return spark.createDataFrame(told, "statement string, kind string")
+
+
+_REFUSED = (
+    ("insert into orders (o_orderkey) values (1) on conflict do nothing", "0A000"),
+    ("select o_orderkey from orders for update", "0A000"),
+    ("update orders set o_totalprice = 0 where o_custkey = 1", "0A000"),
+    ("update orders set o_orderkey = 2 where o_orderkey = 1", "0A000"),
+    ("delete from orders", "0A000"),
+    ("merge into orders using nation on o_orderkey = n_nationkey when matched then delete", "0A000"),
+    ("with gone as (delete from orders where o_orderkey = 1) select * from gone", "42601"),
+    ("select distinct on (o_custkey) o_orderkey from orders order by o_orderkey", "42P10"),
+    ("selec 1", "42601"),
+    ("create function f() returns int as 'select 1'", "0A000"),
+    ("create database other", "0A000"),
+)
+
+
+@query("select statement, code from (values " + ", ".join("('{}', '{}')".format(q.replace("'", "''"), k) for q, k in _REFUSED) + ") as t(statement, code)")
+def refused_statements(spark, sf_dir):
+    """The SQLSTATE of statements that are refused, before anything happens."""
+    e = engine(spark, sf_dir)
+
+    def code(sql: str) -> str:
+        run = e.ddl if sql.startswith("create") else e.sql if sql.startswith(("sel", "with")) else e.execute
+        try:
+            run(sql)
+        except Exception as x:  # noqa: BLE001  the code is what is asked for
+            return str(x).partition(":")[0]
+        return "00000"
+
+    return spark.createDataFrame([(q, code(q)) for q, _ in _REFUSED], "statement string, code string")
+
+
+@query("select c_custkey as id, c_name as name, cast(null as varchar) as note from customer")
+def ddl_tables(spark, sf_dir):
+    """A table made, keyed, filled, widened: schema statements over a sharded table with rows."""
+    from .engine import Engine
+
+    e = Engine(spark, folder(spark, "ddl"), shards=["shard1", "shard2", "shard3"])
+    e.ddl("create table people (id bigserial primary key, name text not null); comment on column people.id is 'app.shard_key'")
+    e.load("people", spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey as id", "c_name as name"))
+    e.ddl("alter table people add column note text")
+    return e.sql("select id, name, note from people")
+
+
+@query(f"select case when v < 20000 then 'shard3' when v % 2 = 0 then 'shard2' else 'shard1' end as shard, count(*) as n from (select {_LINE} as v from lineitem) group by 1")
+def topology_moved_slots(spark, sf_dir):
+    """Rows by owner after a new shard has joined and has been given some slots."""
+    from dataclasses import replace
+
+    from ..sources.storage import placed
+    from ..sources.topology import Shard
+
+    e = engine(spark, sf_dir)
+    moved = e.topology.distribution("public.lineitem").moved(list(range(20_000)), "shard3")
+    new = replace(e.topology.with_shard(Shard("shard3", "adding"), 1.0), distributions=e.topology.distributions | {e.topology.tables["public.lineitem"]: moved})
+    return placed(e.table("lineitem"), "lineitem", e.registry, new).groupBy(F.col("_shard").alias("shard")).agg(F.count("*").alias("n"))
+
+
+_BEFORE = "case when o_orderkey % 7 = 0 then 'not ok ' else 'ok ' end || o_orderkey || ' - t' || o_orderkey || '   ' || (o_orderkey % 50) || ' ms' || case when o_orderkey % 11 = 0 then ' # SKIP none' else '' end"
+_AFTER = "case when o_orderkey % 5 = 0 then 'not ok ' else 'ok ' end || o_orderkey || ' - t' || o_orderkey || '   ' || (o_orderkey % 50) || ' ms'"
+
+
+@query("select 't' || o_orderkey as test, min(case when o_orderkey % 13 = 0 then 'missing' else 'fail' end) as now from orders where o_orderkey % 7 <> 0 and o_orderkey % 11 <> 0 and (o_orderkey % 5 = 0 or o_orderkey % 13 = 0) group by 1")
+def report_regressions(spark, sf_dir):
+    """Tests that passed in one TAP report and fail or are missing in the next, a test for each order."""
+    from ..operators import report
+
+    o = engine(spark, sf_dir).table("orders").select("o_orderkey").distinct()
+    before = report.tap_results(o.select(F.expr(_BEFORE).alias("value")))
+    after = report.tap_results(o.where("o_orderkey % 13 <> 0").select(F.expr(_AFTER).alias("value")))
+    return report.regressions(before, after).select("test", "now")
+
+
+@query("select p_partkey, 'shard-' || substr(sha256('shard' || chr(0) || p_name), 1, 20) as id from part")
+def stable_ids(spark, sf_dir):
+    from ..functions.sqltext import stable_shard_id
+
+    return engine(spark, sf_dir).table("part").select("p_partkey", stable_shard_id("p_name").alias("id"))
+
+
+@query("select tags, tag from (values ('INSERT 0 3,INSERT 0 4', 'INSERT 0 7'), ('UPDATE 1,UPDATE 0', 'UPDATE 1'), ('SELECT 5', 'SELECT 5'), ('CREATE TABLE,CREATE TABLE', 'CREATE TABLE'), ('UPDATE 1,DELETE 1', 'FANOUT')) as t(tags, tag)")
+def merged_tags(spark, sf_dir):
+    from ..functions.sqltext import merged_tag
+
+    lists = ("INSERT 0 3,INSERT 0 4", "UPDATE 1,UPDATE 0", "SELECT 5", "CREATE TABLE,CREATE TABLE", "UPDATE 1,DELETE 1")
+    return spark.createDataFrame([(x, merged_tag(x.split(","))) for x in lists], "tags string, tag string")
+
+
+@query("select o_orderkey, o_custkey, o_orderstatus from orders")
+def stream_copy(spark, sf_dir):
+    """COPY from a folder as a stream: each micro-batch is one publication that holds the batch's number."""
+    from ..streaming.ingest import copy_stream
+    from .engine import Engine
+
+    orders = engine(spark, sf_dir).table("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    path = folder(spark, "stream-in")
+    copy_out(orders.repartition(3), path, plan_copy("orders", orders.columns, False, [("format", "csv")]))
+    e = Engine(spark, folder(spark, "stream-out"), shards=["shard1", "shard2"])
+    e.register("orders", ["o_orderkey"], ["bigint"])
+    e.load("orders", orders.limit(0))
+    copy_stream(e, "orders", path, plan_copy("orders", orders.columns, True, [("format", "csv")], e.registry), folder(spark, "stream-state")).awaitTermination()
+    return e.table("orders")
+
+
+@query("select 'orders' as t, count(*) as n, round(sum(case when o_orderstatus = 'F' then 0 else o_totalprice end), 2) as total from orders union all select 'log', 1, 0")
+def dml_batch_of_kinds(spark, sf_dir):
+    """An update of one table and an insert into another, published by one revision."""
+    from .engine import Engine
+
+    e = Engine(spark, folder(spark, "kinds"), shards=["shard1", "shard2"])
+    e.register("o", ["o_orderkey"], ["bigint"])
+    e.register_unsharded("log")
+    e.load("o", spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice"))
+    with e.batch() as b:
+        b.update("o", {"o_totalprice": F.lit(0.0)}, F.col("o_orderstatus") == "F")
+        b.insert("log", spark.createDataFrame([("zeroed",)], "what string"))
+    totals = e.sql("select 'orders' as t, count(*) as n, round(sum(o_totalprice), 2) as total from o")
+    return totals.union(e.sql("select 'log' as t, count(*) as n, cast(0 as double) as total from log"))
