@@ -46,17 +46,26 @@ class Template:
         a, b, c = self.other
         return [(a + self.escape(role) + b, False), (self.escape(text), False), (c, False)]
 
-    def parse(self, formatted: str) -> tuple[str, str]:
-        """Role and text of one formatted turn."""
+    def next(self, formatted: str, at: int = 0) -> tuple[str, str, int]:
+        """Role and text of the turn that begins at at, and where it ends, by its marks alone; ValueError if it is not whole."""
         a, b, c = self.other
-        if formatted.startswith(a):
-            role, _, text = formatted[len(a) : -len(c)].partition(b)
-            return self.unescape(role), self.unescape(text)
+        if formatted.startswith(a, at):
+            middle = formatted.index(b, at + len(a))
+            end = formatted.index(c, middle + len(b))
+            return self.unescape(formatted[at + len(a) : middle]), self.unescape(formatted[middle + len(b) : end]), end + len(c)
         for role, (before, after, _) in sorted(self.roles.items(), key=lambda r: -len(r[1][0])):
-            if formatted.startswith(before) and formatted.endswith(after):
-                return role, self.unescape(formatted[len(before) : len(formatted) - len(after)])
+            if formatted.startswith(before, at):
+                end = formatted.index(after, at + len(before))
+                return role, self.unescape(formatted[at + len(before) : end]), end + len(after)
         raise ValueError("not a formatted turn")
 
+    def parse(self, formatted: str) -> tuple[str, str]:
+        """Role and text of one formatted turn."""
+        role, text, end = self.next(formatted)
+        if end != len(formatted):
+            raise ValueError("more than one formatted turn")
+        return role, text
+
 
 SEGMENT = pa.struct([("text", pa.string()), ("loss", pa.bool_())])
 TURN = "conv_id long, n long, role string, valid boolean, last boolean, segments array<struct<text: string, loss: boolean>>"
@@ -72,8 +81,8 @@ def formatted(conversations: DataFrame, template: Template | None = None) -> Dat
     role is an empty one; rows with a null conv_id form one conversation. Repeated rows are
     turns of their own.
 
-    The rows of a conversation stream through one task in order, one Arrow batch at a time: a
-    long conversation costs time there, not memory. Partitions come out sorted by conv_id, n.
+    Texts of any length are whole turns; an empty table gives no rows. The rows of a conversation
+    stream through one task in order, one Arrow batch at a time: a long conversation costs time there, not memory. Partitions come out sorted by conv_id, n.
     """
     t = template or Template()
 
@@ -116,16 +125,22 @@ def formatted(conversations: DataFrame, template: Template | None = None) -> Dat
 
 
 def digests(turns: DataFrame, template: Template | None = None) -> DataFrame:
-    """Read formatted() output back: one row a conversation, hashes of what the output says."""
+    """Read formatted() output back: one row a conversation, hashes of what the output says.
+
+    Turns are found by the template's marks in the conversation's text as it streams by, whatever
+    rows it came in; only a turn that has not ended yet is held.
+    """
     t = template or Template()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+        now, rows, held = None, [], ""
 
         def start(conv) -> dict:
             return {"conv_id": conv, "n_turns": 0, "all": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "formatted_chars": 0, "valid": True}
 
         def end(x: dict) -> dict:
+            if held:
+                raise RuntimeError("a conversation's last turn does not end")
             return x | {"turns_sha256": x["all"].hexdigest(), "loss_sha256": x["loss"].hexdigest()}
 
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
@@ -137,10 +152,16 @@ def digests(turns: DataFrame, template: Template | None = None) -> DataFrame:
                         rows.append(end(now))
                     now = start(conv)
                 whole = "".join(s["text"] for s in segments)
-                role, text = t.parse(whole)
-                now["n_turns"] += 1
-                now["all"].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                 now["formatted_chars"] += len(whole)
+                held, at = held + whole, 0
+                while at < len(held):
+                    try:
+                        role, text, at = t.next(held, at)
+                    except ValueError:
+                        break
+                    now["n_turns"] += 1
+                    now["all"].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                held = held[at:]
                 now["valid"] = valid
                 for s in segments:
                     if s["loss"]:

@@ -89,6 +89,9 @@ def test_token_files_edges(spark, tmp_path, library):
     runs = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in read_tokens(spark, f"file://{tmp_path}/r").collect())
     more = sorted([*rows, *rows, rows[5]], key=lambda r: (r[0] is not None, r[0] or 0))
     assert [(d, s, n, c) for s, d, n, c in runs] == expected(more, library)
+    same = spark.createDataFrame([(3, "the same row")] * 4000, "doc_id long, text string").repartition(4)
+    parts = write_tokens(same, f"file://{tmp_path}/s", tokenizer=default_tokenizer(), parts=4)["parts"]
+    assert sum(p["docs"] for p in parts) == 4000 and max(p["docs"] for p in parts) < 2000  # one key in several parts
     write_tokens(df.limit(0), f"file://{tmp_path}/e", tokenizer=default_tokenizer())
     assert read_tokens(spark, f"file://{tmp_path}/e").count() == 0
 
@@ -108,6 +111,29 @@ def test_turns_read_back(text, role):
     assert not any(c in t.escape(text) for c in t.controls) and t.unescape(t.escape(text)) == text
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "", "tool[", "[=]"]), st.lists(st.sampled_from(["\\", ".", "[", "]", "<", "/", " ", "\n", "s>", "INST]", *Template().controls]), max_size=6).map("".join)), max_size=6))
+def test_turns_are_found_by_their_marks(turns):
+    t = Template()
+    whole, at, got = "".join(s for r, x in turns for s, _ in t.segments(r, x)), 0, []
+    while at < len(whole):
+        role, text, at = t.next(whole, at)
+        got.append((role, text))
+    assert got == turns
+
+
+def test_digests_do_not_need_the_rows_to_be_turns(spark):
+    from pyspark.sql import Window
+
+    rows = [(i % 3, i, ["user", "assistant", "judge"][i % 3 if i % 2 else 0], f"text {i} </s>[INST]") for i in range(30)]
+    turns = formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    want = sorted(digests(turns).select("conv_id", "n_turns", "turns_sha256", "formatted_chars").collect())
+    w = Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    one = turns.withColumn("all", F.flatten(F.collect_list("segments").over(w))).where("n = 0")  # a conversation in one row
+    one = one.select("conv_id", "n", "role", "valid", "last", F.col("all").alias("segments"))
+    assert sorted(digests(one).select("conv_id", "n_turns", "turns_sha256", "formatted_chars").collect()) == want and want[0]["n_turns"] == 10
+
+
 def test_machine_and_edges(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (2, 0, "user", "u"), (3, 0, "assistant", None), (3, 1, "user", "x"), (4, 1, "assistant", "b"), (4, 0, "user", "</s>"), (None, 0, None, None), (5, 0, "user", "u"), (5, 0, "user", "u")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, n int")
