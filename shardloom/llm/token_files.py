@@ -335,7 +335,9 @@ def write_tokens(docs: DataFrame, uri: str, *, tokenizer: str, end_id: int = 0,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tie = F.xxhash64("text")
     rows = rows.mapInArrow(_runs, "doc_id long, text string, n long") if runs else rows.withColumn("n", F.lit(1).cast("long"))
-    dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
+    # equal rows may lie in any order: the place in the input lets them lie in several parts
+    rows = rows.withColumn("at", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), tie, "at").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie).drop("at")
     made = sorted(dealt.mapInArrow(encode, "part int, docs long, ids long").collect())
     base = [0, *accumulate(r["ids"] for r in made)]
     index = {"dtype": kind, "end_id": end_id, "parts": [{"part": r["part"], "docs": r["docs"], "ids": r["ids"], "base": b} for r, b in zip(made, base, strict=False)]}
