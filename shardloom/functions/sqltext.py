@@ -18,14 +18,16 @@ def _col(c: Column | str) -> Column:
 def normalize_sql(sql: Column | str) -> Column:
     """A label that groups like statements: comments dropped, literals `?`, white space squeezed.
 
-    Comments go before strings, so a comment mark inside a string ends it; labels beyond 300
-    bytes are cut (at 300 characters here) and end in an ellipsis.
+    Comments go before strings, so a comment mark inside a string ends it; of labels beyond 300
+    bytes the whole characters in the first 300 stay, and an ellipsis follows.
     """
     c = _col(sql)
     for pattern, by in ((r"(?s)/\*.*?\*/", " "), (r"--[^\n]*", " "), (r"'(?:''|[^'])*'", "?"), (r"\b\d+(?:\.\d+)?\b", "?"), (r"\s+", " ")):
         c = F.regexp_replace(c, pattern, by)
     c = F.trim(c)
-    return F.when(c == "", F.lit("<empty query>")).when(F.length(c) > 300, F.concat(F.substring(c, 1, 300), F.lit("…"))).otherwise(c)
+    # a character that the cut halves becomes replacement signs, which go
+    head = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(c, "UTF-8"), 1, 300).cast("string")), "\ufffd+$", "")
+    return F.when(c == "", F.lit("<empty query>")).when(F.octet_length(c) > 300, F.concat(head, F.lit("…"))).otherwise(c)
 
 
 def fingerprint(label: Column | str) -> Column:

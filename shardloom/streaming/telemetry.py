@@ -133,5 +133,17 @@ def openmetrics(counts: DataFrame, metric: str, value: str, *labels: str) -> Dat
 
 
 def start(stream: DataFrame, name: str, checkpoint: str, width: str = "1 second") -> StreamingQuery:
-    """Keep the tumbling counters of a stream in a memory table, complete after each batch."""
+    """Keep the tumbling counters of a stream in a memory table of the driver, complete after each batch.
+
+    For a display of a bounded time; start_files() keeps any length.
+    """
     return tumbling(stream, width).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def start_files(stream: DataFrame, path: str, checkpoint: str, width: str = "1 second", late: str = "10 minutes") -> StreamingQuery:
+    """Append the tumbling counters of a stream to Parquet files, each window once, when it is final.
+
+    A window is final when an event later than its end by more than late has come; events for it
+    that come after that are dropped, and its state is freed.
+    """
+    return tumbling(stream, width, late).writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

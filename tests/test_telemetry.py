@@ -40,3 +40,25 @@ def test_shapes_and_counts(spark):
     assert telemetry.imbalance(e).first()["ratio"] == 2.0
     lines = [r["line"] for r in telemetry.openmetrics(telemetry.failures(e), "failures", "failures", "category").collect()]
     assert lines == ['failures{category="data_error"} 1']
+
+
+def test_late_events_are_dropped_and_windows_come_once(spark, tmp_path):
+    """Files come one by one; a window leaves the stream when the watermark has passed it."""
+    at = lambda minutes: NOW + timedelta(minutes=minutes)
+    batches = [[(at(0), "a", True, 1, ["s"], None), (at(1), "b", True, 2, ["s"], None)], [(at(30), "c", True, 3, ["s"], None)], [(at(0), "late", True, 9, ["s"], None), (at(31), "d", True, 4, ["s"], None)], [(at(90), "e", True, 5, ["s"], None)]]
+    for i, rows in enumerate(batches):
+        events(spark, rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(telemetry.SCHEMA).parquet(f"{tmp_path}/in")
+        telemetry.start_files(stream, f"{tmp_path}/out", f"{tmp_path}/state", "1 minute").awaitTermination()
+    out = spark.read.parquet(f"{tmp_path}/out").collect()
+    got = {int((r["second"] - NOW.replace(second=0)).total_seconds() // 60): (r["queries"], r["total_ms"]) for r in out}
+    assert len(out) == len(got) and got == {0: (1, 1), 1: (1, 2), 30: (1, 3), 31: (1, 4)}
+
+
+def test_labels_are_cut_at_300_bytes(spark):
+    from shardloom.functions.sqltext import normalize_sql
+
+    texts = ["x" * 300, "x" * 301, "é" * 150, "é" * 151, "x" + "é" * 200, "x" * 299 + "日", "x" * 298 + "\U0001f600z"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "q string").select(normalize_sql("q")).collect()]
+    want = [t if len(t.encode()) <= 300 else t.encode()[:300].decode("utf-8", "ignore") + "…" for t in texts]
+    assert got == want
