@@ -317,6 +317,8 @@ text("dialect_any_array", "select n_nationkey from nation where n_regionkey = an
 text("dialect_json", "select event_id, cast(props ->> 'k' as int) as k from events where props -> 'k' is not null", "select event_id, cast(props ->> 'k' as int) as k from events where (props -> 'k') is not null")
 text("dialect_casts", "select o_orderkey::string as k, '12'::int + 1 as n from orders where o_orderdate::date < '1995-01-01'::date", "select o_orderkey::varchar as k, '12'::int + 1 as n from orders where o_orderdate::date < '1995-01-01'::date")
 
+text("text_json_agg", "select o_custkey, json_agg(o_orderstatus order by o_orderkey desc) as states, json_object_agg(o_orderkey, o_orderpriority order by o_orderkey) as keys, json_agg(o_orderkey order by o_orderkey) filter (where o_orderstatus = 'F') as f from orders group by o_custkey", "select o_custkey, '[' || string_agg('\"' || o_orderstatus || '\"', ',' order by o_orderkey desc) || ']' as states, '{' || string_agg('\"' || o_orderkey || '\":\"' || o_orderpriority || '\"', ',' order by o_orderkey) || '}' as keys, '[' || string_agg(cast(o_orderkey as varchar), ',' order by o_orderkey) filter (where o_orderstatus = 'F') || ']' as f from orders group by o_custkey")
+text("text_xml_array_agg", "select o_custkey, xmlagg('<o>' || o_orderkey || '</o>' order by o_orderkey) as doc, array_join(array_agg(o_orderkey order by o_orderstatus desc, o_orderkey), ',') as keys from orders group by o_custkey", "select o_custkey, string_agg('<o>' || o_orderkey || '</o>', '' order by o_orderkey) as doc, string_agg(cast(o_orderkey as varchar), ',' order by o_orderstatus desc, o_orderkey) as keys from orders group by o_custkey")
 text("text_distinct_on", "select distinct on (o_custkey) o_custkey, o_orderkey, o_totalprice from orders order by o_custkey, o_totalprice desc, o_orderkey")
 text("text_with_ties", "select o_orderkey, o_orderpriority from orders order by o_orderpriority fetch first 5 rows with ties", "select o_orderkey, o_orderpriority from (select *, rank() over (order by o_orderpriority) as r from orders) where r <= 5")
 text("text_null_order", "select o_orderkey, row_number() over (partition by o_custkey order by nullif(o_orderstatus, 'F') desc, o_orderkey) as down, row_number() over (partition by o_custkey order by nullif(o_orderstatus, 'F'), o_orderkey) as up from orders", "select o_orderkey, row_number() over (partition by o_custkey order by nullif(o_orderstatus, 'F') desc nulls first, o_orderkey) as down, row_number() over (partition by o_custkey order by nullif(o_orderstatus, 'F') nulls last, o_orderkey) as up from orders")

@@ -213,3 +213,12 @@ def test_large_replicated_tables_are_not_broadcast(spark, tmp_path, monkeypatch)
     assert "ResolvedHint" in e.table("d")._jdf.queryExecution().analyzed().toString()
     monkeypatch.setattr(module, "REPLICATED_MOST", 10)
     assert "ResolvedHint" not in e.table("d")._jdf.queryExecution().analyzed().toString()
+
+
+def test_ordered_aggregates_as_text(engine):
+    got = rows(engine.sql("select g, json_agg(x order by x desc, id) as a, json_agg_strict(x order by id) as b, json_object_agg(id, g order by id) as o, xmlagg('<' || g || '>' order by id) as m from t group by g order by g"))
+    assert got == [("a", "[null,10]", "[10]", '{"1":"a","2":"a"}', "<a><a>"), ("b", "[30,30]", "[30,30]", '{"3":"b","4":"b"}', "<b><b>"), ("c", "[null,7]", "[7]", '{"5":"c","6":"c"}', "<c><c>")]
+    got = rows(engine.sql("select array_agg(id order by x desc, id) as a, array_agg(id order by x, id desc) as b, array_agg(id order by x nulls first, id) filter (where id < 4) as c from t"))
+    assert got == [([2, 5, 3, 4, 1, 6], [6, 1, 4, 3, 5, 2], [2, 1, 3])]
+    assert rows(engine.sql("select json_agg('it''s, \"order by\" ' || g order by id) as a from t where id = 1")) == [('["it\'s, \\\\"order by\\\\" a"]'.replace("\\\\", "\\"),)]
+    assert rows(engine.sql("select json_agg(id) filter (where id > 100) as a, string_agg(g, ',' order by id) filter (where x > 9) as s from t")) == [(None, "a,b,b")]
