@@ -156,7 +156,7 @@ class Engine:
         self.attached: dict[str, DataFrame] = {}
         self.temporary: dict[str, tuple] = {}
         self.deferred: dict[str, DataFrame] = {}
-        self.bucketed: dict[str, tuple[int, str]] = {}
+        self.bucketed: dict[str, tuple[list, str]] = {}  # the versions that a copy is of, and its name
         self._plan()
 
     def _plan(self) -> None:
@@ -220,7 +220,7 @@ class Engine:
         for full in map(table_name, names):
             self._ready(full)
             key, target = list(self.registry.sharded(full).key), f"__b{uuid.uuid4().hex[:16]}"
-            seen, rows = self.storage.revision(full), self.storage.read(full).drop(*PLACEMENT)
+            seen, rows = self.storage.versions(full), self.storage.read(full).drop(*PLACEMENT)
             rows.repartition(n, *key).write.bucketBy(n, *key).sortBy(*key).option("path", f"{self.folder}/{full}/_{target}").saveAsTable(target)
             old = self.bucketed.get(full)
             self.bucketed[full] = seen, target
@@ -240,10 +240,10 @@ class Engine:
 
     def session(self) -> Engine:
         """The same tables with settings and temporary tables of its own."""
-        return Engine(self.spark.newSession(), self.folder, self.registry, self.topology)._with(self.attached)
+        return Engine(self.spark.newSession(), self.folder, self.registry, self.topology)._with(self.attached, self.deferred)
 
-    def _with(self, attached: dict[str, DataFrame]) -> Engine:
-        self.attached = dict(attached)
+    def _with(self, attached: dict[str, DataFrame], deferred: dict[str, DataFrame]) -> Engine:
+        self.attached, self.deferred = dict(attached), deferred
         return self
 
     def create_temporary(self, name: str, df: DataFrame) -> None:
@@ -301,7 +301,7 @@ class Engine:
         self._ready(full)
         if full in self.attached:
             df = self.attached[full]
-        elif full in self.bucketed and (route is None or route.vshard is None) and self.storage.revision(full) == self.bucketed[full][0]:
+        elif full in self.bucketed and (route is None or route.vshard is None) and self.storage.versions(full) == self.bucketed[full][0]:
             df = self.spark.table(self.bucketed[full][1])
         else:
             df = self.storage.read(full)

@@ -200,6 +200,9 @@ def test_colocated_join_does_not_shuffle(spark, tmp_path):
         assert "Exchange" in plan() and [r for r in rows(e.sql(q)) if r[0] == 3] == [(3, 2, 0)]
         e.colocate("b", buckets=6)
         assert "Exchange" not in plan() and [r for r in rows(e.sql(q)) if r[0] == 3] == [(3, 2, 0)]
+        e.storage.drop("b")  # made anew by another writer
+        e.load("b", spark.createDataFrame([(5, 50)], "k long, y long"))
+        assert rows(e.sql(q)) == [(5, 1, 50)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
