@@ -75,6 +75,11 @@ def test_group_by_distinct(engine):
     assert len(rows(engine.sql("select g, count(*) as n from t group by all rollup(g), rollup(g)"))) > len(rows(engine.sql("select g, count(*) as n from t group by distinct rollup(g), rollup(g)"))) == 4
 
 
+def test_hints_reach_the_plan(engine):
+    plan = engine.sql("select /*+ merge(n) */ count(*) as c from t join nation n /* not a hint */ on t.id = n.k -- end")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+
+
 def test_rewriting_is_local():
     for q in ("select a from t where b is distinct from c", "select extract(year from d) from t", "select * except (a) from t"):
         assert rewritten(q) == q == null_order(q)
