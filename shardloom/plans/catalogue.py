@@ -480,6 +480,11 @@ def telem_openmetrics(spark, sf_dir):
     return telemetry.openmetrics(telemetry.shard_executions(query_events(spark, sf_dir)), "shard_executions", "executions", "shard")
 
 
+@query(f"select '{{\"category\":\"' || category || '\",\"failures\":' || count(*) || '}}' as line from ({_EVENTS}) where not success group by category")
+def telem_json(spark, sf_dir):
+    return telemetry.json_lines(telemetry.failures(query_events(spark, sf_dir)))
+
+
 @query(f"select strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') as second, {_COUNT} from ({_EVENTS}) group by 1")
 def stream_tumbling_minutes(spark, sf_dir):
     """The same counters from a stream of files, complete after all that is there."""

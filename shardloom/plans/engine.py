@@ -273,7 +273,7 @@ class Engine:
         if place is None:
             raise ValueError("name the files of the COPY stream")
         if not c["incoming"]:
-            df = self.sql(c["query"]) if c["query"] else self.table(c["table"])
+            df = self.sql(c["query"]) if c["query"] else self._in_append_order(c["table"])
             plan = plan_copy(c["table"] or "query", c["columns"] or df.columns, False, c["options"], self.registry)
             n = copy_out(df, place, plan)
             return CommandResult(f"COPY {n}", n)
@@ -285,6 +285,13 @@ class Engine:
         n = self.insert(c["table"], rows).rows
         return CommandResult(f"COPY {n}", n)
 
+    def _in_append_order(self, name: str) -> DataFrame:
+        """A table's rows shard by shard, in the order of the shards' names; files of COPY TO follow it."""
+        full = table_name(name)
+        if full in self.attached or full not in self.registry.tables:
+            return self.table(name)
+        return self.placed_table(full).repartitionByRange(F.col(SHARD), F.col(SLOT)).sortWithinPartitions(SHARD, SLOT).drop(*PLACEMENT)
+
     # --- reading
 
     def placed_table(self, name: str) -> DataFrame:

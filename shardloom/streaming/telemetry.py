@@ -132,6 +132,11 @@ def openmetrics(counts: DataFrame, metric: str, value: str, *labels: str) -> Dat
     return counts.select(F.concat_ws(" ", head, F.col(value).cast("string")).alias("line"))
 
 
+def json_lines(counts: DataFrame) -> DataFrame:
+    """One JSON object a row, nulls included."""
+    return counts.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
+
+
 def start(stream: DataFrame, name: str, checkpoint: str, width: str = "1 second") -> StreamingQuery:
     """Keep the tumbling counters of a stream in a memory table of the driver, complete after each batch.
 

@@ -58,6 +58,16 @@ def test_copy_text_both_ways(spark, tmp_path):
     assert e.table("t").where("k = 20").count() == 0  # nothing of a failed COPY is seen
 
 
+def test_copy_to_follows_the_shards(spark, tmp_path):
+    e = engine(spark, tmp_path / "e")
+    e.load("t", spark.range(10, 400).selectExpr("id as k", "'a' as v"))
+    assert e.copy(f"copy t to '{tmp_path}/out' with (format csv)").tag == "COPY 393"
+    keys = [int(line.split(",")[0]) for f in sorted((tmp_path / "out").glob("part-*")) for line in f.read_text().splitlines()]
+    owner = {r["k"]: r["_shard"] for r in e.placed_table("t").collect()}
+    owners = [owner[k] for k in keys]
+    assert sorted(keys) == sorted(owner) and owners == sorted(owners) and set(owners) == {"s1", "s2"}
+
+
 def test_copy_stream(spark, tmp_path):
     e = engine(spark, tmp_path / "e")
     (tmp_path / "in").mkdir()
