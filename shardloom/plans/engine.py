@@ -6,7 +6,8 @@ import json
 import re
 import time
 import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,8 +169,6 @@ class Engine:
         self.catalog.update("topology", lambda _: self.topology.to_json())
 
     def register(self, name: str, key: list[str], types: list[str], *, generated: bool = False, distribution: str = "default") -> None:
-        from dataclasses import replace
-
         from ..sources.topology import Distribution
 
         self.registry = self.registry.with_sharded(name, key, types, generated)
@@ -392,69 +391,87 @@ class Engine:
     def ddl(self, sql: str) -> CommandResult:
         """CREATE, DROP and TRUNCATE TABLE, ADD COLUMN and the shard-key comment.
 
-        A batch is checked as a whole before anything happens, and the catalogs are published once
-        at its end. Serial and identity columns become generated BIGINT keys. A new table is
-        unsharded until comments on its columns name the key, in the order of the comments.
+        A batch is checked as a whole before anything happens; its tables change together in one
+        revision after its last statement, then the catalogs are published. If a statement fails
+        nothing has happened. Serial and identity columns become generated BIGINT keys. A new table
+        is unsharded until comments on its columns name the key, in the order of the comments.
         """
         check_ddl(sql)
+        before = self.registry, self.topology, dict(self.attached)
         known = self.catalog.latest("definitions")[1] or {}
-        for s in statements(normalize_ddl(sql).sql):
-            if created := parse_create(s):
-                full = table_name(created[0])
-                if full in known:
-                    raise ValueError(f"42P07: {full} exists")
-                known = known | {full: {"columns": [list(c) for c in created[1]], "key": []}}
-                self.register_unsharded(full)
-                self._empty(full, known[full])
-            elif m := re.match(r"(?is)^drop\s+table\s+(if\s+exists\s+)?([\w.\"]+)", s):
-                full = table_name(m[2])
-                if full not in known and not m[1]:
-                    raise LookupError(f"42P01: no table {full}")
-                known = {k: v for k, v in known.items() if k != full}
-                self._forget(full)
-            elif m := re.match(r"(?is)^truncate\s+(?:table\s+)?([\w.\"]+)", s):
-                full = table_name(m[1])
-                self.storage.drop(full)
-                self._empty(full, known[full])
-            elif m := re.match(r"(?is)^alter\s+table\s+([\w.\"]+)\s+add\s+(?:column\s+)?(.+)$", s):
-                full = table_name(m[1])
-                _, (column,) = parse_create(f"create table x ({m[2]})")
-                rows = self.table(full).withColumn(column[0], F.lit(None).cast(spark_type(column[1])))
-                known = known | {full: known[full] | {"columns": [*known[full]["columns"], list(column)]}}
-                self._replace(full, rows)
-            elif key := shard_key_comment(s):
-                full = table_name(key[0])
-                spec = known[full] | {"key": [*known[full]["key"], key[1]]}
-                kinds = {c: (kind, identity) for c, kind, identity in spec["columns"]}
-                rows = self.table(full)
-                self.register(full, spec["key"], [kinds[k][0] for k in spec["key"]], generated=len(spec["key"]) == 1 and kinds[spec["key"][0]][1])
-                known = known | {full: spec}
-                self._replace(full, rows)
-            else:
-                raise FeatureNotSupported(f"this schema change: {s[:40]}")
+        changes: dict[str, Callable[[dict], dict]] = {}
+        try:
+            for s in statements(normalize_ddl(sql).sql):
+                known = self._schema_statement(s, known, changes)
+        except BaseException:
+            self.registry, self.topology, self.attached = before
+            self._plan()
+            raise
+        for full in changes:
+            self.attached.pop(full, None)
+        self.storage.publish(list(changes.values()))
         self.catalog.update("definitions", lambda _: known)
         self.save()
         return CommandResult(" ".join(statements(sql)[0].upper().split()[:2]), 0)
 
-    def _empty(self, full: str, definition: dict) -> None:
-        schema = StructType([StructField(c, spark_type(kind)) for c, kind, _ in definition["columns"]])
-        self._replace(full, self.spark.createDataFrame([], schema))
+    def _schema_statement(self, s: str, known: dict, changes: dict) -> dict:
+        """The definitions after a statement; its table's change is added, later statements see its rows as attached."""
+
+        def put(full: str, rows: DataFrame) -> None:
+            staged = self.storage.stage(placed(rows, full, self.registry, self.topology) if full in self.registry.tables else rows, full)
+            changes[full] = self.storage.replaced(full, staged)
+            self.attached[full] = rows
+
+        def empty(full: str) -> None:
+            put(full, self.spark.createDataFrame([], StructType([StructField(c, spark_type(kind)) for c, kind, _ in known[full]["columns"]])))
+
+        if created := parse_create(s):
+            full = table_name(created[0])
+            if full in known:
+                raise ValueError(f"42P07: {full} exists")
+            known = known | {full: {"columns": [list(c) for c in created[1]], "key": []}}
+            self.register_unsharded(full)
+            empty(full)
+        elif m := re.match(r"(?is)^drop\s+table\s+(if\s+exists\s+)?([\w.\"]+)", s):
+            full = table_name(m[2])
+            if full not in known and not m[1]:
+                raise LookupError(f"42P01: no table {full}")
+            known = {k: v for k, v in known.items() if k != full}
+            self.attached.pop(full, None)
+            changes[full] = lambda now: {k: v for k, v in now.items() if k != full}
+            self.registry = self.registry.without(full)
+            tables = {k: v for k, v in self.topology.tables.items() if k != full}
+            self.topology = replace(self.topology, tables=tables, schema_fingerprint=self.registry.fingerprint(), revision=self.topology.revision + 1, updated=time.time())
+            self._plan()
+        elif m := re.match(r"(?is)^truncate\s+(?:table\s+)?([\w.\"]+)", s):
+            if (full := table_name(m[1])) not in known:
+                raise LookupError(f"42P01: no table {full}")
+            empty(full)
+        elif m := re.match(r"(?is)^alter\s+table\s+([\w.\"]+)\s+add\s+(?:column\s+)?(.+)$", s):
+            if (full := table_name(m[1])) not in known:
+                raise LookupError(f"42P01: no table {full}")
+            _, (column,) = parse_create(f"create table x ({m[2]})")
+            rows = self.table(full).withColumn(column[0], F.lit(None).cast(spark_type(column[1])))
+            known = known | {full: known[full] | {"columns": [*known[full]["columns"], list(column)]}}
+            put(full, rows)
+        elif key := shard_key_comment(s):
+            if (full := table_name(key[0])) not in known:
+                raise LookupError(f"42P01: no table {full}")
+            spec = known[full] | {"key": [*known[full]["key"], key[1]]}
+            kinds = {c: (kind, identity) for c, kind, identity in spec["columns"]}
+            rows = self.table(full)
+            self.register(full, spec["key"], [kinds[k][0] for k in spec["key"]], generated=len(spec["key"]) == 1 and kinds[spec["key"][0]][1])
+            known = known | {full: spec}
+            put(full, rows)
+        else:
+            raise FeatureNotSupported(f"this schema change: {s[:40]}")
+        return known
 
     def _replace(self, full: str, rows: DataFrame, seen: int | None = None) -> None:
         """Publish rows as the whole table; it is stored from now on. seen: the revision that rows come from."""
         self.storage.replace(placed(rows, full, self.registry, self.topology) if full in self.registry.tables else rows, full, seen)
         self.attached.pop(full, None)
 
-    def _forget(self, full: str) -> None:
-        from dataclasses import replace
-
-        self.attached.pop(full, None)
-        self.storage.drop(full)
-        self.registry = self.registry.without(full)
-        tables = {k: v for k, v in self.topology.tables.items() if k != full}
-        self.topology = replace(self.topology, tables=tables, schema_fingerprint=self.registry.fingerprint(), revision=self.topology.revision + 1, updated=time.time())
-        self._plan()
-
     # --- writing
 
     def insert(self, name: str, rows: DataFrame) -> CommandResult:

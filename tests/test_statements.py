@@ -230,3 +230,19 @@ def test_ordered_aggregates_as_text(engine):
     assert got == [([2, 5, 3, 4, 1, 6], [6, 1, 4, 3, 5, 2], [2, 1, 3])]
     assert rows(engine.sql("select json_agg('it''s, \"order by\" ' || g order by id) as a from t where id = 1")) == [('["it\'s, \\\\"order by\\\\" a"]'.replace("\\\\", "\\"),)]
     assert rows(engine.sql("select json_agg(id) filter (where id > 100) as a, string_agg(g, ',' order by id) filter (where x > 9) as s from t")) == [(None, "a,b,b")]
+
+
+def test_a_schema_batch_is_all_or_nothing(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/x", shards=["s1", "s2"])
+    e.ddl("create table kept (k bigint, v text); comment on column kept.k is 'app.shard_key'")
+    e.load("kept", spark.range(5).selectExpr("id as k", "'a' as v"))
+    before = e.registry, e.topology, e.storage.store.latest("tables")
+    for bad in ("create table fresh (k int); create table kept (k int)", "alter table kept add column n int; truncate kept; drop table missing", "drop table kept; comment on column nowhere.k is 'app.shard_key'"):
+        with pytest.raises((ValueError, LookupError)):
+            e.ddl(bad)
+        assert (e.registry, e.topology, e.storage.store.latest("tables")) == before and e.table("kept").columns == ["k", "v"] and e.table("kept").count() == 5
+    revision = before[2][0]
+    e.ddl("alter table kept add column n int; create table other (a int); drop table if exists missing")
+    assert e.storage.store.latest("tables")[0] == revision + 1 and e.table("kept").count() == 5 and e.table("other").columns == ["a"]
+    e.ddl("drop table kept; create table kept (z text)")
+    assert e.table("kept").columns == ["z"] and e.registry.sharded("kept") is None
