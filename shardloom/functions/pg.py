@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -120,6 +120,39 @@ def with_ties(df: DataFrame, n: int, *keys: tuple[Column, bool]) -> DataFrame:
     return keyed.where(reach).drop(*names)
 
 
+def groups_frame(df: DataFrame, keys: list[str], order: list[Column], start: int, end: int) -> tuple[DataFrame, WindowSpec]:
+    """df and a window over it that is GROUPS BETWEEN start AND end: peer groups before (negative) and after the row's.
+
+    A dense rank numbers the peer groups, so that the frame is a range of that number; drop __g afterwards.
+    """
+    numbered = df.withColumn("__g", F.dense_rank().over(Window.partitionBy(*keys).orderBy(*order)))
+    return numbered, Window.partitionBy(*keys).orderBy("__g").rangeBetween(start, end)
+
+
+def exclude_current_row(value: Column | str, window: WindowSpec) -> dict[str, Column]:
+    """sum, count and avg of a frame with EXCLUDE CURRENT ROW; sum and avg are null if no value is left.
+
+    The frame must hold the current row. An aggregate of the rest is the whole frame's less the row's own.
+    """
+    v = _col(value)
+    n = F.count(v).over(window) - F.when(v.isNotNull(), 1).otherwise(0)
+    total = F.when(n > 0, F.sum(v).over(window) - F.coalesce(v, F.lit(0)))
+    return {"sum": total, "count": n, "avg": total / n}
+
+
+def band_join(left: DataFrame, right: DataFrame, low: Column, high: Column, value: Column, width: float) -> DataFrame:
+    """left and right where value (of right) lies between low and high (of left), both ends included.
+
+    Both sides meet in bins of the width, then by the exact test: an equi-join that shuffles,
+    where the plain condition compares every row with every row. A row of left goes to each bin
+    that it overlaps, so width should be about the bands' length. Nulls match nothing.
+    """
+    bins = F.sequence(F.floor(low / width).cast("long"), F.floor(high / width).cast("long"))
+    l = left.withColumns({"__low": low, "__high": high}).where("__low <= __high").withColumn("__bin", F.explode(bins))
+    r = right.withColumn("__value", value).withColumn("__bin", F.floor(value / width).cast("long"))
+    return l.join(r, "__bin").where("__value between __low and __high").drop("__bin", "__low", "__high", "__value")
+
+
 def age_days(later: Column | str, earlier: Column | str) -> Column:
     """Whole days between two instants."""
     return F.datediff(_col(later), _col(earlier))

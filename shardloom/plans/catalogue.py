@@ -231,12 +231,10 @@ text("join_multi_star", "select r_name, n_name, round(sum(l_extendedprice * (1 -
 
 @query("select s_suppkey, count(*) as n from supplier join part on p_retailprice between s_acctbal - 50 and s_acctbal + 50 group by s_suppkey")
 def join_range(spark, sf_dir):
-    """A band join: both sides meet in bins of the band's width, then the exact test."""
+    """A band join through bins of the band's width."""
     e = engine(spark, sf_dir)
-    width = 100.0
-    s = e.table("supplier").withColumn("bin", F.explode(F.sequence(F.floor((F.col("s_acctbal") - 50) / width), F.floor((F.col("s_acctbal") + 50) / width))))
-    p = e.table("part").withColumn("bin", F.floor(F.col("p_retailprice") / width))
-    return s.join(p, "bin").where("p_retailprice between s_acctbal - 50 and s_acctbal + 50").groupBy("s_suppkey").agg(F.count("*").alias("n"))
+    near = pg.band_join(e.table("supplier"), e.table("part"), F.col("s_acctbal") - 50, F.col("s_acctbal") + 50, F.col("p_retailprice"), 100.0)
+    return near.groupBy("s_suppkey").agg(F.count("*").alias("n"))
 
 
 # --- windows --------------------------------------------------------------------------------
@@ -251,19 +249,19 @@ text("win_first_last_nth", "select o_orderkey, first_value(o_orderkey) over w as
 text("win_aggregate_total", "select n_nationkey, count(*) over (partition by n_regionkey) as peers, max(n_name) over (partition by n_regionkey) as last_name from nation")
 
 
-@query("select n_nationkey, sum(n_nationkey) over (partition by n_regionkey order by length(n_name) groups between 1 preceding and current row)::bigint as s from nation")
+@query("select l_orderkey, l_linenumber, l_partkey, sum(l_linenumber) over (partition by l_orderkey order by l_quantity groups between 1 preceding and current row)::bigint as s from lineitem")
 def win_groups_frame(spark, sf_dir):
     """A GROUPS frame: a RANGE frame over the dense rank of the peer groups."""
-    n = engine(spark, sf_dir).table("nation").withColumn("g", F.dense_rank().over(Window.partitionBy("n_regionkey").orderBy(F.length("n_name"))))
-    w = Window.partitionBy("n_regionkey").orderBy("g").rangeBetween(-1, 0)
-    return n.select("n_nationkey", F.sum(F.col("n_nationkey").cast("long")).over(w).alias("s"))
+    rows, w = pg.groups_frame(engine(spark, sf_dir, layout=True).table("lineitem"), ["l_orderkey"], [F.col("l_quantity")], -1, 0)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.sum(F.col("l_linenumber").cast("long")).over(w).alias("s"))
 
 
-@query("select n_nationkey, (sum(n_nationkey) over (partition by n_regionkey) - n_nationkey)::bigint as others from nation")
+@query("select o_orderkey, sum(o_orderkey) over w::bigint as others, count(*) over w as n from orders window w as (partition by o_custkey order by o_orderkey rows between unbounded preceding and unbounded following exclude current row)")
 def win_exclude_current_row(spark, sf_dir):
     """A frame that leaves the current row out."""
-    w = Window.partitionBy("n_regionkey")
-    return engine(spark, sf_dir).table("nation").select("n_nationkey", (F.sum("n_nationkey").over(w) - F.col("n_nationkey")).cast("long").alias("others"))
+    w = Window.partitionBy("o_custkey")
+    rest = pg.exclude_current_row("o_orderkey", w)
+    return engine(spark, sf_dir, layout=True).table("orders").select("o_orderkey", rest["sum"].alias("others"), rest["count"].alias("n"))
 
 
 # --- order, limits, distinct ----------------------------------------------------------------

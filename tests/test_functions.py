@@ -118,3 +118,27 @@ def test_with_ties_and_distinct_on(spark):
     assert sorted(r["k"] for r in pg.with_ties(df, 5, (F.col("v"), False)).collect()) == [1, 2, 3, 4, 5, 6]
     assert pg.with_ties(df, 0, (F.col("v"), False)).count() == 0
     assert {(r["v"], r["k"]) for r in pg.distinct_on(df, ["v"], pg.desc("k")).collect()} == {(5, 2), (4, 3), (None, 5), (9, 6)}
+
+
+def test_band_join_and_frames(spark):
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from shardloom.functions import pg
+
+    rnd = random.Random(2)
+    bands = [(i, rnd.uniform(-30, 30), rnd.uniform(0, 9)) for i in range(60)] + [(90, None, 1.0), (91, 5.0, -1.0), (92, 10.0, 0.0)]
+    points = [(i, round(rnd.uniform(-40, 40), 1)) for i in range(150)] + [(900, None), (901, 10.0)]
+    left, right = spark.createDataFrame(bands, "b int, low double, length double"), spark.createDataFrame(points, "p int, x double")
+    got = pg.band_join(left, right, F.col("low"), F.col("low") + F.col("length"), F.col("x"), 4.0)
+    want = {(b, p) for b, low, n in bands for p, x in points if low is not None and x is not None and low <= x <= low + n}
+    assert got.columns == ["b", "low", "length", "p", "x"] and sorted((r["b"], r["p"]) for r in got.collect()) == sorted(want) and (92, 901) in want
+    rows = spark.createDataFrame([("a", 1, 5), ("a", 1, 7), ("a", 2, 1), ("a", 4, None), ("b", 1, None)], "g string, o int, v int")
+    numbered, w = pg.groups_frame(rows, ["g"], [F.col("o")], -1, 0)
+    assert sorted((r["g"], r["o"], r["s"]) for r in numbered.select("g", "o", F.sum("v").over(w).alias("s")).where("s is not null").collect()) == [("a", 1, 12), ("a", 1, 12), ("a", 2, 13), ("a", 4, 1)]
+    rest = pg.exclude_current_row("v", Window.partitionBy("g"))
+    got = {(r["o"], r["v"]): (r["s"], r["n"]) for r in rows.where("g = 'a'").select("o", "v", rest["sum"].alias("s"), rest["count"].alias("n")).collect()}
+    assert got == {(1, 5): (8, 2), (1, 7): (6, 2), (2, 1): (12, 2), (4, None): (13, 3)}
+    assert rows.where("g = 'b'").select(rest["sum"].alias("s")).first()["s"] is None
