@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from .store import Conflict, ManifestStore
 from .topology import Topology
 
 BUCKET = 4_096  # slots of one directory
+SMALL = 16 << 20  # bytes by the optimizer's estimate; up to here a table is shuffled into one file a directory
+WRITERS, ROW_GROUP = 64, 16 << 20  # open directories of a task, and the bytes that each may hold back
 SHARD, BUCKET_DIR, SLOT = "_shard", "_vb", "_vshard"
 PLACEMENT = (SHARD, BUCKET_DIR, SLOT)
 VERSION, MARKS = "_v", "#marks"  # a directory level, and a key that is no table's name
@@ -40,6 +43,17 @@ def placed(df: DataFrame, table: str, registry: Registry, topology: Topology) ->
     return out.join(F.broadcast(owners), SLOT, "left").select(*df.columns, SLOT, BUCKET_DIR, SHARD)  # 65,536 rows
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session's setting for the block alone."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 Change = Callable[[dict], dict]  # of the manifest's content
 
 
@@ -67,13 +81,18 @@ class ShardedStorage:
     def stage(self, df: DataFrame, table: str) -> dict:
         """Write rows into new files, by their placement if they have one; nothing is visible yet.
 
-        Placed rows are rebalanced by directory: adaptive execution splits a large directory over
-        as many tasks as its bytes need, and lets one task write many small ones.
+        Small placed tables are rebalanced by directory, so that one task writes many small ones.
+        All others are written where they are read: a task holds a writer for each directory, so
+        that rows are neither shuffled nor sorted (beyond WRITERS directories Spark sorts the rest).
         """
         version = f"v{uuid.uuid4().hex}"
         path = f"{self.folder}/{table_name(table)}/{VERSION}={version}"
         if SHARD in df.columns:
-            df.hint("rebalance", F.col(SHARD), F.col(BUCKET_DIR)).sortWithinPartitions(SHARD, BUCKET_DIR, SLOT).write.partitionBy(SHARD, BUCKET_DIR).parquet(path)
+            if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL:
+                df.hint("rebalance", F.col(SHARD), F.col(BUCKET_DIR)).sortWithinPartitions(SHARD, BUCKET_DIR, SLOT).write.partitionBy(SHARD, BUCKET_DIR).parquet(path)
+            else:
+                with _setting(df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", str(WRITERS)):
+                    df.write.partitionBy(SHARD, BUCKET_DIR).option("parquet.block.size", ROW_GROUP).parquet(path)
         else:
             df.write.parquet(path)
         return {"version": version, "schema": df.schema.json()}
