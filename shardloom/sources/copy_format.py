@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import codecs
 import datetime
 import decimal
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
+from typing import AnyStr
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +21,7 @@ from pyspark.sql import types as T
 from .registry import Registry, table_name
 
 MAX_ROW = 16 << 20
+CHUNK, BATCH = 1 << 20, 2 << 20  # bytes of a file that reach a decoder at once; characters that it gives back at once
 SIGNATURE = b"PGCOPY\n\xff\r\n\0"
 # Option words for booleans, key types of the binary format, text escapes.
 YES, NO = ("true", "on", "1", ""), ("false", "off", "0")
@@ -102,13 +107,33 @@ def plan_copy(table: str, columns: list[str], incoming: bool, options: list[tupl
     return plan
 
 
-def checked(row: list) -> list:
-    """A row within the limit; on every path."""
-    if sum(len(x) for x in row if x is not None) > MAX_ROW:
+def length(row: list) -> int:
+    """Of a row's fields together, within the limit; on every path."""
+    n = sum(len(x) for x in row if x is not None)
+    if n > MAX_ROW:
         raise CopyError("COPY row is too long", "54000")
+    return n
+
+
+def checked(row: list) -> list:
+    """A row within the limit."""
+    length(row)
     return row
 
 
+def _more(parts: Iterator[AnyStr], held: AnyStr) -> tuple[AnyStr, bool]:
+    """held and what follows it, and whether that was the last; a long record doubles it, so that it is not read over and over."""
+    if len(held) > 4 * MAX_ROW + CHUNK:  # the longest spelling of a row: four characters for one
+        raise CopyError("COPY row is too long", "54000")
+    got, size = [held], 0
+    for part in parts:
+        got.append(part)
+        size += len(part)
+        if size >= max(len(held), 1):
+            return held[:0].join(got), False
+    return held[:0].join(got), True
+
+
 # --- text -----------------------------------------------------------------------------------
 
 
@@ -121,6 +146,8 @@ def decode_text(field_: str) -> str:
             return chr(int(c, 8) & 255)
         return ESCAPES.get(c, c)
 
+    if "\\" not in field_:
+        return field_
     if field_.endswith("\\") and (len(field_) - len(field_.rstrip("\\"))) % 2:
         raise CopyError("COPY text ends in an escape character", "22P04")
     return re.sub(r"\\(x[0-9A-Fa-f]{1,2}|[0-7]{1,3}|.)", one, field_, flags=re.S)
@@ -134,6 +161,8 @@ def encode_text(value: str, delimiter: str) -> str:
 
 
 def split_text(line: str, plan: CopyPlan) -> list[str | None]:
+    if "\\" not in line:
+        return [None if f == plan.null else f for f in line.split(plan.delimiter)]
     out, now, i = [], [], 0
     while i < len(line):
         c = line[i]
@@ -151,13 +180,28 @@ def split_text(line: str, plan: CopyPlan) -> list[str | None]:
     return [None if f == plan.null else decode_text(f) for f in out]
 
 
-def text_records(data: str) -> Iterator[str]:
-    """Lines up to the end marker; an escaped line end stays inside its record."""
+def _lines(parts: Iterator[str]) -> Iterator[str]:
+    held, last = "", False
+    while not last:
+        held, last = _more(parts, held)
+        *whole, held = held.split("\n")
+        yield from whole
+    if held:
+        yield held
+
+
+def text_records(data: str | Iterable[str]) -> Iterator[str]:
+    """Lines up to the end marker; an escaped line end stays inside its record.
+
+    Of the parts of a file, the last line may have a line end.
+    """
     held = ""
-    for line in data.split("\n") if data else []:
+    for line in (data.split("\n") if data else []) if isinstance(data, str) else _lines(iter(data)):
         record = held + line
         if (len(record) - len(record.rstrip("\\"))) % 2 and record:
             held = record + "\n"
+            if len(held) > 4 * MAX_ROW + CHUNK:
+                raise CopyError("COPY row is too long", "54000")
             continue
         held = ""
         if record == "\\.":
@@ -170,50 +214,71 @@ def text_records(data: str) -> Iterator[str]:
 # --- CSV ------------------------------------------------------------------------------------
 
 
-def csv_records(data: str, plan: CopyPlan) -> Iterator[list[str | None]]:
-    """Rows of fields; only an unquoted field can be null, quotes may hold line ends."""
-    row: list[str | None] = []
-    i, n, q, e, d = 0, len(data), plan.quote, plan.escape, plan.delimiter
-    plain = re.compile(f"[^{re.escape(d + q)}\n\r]*")
-    while i < n:
-        if data[i] == q:
-            i, value = i + 1, []
-            while True:
-                if i >= n:
-                    raise CopyError("CSV ends inside quotes", "22P04")
-                c = data[i]
-                if c == e and i + 1 < n and data[i + 1] in (q, e):
-                    value.append(data[i + 1])
-                    i += 2
-                elif c == q:
-                    i += 1
-                    break
-                else:
-                    value.append(c)
-                    i += 1
-            row.append("".join(value))
-            if i < n and data[i] not in (d, "\n", "\r"):
-                raise CopyError("CSV has data after a closing quote", "22P04")
-        else:
-            m = plain.match(data, i)
-            i = m.end()
-            if i < n and data[i] == q:
-                raise CopyError("CSV has a quote inside an unquoted field", "22P04")
-            row.append(None if m[0] == plan.null else m[0])
-        if i < n and data[i] == d:
-            i += 1
-            if i == n or data[i] in "\n\r":
-                row.append(None if plan.null == "" else "")
+def csv_records(data: str | Iterable[str], plan: CopyPlan) -> Iterator[list[str | None]]:
+    """Rows of fields; only an unquoted field can be null, quotes may hold line ends.
+
+    data: a file's text or its parts in order, of which no more is held than a record needs.
+    """
+    parts = iter([data] if isinstance(data, str) else data)
+    record = _csv_record(plan)
+    held, last = "", False
+    while not last:
+        held, last = _more(parts, held)
+        if plan.quote not in held and "\r" not in held:
+            whole, line_end, held = (held.removesuffix("\n"), held, "") if last else held.rpartition("\n")
+            for line in whole.split("\n") if line_end else []:
+                row: list[str | None] | None = [None if f == plan.null else f for f in line.split(plan.delimiter)]
+                if row == ["\\."]:
+                    return
+                yield row
+            continue
+        at = 0
+        while at < len(held):
+            row, end = record(held, at, last)
+            if row is None:
+                break
+            if row == ["\\."]:
+                return
+            yield row
+            at = end
+        held = held[at:]
+
+
+def _csv_record(plan: CopyPlan):
+    """A function of (text, start, whether it is the last text): a row and its end; no row if the text ends before its line end."""
+    q, e, d = plan.quote, plan.escape, plan.delimiter
+    q_, e_, d_ = re.escape(q), re.escape(e), re.escape(d)
+    inner = f"(?:[^{q_}]++|{q_}{q_})*+" if e == q else f"(?:[^{q_}{e_}]++|{e_}[{q_}{e_}]|{e_}(?![{q_}{e_}]))*+"
+    quoted, plain, escaped = re.compile(f"{q_}({inner}){q_}"), re.compile(f"[^{d_}{q_}\n\r]*+"), re.compile(f"{e_}([{q_}{e_}])")
+
+    def record(text: str, i: int, last: bool) -> tuple[list[str | None] | None, int]:
+        row: list[str | None] = []
+        n = len(text)
+        while True:
+            if text.startswith(q, i):
+                m = quoted.match(text, i)
+                if m is None:
+                    if last:
+                        raise CopyError("CSV ends inside quotes", "22P04")
+                    return None, i
+                row.append(escaped.sub(r"\1", m[1]))
+                i = m.end()
+                if i < n and text[i] not in (d, "\n", "\r"):
+                    raise CopyError("CSV has data after a closing quote", "22P04")
             else:
+                m = plain.match(text, i)
+                i = m.end()
+                if text.startswith(q, i):
+                    raise CopyError("CSV has a quote inside an unquoted field", "22P04")
+                row.append(None if m[0] == plan.null else m[0])
+            if text.startswith(d, i):
+                i += 1
                 continue
-        if row == ["\\."]:
-            return
-        yield row
-        row = []
-        if data.startswith("\r\n", i):
-            i += 2
-        elif i < n:
-            i += 1
+            if not last and (i == n or text[i] == "\r" and i + 1 == n):  # the rest of the field or line end may follow
+                return None, i
+            return row, min(n, i + (2 if text.startswith("\r\n", i) else 1))
+
+    return record
 
 
 def encode_csv(value: str | None, plan: CopyPlan) -> str:
@@ -228,28 +293,48 @@ def encode_csv(value: str | None, plan: CopyPlan) -> str:
 # --- binary ---------------------------------------------------------------------------------
 
 
-def binary_records(data: bytes, columns: int) -> Iterator[list[bytes | None]]:
-    if data[:11] != SIGNATURE or len(data) < 19:
+def binary_records(data: bytes | Iterable[bytes], columns: int) -> Iterator[list[bytes | None]]:
+    """Rows of a file, or of its parts in order."""
+    parts = iter([data] if isinstance(data, bytes) else data)
+    held, at, last = b"", 0, False
+
+    def has(n: int) -> bool:
+        nonlocal held, at, last
+        while len(held) - at < n and not last:
+            held, last = _more(parts, held[at:])
+            at = 0
+        return len(held) - at >= n
+
+    if not has(19) or held[:11] != SIGNATURE:
         raise CopyError("not a binary COPY stream", "22P04")
-    at = 19 + struct.unpack_from(">i", data, 15)[0]
+    extension = struct.unpack_from(">i", held, 15)[0]
+    at += 19
     while True:
-        if at + 2 > len(data):
+        if extension:  # bytes to pass over
+            if extension < 0 or not has(1):
+                raise CopyError("binary COPY ends without its trailer", "22P04")
+            passed = min(extension, len(held) - at)
+            at, extension = at + passed, extension - passed
+            continue
+        if not has(2):
             raise CopyError("binary COPY ends without its trailer", "22P04")
-        n = struct.unpack_from(">h", data, at)[0]
+        n = struct.unpack_from(">h", held, at)[0]
         at += 2
         if n == -1:
-            if at != len(data):
+            if has(1):
                 raise CopyError("binary COPY goes on behind its trailer", "22P04")
             return
         if n != columns:
             raise CopyError(f"binary COPY row has {n} columns, expected {columns}", "22P04")
         row: list[bytes | None] = []
         for _ in range(n):
-            size = struct.unpack_from(">i", data, at)[0]
+            if not has(4):
+                raise CopyError("binary COPY ends inside a row", "22P04")
+            size = struct.unpack_from(">i", held, at)[0]
             at += 4
-            if size < -1 or size > MAX_ROW or at + max(size, 0) > len(data):
+            if size < -1 or size > MAX_ROW or not has(max(size, 0)):
                 raise CopyError("binary COPY field is too long", "22P04")
-            row.append(None if size == -1 else data[at : at + size])
+            row.append(None if size == -1 else held[at : at + size])
             at += max(size, 0)
         checked(row)
         yield row
@@ -344,71 +429,118 @@ def from_binary(value: bytes | None, kind: T.DataType) -> object:
 # --- DataFrames -----------------------------------------------------------------------------
 
 
-def copy_in(spark: SparkSession, paths: str | list[str], plan: CopyPlan, schema: T.StructType) -> DataFrame:
-    """Rows of COPY files in the types of schema (fields by plan.columns).
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of about 4 MB, unless the session has a size of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":  # Spark's default: 64 MB, which both sides of a worker hold
+        spark.conf.set(key, "4m")
 
-    Text splits by line and scales with the file, but for files with an end marker or a line end
-    inside a record; these, CSV and binary records may span lines, so each such file is decoded by
-    one task (write many files, as copy_out does).
+
+def decoded(files: DataFrame, plan: CopyPlan, schema: T.StructType) -> DataFrame:
+    """Rows of COPY files (one a row of files, in its only column) in the types of schema; a batch or a stream.
+
+    Spark hands a file on in pieces of CHUNK bytes, and rows leave in batches of about BATCH
+    characters: what Python holds does not grow with the file.
     """
+    small_batches(files.sparkSession)
     kinds = [schema[c].dataType for c in plan.columns]
-    strings = ", ".join(f"c{i} string" for i in range(len(kinds)))
-    n = len(kinds)
+    n, binary = len(kinds), plan.format == "binary"
+    whole = files.select(F.col(files.columns[0]).cast("binary").alias("content"))
+    pieces = whole.selectExpr("content", f"explode(sequence(0, greatest(length(content) - 1, 0) div {CHUNK})) as at").selectExpr("at", f"substring(content, cast(at * {CHUNK} + 1 as int), {CHUNK}) as piece")
+
+    def by_file(parts: Iterator[pd.DataFrame]) -> Iterator[Iterator[bytes]]:
+        file = 0
+
+        def numbered() -> Iterator[tuple[int, bytes]]:
+            nonlocal file
+            for part in parts:
+                for at, piece in zip(part["at"], part["piece"], strict=True):
+                    file += at == 0
+                    yield file, bytes(piece)
 
-    def wide(rows: Iterator[list[str | None]]) -> Iterator[pd.DataFrame]:
-        held: list[list[str | None]] = []
-        for r in rows:
-            if len(r) != n:
-                raise CopyError(f"COPY row has {len(r)} columns, expected {n}", "22P04")
-            held.append(checked(r))
-            if len(held) == 5_000:
-                yield pd.DataFrame(held, columns=[f"c{i}" for i in range(n)], dtype=object)
-                held = []
-        if held:
-            yield pd.DataFrame(held, columns=[f"c{i}" for i in range(n)], dtype=object)
-
-    def headless(rows: Iterator[list[str | None]]) -> Iterator[list[str | None]]:
+        for _, pieces_ in groupby(numbered(), lambda x: x[0]):
+            yield (piece for _, piece in pieces_)
+
+    def rows(file: Iterator[bytes]) -> Iterator[list]:
+        if binary:
+            return binary_records(file, n)
+        found = csv_records(_texts(file), plan) if plan.format == "csv" else (split_text(x, plan) for x in text_records(_texts(file)))
         if plan.header:
-            first = next(rows, None)
+            first = next(found, None)
             if plan.match and first is not None and tuple(first) != plan.columns:
                 raise CopyError("COPY header does not match the columns", "22P04")
-        return rows
+        return found
+
+    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for file in by_file(parts):
+            for some in _batches(rows(file), n):
+                if binary:
+                    some = [[from_binary(v, k) for v, k in zip(r, kinds, strict=True)] for r in some]
+                    yield pd.DataFrame({c: pd.Series([r[i] for r in some], dtype=object) for i, c in enumerate(plan.columns)})
+                else:
+                    yield pd.DataFrame(some, columns=[f"c{i}" for i in range(n)], dtype=object)
+
+    if binary:
+        return pieces.mapInPandas(decode, T.StructType([T.StructField(c, k) for c, k in zip(plan.columns, kinds, strict=True)]))
+    return _typed(pieces.mapInPandas(decode, ", ".join(f"c{i} string" for i in range(n))), plan, kinds)
+
+
+def _texts(file: Iterable[bytes]) -> Iterator[str]:
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    try:
+        for piece in file:
+            yield decoder.decode(piece)
+        decoder.decode(b"", True)
+    except UnicodeDecodeError as e:
+        raise CopyError("COPY data are not UTF8", "22021") from e
+
+
+def _batches(rows: Iterable[list], n: int) -> Iterator[list[list]]:
+    """Rows of n fields, 5,000 or about BATCH characters at a time."""
+    held, size = [], 0
+    for r in rows:
+        if len(r) != n:
+            raise CopyError(f"COPY row has {len(r)} columns, expected {n}", "22P04")
+        held.append(r)
+        size += length(r)
+        if len(held) == 5_000 or size >= BATCH:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
-    if plan.format == "binary":
-        files = spark.read.format("binaryFile").load(paths).select("content")
 
-        def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                for content in part["content"]:
-                    rows = [[from_binary(v, k) for v, k in zip(r, kinds, strict=True)] for r in binary_records(bytes(content), n)]
-                    yield pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=object) for i, c in enumerate(plan.columns)})
+def _typed(raw: DataFrame, plan: CopyPlan, kinds: list[T.DataType]) -> DataFrame:
+    return raw.select(*[F.col(f"c{i}").cast(k).alias(c) for i, (c, k) in enumerate(zip(plan.columns, kinds, strict=True))])
 
-        return files.mapInPandas(decode, T.StructType([T.StructField(c, k) for c, k in zip(plan.columns, kinds, strict=True)]))
 
-    def whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for content in part["value"]:
-                if plan.format == "csv":
-                    rows = headless(csv_records(content, plan))
-                else:
-                    rows = headless(split_text(x, plan) for x in text_records(content.removesuffix("\n")))
-                yield from wide(rows)
+def copy_in(spark: SparkSession, paths: str | list[str], plan: CopyPlan, schema: T.StructType) -> DataFrame:
+    """Rows of COPY files in the types of schema (fields by plan.columns).
+
+    Text splits by line and scales with the file, but for files with an end marker or a line end
+    inside a record; these, CSV and binary records may span lines, so each such file is decoded by
+    one task, piece by piece (see decoded; Spark's reader holds the file, of 2 GB at most: write
+    many files, as copy_out does).
+    """
+    if plan.format == "binary":
+        return decoded(spark.read.format("binaryFile").load(paths).select("content"), plan, schema)
+    if plan.format == "csv" or plan.header:
+        return decoded(spark.read.text(paths, wholetext=True), plan, schema)
+    small_batches(spark)
+    kinds = [schema[c].dataType for c in plan.columns]
+    n = len(kinds)
 
     def by_line(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield from wide(split_text(x, plan) for x in part["value"])
+        for some in _batches((split_text(x, plan) for part in parts for x in part["value"]), n):
+            yield pd.DataFrame(some, columns=[f"c{i}" for i in range(n)], dtype=object)
 
-    if plan.format == "csv" or plan.header:
-        raw = spark.read.text(paths, wholetext=True).mapInPandas(whole, strings)
-    else:
-        lines = spark.read.text(paths, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"))
-        # an end marker, or a line end inside a record: such files are read whole, by the same decoder
-        odd = (F.col("value") == "\\.") | F.col("value").rlike(r"(?s)(?:^|[^\\])(?:\\\\)*\\$")
-        apart = [r["file"] for r in lines.where(odd).select("file").distinct().collect()]  # a name a file
-        raw = (lines.where(~F.col("file").isin(apart)) if apart else lines).select("value").mapInPandas(by_line, strings)
-        if apart:
-            raw = raw.union(spark.read.text(apart, wholetext=True).mapInPandas(whole, strings))
-    return raw.select(*[F.col(f"c{i}").cast(k).alias(c) for i, (c, k) in enumerate(zip(plan.columns, kinds, strict=True))])
+    lines = spark.read.text(paths, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"))
+    # an end marker, or a line end inside a record: such files are read whole, by the same decoder
+    odd = (F.col("value") == "\\.") | F.col("value").rlike(r"(?s)(?:^|[^\\])(?:\\\\)*\\$")
+    apart = [r["file"] for r in lines.where(odd).select("file").distinct().collect()]  # a name a file
+    plain = (lines.where(~F.col("file").isin(apart)) if apart else lines).select("value")
+    out = _typed(plain.mapInPandas(by_line, ", ".join(f"c{i} string" for i in range(n))), plan, kinds)
+    return out.union(decoded(spark.read.text(apart, wholetext=True), plan, schema)) if apart else out
 
 
 def text_cell(value: Column, plan: CopyPlan) -> Column:
@@ -450,11 +582,13 @@ def copy_out(df: DataFrame, path: str, plan: CopyPlan, *order: str) -> int:
     if plan.header:
         head = plan.delimiter.join(encode_text(c, plan.delimiter) if text else encode_csv(c, plan) for c in columns)
 
-        def headed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            yield pd.DataFrame({"value": [head]})
-            yield from parts
+        def headed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_pydict({"value": [head]})
+            for part in parts:
+                yield pa.RecordBatch.from_arrays([part.column(0)], ["value"])  # the same field, nullable
 
-        lines = lines.mapInPandas(headed, "value string")
+        small_batches(df.sparkSession)
+        lines = lines.mapInArrow(headed, "value string")
     lines.write.option("lineSep", "\n").text(path)
     return seen.get["n"]
 
