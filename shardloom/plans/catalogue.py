@@ -758,7 +758,7 @@ def stream_copy(spark, sf_dir):
 
     orders = engine(spark, sf_dir).table("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     path = folder(spark, "stream-in")
-    copy_out(orders.repartition(3), path, plan_copy("orders", orders.columns, False, [("format", "csv")]))
+    copy_out(orders, path, plan_copy("orders", orders.columns, False, [("format", "csv")]))
     e = Engine(spark, folder(spark, "stream-out"), shards=["shard1", "shard2"])
     e.register("orders", ["o_orderkey"], ["bigint"])
     e.load("orders", orders.limit(0))

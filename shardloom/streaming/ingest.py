@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..plans.engine import Engine
 from ..sources.store import Conflict
-from ..sources.copy_format import CopyError, CopyPlan, checked, csv_records, split_text, text_records
+from ..sources.copy_format import CopyPlan, decoded
 
 
 def copied_stream(engine: Engine, path: str, plan: CopyPlan, schema: StructType) -> DataFrame:
     """The rows of text or CSV files as a stream, in the types of schema."""
-    n = len(plan.columns)
-
-    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for content in part["value"]:
-                rows = list(csv_records(content, plan)) if plan.format == "csv" else [split_text(x, plan) for x in text_records(content.removesuffix("\n"))]
-                rows = rows[1:] if plan.header else rows
-                if any(len(checked(r)) != n for r in rows):
-                    raise CopyError(f"COPY row does not have {n} columns", "22P04")
-                yield pd.DataFrame(rows, columns=[f"c{i}" for i in range(n)], dtype=object)
-
-    lines = engine.spark.readStream.text(path, wholetext=True)
-    raw = lines.mapInPandas(decode, ", ".join(f"c{i} string" for i in range(n)))
-    return raw.select(*[F.col(f"c{i}").cast(schema[c].dataType).alias(c) for i, c in enumerate(plan.columns)])
+    return decoded(engine.spark.readStream.text(path, wholetext=True), plan, schema)
 
 
 def copy_stream(engine: Engine, table: str, path: str, plan: CopyPlan, checkpoint: str) -> StreamingQuery:
