@@ -123,6 +123,25 @@ def release() -> None:
         pass
 
 
+_kept: dict[str, dict] = {}  # of a worker process
+
+
+def kept_by(operator: str) -> dict:
+    """What a worker keeps for later tasks of this operator; what another operator kept is given back."""
+    if operator not in _kept:
+        if any(_kept.values()):
+            _kept.clear()
+            release()
+        _kept.clear()
+        _kept[operator] = {}
+    return _kept[operator]
+
+
+def listed(spark: SparkSession, columns: dict[str, pa.Array]) -> DataFrame:
+    """A small table of the driver's. A list of Python rows would go through Python workers of their own, which stay for a minute."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def groups_by(key: str, pick: Callable[[pa.RecordBatch | pa.Table], object]) -> Callable[[Iterator[pa.RecordBatch]], Iterator]:
     """From a key-sorted batch stream, yield pick(table) for each run of equal keys."""
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, components, drop_since, groups_by, mix64, plain, release, scratch_mark, small_batches, table, unused, written
+from .common import Forest, components, drop_since, groups_by, kept_by, mix64, plain, release, scratch_mark, small_batches, table, unused, written
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -66,6 +66,7 @@ def signatures(docs: DataFrame, shingle: int, k: int, seed: int) -> DataFrame:
     a, b = _coordinates(k, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("minhash_dedup")
         s = Shingler(shingle)
         for batch in batches:
             seq, n, sig, at = [], [], [], [0]
@@ -93,6 +94,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     """docs (doc_id, class, nb, text) with the whole shingle set as little-endian bytes in place of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("minhash_dedup")
         s = Shingler(shingle)
         for batch in batches:
             sets = [s.of_words(s.words(t)).tobytes() for t in batch.column(3).to_pylist()]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_since, mix64, release, scratch_mark, scratch_path, small_batches, table, written
+from .common import drop_since, kept_by, mix64, release, scratch_mark, scratch_path, small_batches, table, written
 
 BOS, EOS = "\x02", "\x03"
 BATCH = 24_000_000  # bytes of text whose distinct n-grams are looked up together
@@ -47,7 +47,7 @@ def grams(parts: list[str], order: int) -> tuple[list[str], np.ndarray, np.ndarr
         nxt = code[:-1].astype(np.int64) * width + char[len(char) - len(code) + 1 :]
         code, n = dense(nxt, n * width)
     start = np.concatenate([[0], np.cumsum(size)])[:-1]
-    owner = np.repeat(np.arange(len(parts)), size)[: len(code)]
+    owner = np.repeat(np.arange(len(parts), dtype=np.int32), size)[: len(code)]
     inside = np.arange(len(code)) - start[owner] <= size[owner] - order
     code, owner, at = code[inside], owner[inside], np.flatnonzero(inside)
     seen = np.zeros(n, np.bool_)
@@ -161,6 +161,7 @@ def batch_grams(docs: DataFrame, order: int) -> DataFrame:
     """batch, gram, n: the distinct n-grams of each batch of rows; n counts them in its known rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("quality")
         for key, t in _whole_batches(batches):
             held = []
             for first in range(0, t.num_rows, SLICE):
@@ -170,6 +171,7 @@ def batch_grams(docs: DataFrame, order: int) -> DataFrame:
                     gram, code, owner = grams(parts, order)
                     n = np.bincount(code, trusted[np.array(of)[owner]]).astype(np.int64)
                     held.append(pa.table({"gram": pa.array(gram, pa.string()), "n": n}))
+                    del gram, code, owner, n
                 if len(held) > 8:
                     held = [_summed(held)]
             for found in _summed(held).to_batches(max_chunksize=100_000):
@@ -196,6 +198,7 @@ def perplexities(docs: DataFrame, answers: DataFrame, order: int) -> DataFrame:
         from pyarrow import compute, parquet
         from pyarrow import fs as pafs
 
+        kept_by("quality")
         fs, root = pafs.FileSystem.from_uri(uri)
         for key, t in _whole_batches(batches):
             found = parquet.read_table(f"{root}/shard={key % shards}", filesystem=fs, filters=[("batch", "=", key)], columns=["gram", "logp"], partitioning=None)
@@ -211,6 +214,7 @@ def perplexities(docs: DataFrame, answers: DataFrame, order: int) -> DataFrame:
                     row = first + np.array(of)[owner]
                     logp += np.bincount(row, score[at.to_numpy()][code], t.num_rows)
                     n += np.bincount(row, minlength=t.num_rows)
+                    del gram, code, owner, at, row
             yield pa.RecordBatch.from_arrays([t.column("rid").combine_chunks(), pa.array(n), pa.array(logp)], ["rid", "n", "logp"])
             del found, known, score, t
             release()

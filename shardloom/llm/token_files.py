@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, scratch_path, small_batches, table
+from .common import kept_by, listed, release, scratch_path, small_batches, table
 
 NO_ID = -(2**63)  # stands for a null doc_id in the files
 SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -26,7 +26,8 @@ SAFE = re.compile(r"(?<=\S) (?=\S)")
 LETTER, STOP = r"0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}", ".,;:!?"
 CUTS = ((rf"([{LETTER}])([{STOP}])", "\\1 \0\\2"), (rf"([{LETTER}{STOP}])\n([{LETTER}])", "\\1 \0\n \0\\2"))
 TOGETHER = 64  # pieces that the library gets as one text
-SLICE = 4_000_000  # bytes of text whose words are looked up together
+AT_ONCE = 4096  # pieces whose encodings, some kB a text, are held at a time
+SLICE = 2_500_000  # bytes of text whose words are looked up together
 LONG = 8_000_000  # characters; longer texts are encoded in parts
 # Characters that are, or may be, white space to some pattern language.
 WHITE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}"
@@ -128,12 +129,14 @@ class Encoder:
         if len(apart) < len(pieces):
             other = set(apart)
             plain = [p for p in pieces if p not in other] if other else pieces
-            found = self.lib.encode_batch_fast([" " + " ".join(plain[i : i + TOGETHER]) for i in range(0, len(plain), TOGETHER)], add_special_tokens=False)
-            flat = np.array([i for e in found for i in e.ids], np.uint32)
-            first = np.flatnonzero(self.opens[flat])
-            if len(first) != len(plain):
-                raise RuntimeError("tokens and pieces do not match")
-            self._keep(k, plain, flat, np.diff(np.append(first, len(flat))))
+            for j in range(0, len(plain), AT_ONCE):
+                some = plain[j : j + AT_ONCE]
+                found = self.lib.encode_batch_fast([" " + " ".join(some[i : i + TOGETHER]) for i in range(0, len(some), TOGETHER)], add_special_tokens=False)
+                flat = np.array([i for e in found for i in e.ids], np.uint32)
+                first = np.flatnonzero(self.opens[flat])
+                if len(first) != len(some):
+                    raise RuntimeError("tokens and pieces do not match")
+                self._keep(k, some, flat, np.diff(np.append(first, len(flat))))
         if apart:
             ids = [e.ids for e in self.lib.encode_batch_fast([p[1:] if k and p[:1] == "\0" else " " * k + p for p in apart], add_special_tokens=False)]
             self._keep(k, apart, np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
@@ -191,13 +194,11 @@ class Encoder:
         return np.split(ids, np.cumsum(n)[:-1]) if len(n) else []
 
 
-_held: dict[str, Encoder] = {}  # of a worker process: later tasks know the frequent pieces
-
-
 def _encoder(path: str, facts: Facts) -> Encoder:
-    if path not in _held:
-        _held[path] = Encoder(path, facts)
-    return _held[path]
+    held = kept_by("token_files")  # later tasks know the frequent pieces
+    if path not in held:
+        held[path] = Encoder(path, facts)
+    return held[path]
 
 
 def _cut_long(text: str) -> list[str]:
@@ -352,8 +353,8 @@ def write_tokens(docs: DataFrame, uri: str, *, tokenizer: str, end_id: int = 0,
             yield batch
 
     if made:
-        listed = spark.createDataFrame([(p["part"], p["base"]) for p in index["parts"]], "part int, base long").repartition(min(len(made), parts))
-        listed.mapInArrow(offsets, "part int, base long").count()
+        bases = listed(spark, {"part": pa.array([r["part"] for r in made], pa.int32()), "base": pa.array(base[:-1], pa.int64())})
+        bases.repartition(min(len(made), parts)).mapInArrow(offsets, "part int, base long").count()
     with fs.open_output_stream(f"{root}/index.json") as out:
         out.write(json.dumps(index).encode())
     return index
@@ -379,9 +380,8 @@ def read_tokens(spark: SparkSession, uri: str) -> DataFrame:
                     doc = pa.array(np.asarray(docs[i:n]), pa.int64(), mask=np.asarray(docs[i:n]) == NO_ID)
                     yield pa.RecordBatch.from_arrays([doc, pa.array(at[i:n].astype(np.int64)), pa.array(np.diff(own[i : n + 1])), pa.array(crc, pa.int64()), pa.array([part] * (n - i), pa.int32())], ["doc_id", "start", "n_tokens", "ids_crc32", "part"])
 
-    parts = [(p["part"],) for p in index["parts"]]
-    listed = spark.createDataFrame(parts, "part int")
-    return listed.repartition(max(1, len(parts))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, part int")
+    parts = listed(spark, {"part": pa.array([p["part"] for p in index["parts"]], pa.int32())})
+    return parts.repartition(max(1, len(index["parts"]))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, part int")
 
 
 def default_tokenizer() -> str:

@@ -67,6 +67,56 @@ def test_texts_together_and_in_parts(library, monkeypatch):
     assert runs[0] == (0, 1) and [i for i, _ in runs[1:]] == [j for _, j in runs[:-1]] and runs[-1][1] == 4
 
 
+def test_workers_give_the_encoder_back(library):
+    """A worker that goes on to another operator does not hold the token encoder beside that one's memory."""
+    import gc
+    import weakref
+
+    import pyarrow as pa
+
+    from shardloom.llm import minhash_dedup, quality, token_files
+
+    class Docs:
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    texts = pa.RecordBatch.from_pydict({"rid": [1, 2], "text": ["some text", "more text"], "known": [True, False]})
+    facts = token_files.Facts.of(default_tokenizer())
+    for run in (quality.batch_grams(Docs(), 5).run, minhash_dedup.signatures(Docs(), 5, 64, 7).run):
+        held = token_files._encoder(default_tokenizer(), facts)
+        assert held is token_files._encoder(default_tokenizer(), facts)  # later tasks of the same operator have it
+        held = weakref.ref(held)
+        assert list(run(iter([texts])))
+        gc.collect()
+        assert held() is None
+
+
+def test_tables_of_parts_take_no_other_workers(spark, tmp_path):
+    """A list of Python rows would go through a PythonRDD, whose workers and daemon stay beside those of the operator."""
+    uri = f"file://{tmp_path}/t"
+    write_tokens(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"), uri, tokenizer=default_tokenizer(), parts=2)
+    got = read_tokens(spark, uri)
+    assert [r["doc_id"] for r in got.orderBy("doc_id").collect()] == [1, 2]
+    assert "PythonRDD" not in got._jdf.queryExecution().toRdd().toDebugString()
+
+
+def test_new_pieces_are_learned_in_turns(monkeypatch, library):
+    """The library's encodings of new pieces are held for a bounded number of them; the ids are the same."""
+    import pyarrow as pa
+
+    from shardloom.llm import token_files
+
+    text = " ".join(f"word{i}" for i in range(3_000))
+    code, many = Encoder(default_tokenizer()), []
+    lib = code.lib
+    code.lib = type("Lib", (), {"encode_batch_fast": staticmethod(lambda x, **k: many.append(sum(t.count(" ") for t in x)) or lib.encode_batch_fast(x, **k))})
+    monkeypatch.setattr(token_files, "AT_ONCE", 500, raising=False)
+    ids, _ = code.encoded(pa.array([text]))
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert max(many) <= 500
+
+
 def test_op3_on_the_table(spark, sf_dir, library):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
     got = [tuple(r)[:4] for r in op3_token_files(spark, sf_dir).orderBy("doc_id").collect()]
